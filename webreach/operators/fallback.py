@@ -126,8 +126,8 @@ def snippet_contacts(unreachable: DataFrame, search: DataFrame,
              .agg(F.array_sort(F.collect_list(U.nstruct(rank=F.col("rank"), href=F.col("href"), t=piece))).alias("ps"))
              .select("query", F.array_join(F.transform("ps", lambda p: p["t"]), " ").alias("combined")))
     found = texts.select("query",
-                         X.strip_distinct(X.emails("combined")).alias("emails"),
-                         X.strip_distinct(X.phones("combined")).alias("phones"))
+                         F.array_sort(X.strip_distinct(X.emails("combined"))).alias("emails"),
+                         F.array_sort(X.strip_distinct(X.phones("combined"))).alias("phones"))
     return (u.join(found, "query")
             .filter((F.size("emails") > 0) | (F.size("phones") > 0))
             .select("url", "website", "emails", "phones", F.lit(P.SNIPPET_SUMMARY).alias("summary")))

@@ -46,13 +46,14 @@ def _channel(name: str, values: Column) -> Column:
     return F.transform(values, lambda v: U.nstruct(channel=F.lit(name), value=v))
 
 
-def anchors(html: Column) -> Column:
+def anchors(html: Column, visible: bool = False) -> Column:
     """O-C4: array<struct<pos, href, text>> of usable <a href> anchors.
 
     href stripped; empty, 'mailto:' and '#...' hrefs skipped; anchor text in
     separator form. ``pos`` is the document position among all anchors.
+    ``visible=True`` when ``html`` is already ``visible_html``.
     """
-    vis = H.visible_html(html)
+    vis = html if visible else H.visible_html(html)
     attrs = F.regexp_extract_all(vis, F.lit(ANCHOR_ATTRS), F.lit(1))
     inner = F.regexp_extract_all(vis, F.lit(ANCHOR_INNER), F.lit(1))
     zipped = F.arrays_zip(attrs.alias("a"), inner.alias("t"))
@@ -65,8 +66,9 @@ def anchors(html: Column) -> Column:
     return F.transform(usable, lambda r: U.nstruct(pos=r["pos"], href=r["href"], text=r["text"]))
 
 
-def open_tags(html: Column) -> Column:
-    return F.regexp_extract_all(H.visible_html(html), F.lit(OPEN_A), F.lit(0))
+def open_tags(html: Column, visible: bool = False) -> Column:
+    vis = html if visible else H.visible_html(html)
+    return F.regexp_extract_all(vis, F.lit(OPEN_A), F.lit(0))
 
 
 def cf_emails(tags: Column) -> Column:
@@ -103,23 +105,31 @@ def jsonld_blocks(html: Column) -> Column:
 def page_facts(pages: DataFrame) -> DataFrame:
     """One narrow row per page; the only operator that reads ``html``."""
     html = F.col("html")
-    guarded = lambda needle, expr, empty: F.when(F.instr(html, needle) > 0, expr).otherwise(empty)
     empty_arr = F.array().cast("array<string>")
-    df = pages.select(
-        "page_id", "url",
-        U.page_key("url").alias("page_key"),
-        U.clean_url("url").alias("canonical_url"),
-        H.page_text(html).alias("text"),
-        H.page_text_nosep(html).alias("text_nosep"),
+    # stage 1: one pass over html; the visible form is computed once
+    s1 = pages.select(
+        "page_id", "url", U.clean_url("url").alias("canonical_url"),
+        H.visible_html(html).alias("vis"),
         H.page_title(html).alias("title"),
-        anchors(html).alias("links"),
-        guarded("<", open_tags(html), empty_arr).alias("tags"),
-        guarded("ld+json", jsonld_blocks(html), empty_arr).alias("ld_blocks"),
+        F.when(F.instr(html, "ld+json") > 0, jsonld_blocks(html)).otherwise(empty_arr).alias("ld_blocks"),
         X.emails(html).alias("raw_emails"),
         X.phones(html).alias("raw_phones"),
         (F.instr(html, "data-cfemail") > 0).alias("has_cf"),
         (F.instr(html, "mailto:") > 0).alias("has_mailto"),
     )
+    # stage 2: text nodes once, links and tags from the visible form
+    vis = F.col("vis")
+    s2 = s1.select(
+        "page_id", "url", U.strip_key("canonical_url").alias("page_key"), "canonical_url", "title",
+        F.transform(F.split(vis, H.TAG), H.decode_entities).alias("nodes"),
+        anchors(vis, visible=True).alias("links"),
+        open_tags(vis, visible=True).alias("tags"),
+        "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
+    df = s2.select(
+        "page_id", "url", "page_key", "canonical_url", "title",
+        F.array_join(F.filter(F.transform("nodes", U.py_strip), lambda t: t != ""), " ").alias("text"),
+        F.array_join("nodes", "").alias("text_nosep"),
+        "links", "tags", "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
     cands = F.concat(
         _channel("text_email", X.emails("text")),
         _channel("text_phone", X.phones("text")),

@@ -222,10 +222,10 @@ def mailto_address(e: str) -> str:
 
 def normalize_phone(e: str) -> str:
     d = digits_only(e)
-    return (f"(list_transform([{{'p': {e}, 'd': {d}}}], lambda x: CASE"
-            f" WHEN length(x.d) = 10 AND starts_with(x.d, '7') THEN '+94 ' || substr(x.d, 1, 2) || ' ' || substr(x.d, 3, 3) || ' ' || substr(x.d, 6, 5)"
-            f" WHEN length(x.d) = 11 AND starts_with(x.d, '947') THEN '+94 ' || substr(x.d, 4, 2) || ' ' || substr(x.d, 6, 3) || ' ' || substr(x.d, 9, 3)"
-            f" ELSE x.p END))[1]")
+    return (f"(list_transform([{{'p': {e}, 'd': {d}}}], lambda np_: CASE"
+            f" WHEN length(np_.d) = 10 AND starts_with(np_.d, '7') THEN '+94 ' || substr(np_.d, 1, 2) || ' ' || substr(np_.d, 3, 3) || ' ' || substr(np_.d, 6, 5)"
+            f" WHEN length(np_.d) = 11 AND starts_with(np_.d, '947') THEN '+94 ' || substr(np_.d, 4, 2) || ' ' || substr(np_.d, 6, 3) || ' ' || substr(np_.d, 9, 3)"
+            f" ELSE np_.p END))[1]")
 
 
 # ---------------------------------------------------------------- tags
