@@ -15,7 +15,7 @@ def _in(values) -> str:
     return "(" + ", ".join(D.lit(v) for v in values) + ")"
 
 
-def facts_ctes(src: str) -> list[tuple[str, str]]:
+def facts_ctes(src: str, dedup: bool = True) -> list[tuple[str, str]]:
     """page facts + candidates over table ``src`` (page_id, url, html)."""
     facts0 = f"""
 SELECT page_id, url, {D.page_key('url')} AS page_key, {D.clean_url('url')} AS canonical_url,
@@ -29,6 +29,8 @@ FROM {src}"""
     facts = """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY page_id) AS rn FROM facts0) WHERE rn = 1"""
+    if not dedup:
+        facts = "SELECT * FROM facts0"
     facts_out = f"""
 SELECT page_id, url, page_key, canonical_url, title, substr(text, 1, {P.EXTRACTION_TEXT_CHARS}) AS text5000,
   links, {D.facebook_href('tags')} AS fb_href, ld_blocks, text, text_nosep, tags, raw_emails, raw_phones,
@@ -217,7 +219,7 @@ def pipeline_sql(select: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + select
 
 
-def pages_facts_sql(select: str) -> str:
+def pages_facts_sql(select: str, dedup: bool = True) -> str:
     """Facts + candidates over the crawled ``pages`` table."""
-    ctes = facts_ctes("pages")
+    ctes = facts_ctes("pages", dedup)
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + select

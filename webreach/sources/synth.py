@@ -17,7 +17,7 @@ With k = c_custkey, site = https://site<k>.test:
   k%13=0; e-mail split by a tag k%17=0.
 * contact pages: '/contact-us' missing when k%8=1 so '/team' becomes primary.
 * Facebook page has a phone when k%12=0; maps / yelp / web hits rank 1..6,
-  pages exist for ranks 1, 2, 6; rank 2 has a phone when k%4 is 1 / 2 / 3;
+  pages exist for ranks 1, 2, 6; rank 2 has a phone when k%4 is 0 / 2 / 3;
   rank 6 (cut by top-5) always has one.
 * search snippets: 14 hits per unreachable site, the 13th (cut) has a phone.
 * ai_contacts by k%3 (and k%6=4), ai_decisions by k%4.
@@ -133,7 +133,7 @@ SELECT {K} * 100 + 3, 'https://www.facebook.com/site' || {KS}, {_FB_HTML}
 FROM customer WHERE {K} % 6 = 0
 UNION ALL
 SELECT {K} * 100 + 10 + r, 'https://maps.google.com/?cid=' || {KS} || CAST(r AS STRING),
-  {_hit_html('Maps', f"(r = 2 AND {K} % 4 = 1) OR r = 6")}
+  {_hit_html('Maps', f"(r = 2 AND {K} % 4 = 0) OR r = 6")}
 FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 6) ranks
 UNION ALL
 SELECT {K} * 100 + 20 + r, 'https://www.yelp.com/biz/site' || {KS} || '-' || CAST(r AS STRING),
