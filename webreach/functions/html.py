@@ -63,20 +63,41 @@ def visible_html(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"\r\n?", "\n"), INVISIBLE, "<>")
 
 
+# Text nodes are kept in one string separated by a private-use character, so
+# entity decoding, stripping and joining run once per page as plain
+# (code-generated) string functions instead of once per node.
+SEP = "\uE000"
+
+
+def node_string(c, visible: bool = False) -> Column:
+    """Decoded text nodes of a page joined by SEP (tags become separators)."""
+    vis = col(c) if visible else visible_html(c)
+    return decode_entities(F.regexp_replace(vis, TAG, SEP))
+
+
 def text_nodes(c) -> Column:
     """array<string>: decoded text nodes in document order (unstripped)."""
-    return F.transform(F.split(visible_html(c), TAG), decode_entities)
+    return F.split(node_string(c), SEP)
+
+
+def text_from_nodes(nodes: Column) -> Column:
+    """Separator form from a SEP-joined node string: every node stripped,
+    empty nodes dropped, the rest joined by one space."""
+    ws = "[" + P.WS + "]*"
+    s = F.regexp_replace(nodes, ws + SEP + ws, SEP)          # strip around every boundary
+    s = F.regexp_replace(s, SEP + "+", SEP)                    # drop empty nodes
+    s = F.regexp_replace(s, "^(" + SEP + "|[" + P.WS + "])+|(" + SEP + "|[" + P.WS + "])+\\z", "")
+    return F.replace(s, F.lit(SEP), F.lit(" "))
 
 
 def page_text(c) -> Column:
     """O-C1: text nodes stripped, blanks dropped, joined by one space."""
-    stripped = F.transform(text_nodes(c), py_strip)
-    return F.array_join(F.filter(stripped, lambda s: s != ""), " ")
+    return text_from_nodes(node_string(c))
 
 
 def page_text_nosep(c) -> Column:
     """O-C2: text nodes concatenated as they are."""
-    return F.array_join(text_nodes(c), "")
+    return F.replace(node_string(c), F.lit(SEP), F.lit(""))
 
 
 def page_title(c) -> Column:

@@ -59,7 +59,7 @@ def _empty(spark, schema: str) -> DataFrame:
 
 def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
           ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
-          reuse: str = "checkpoint", jsonld_depth: int = 12) -> Stages:
+          reuse: str = "table", jsonld_depth: int = 12) -> Stages:
     spark = pages.sparkSession
     search = search_results if search_results is not None else _empty(spark, SEARCH_SCHEMA)
     ai_c = ai_contacts if ai_contacts is not None else _empty(spark, AI_CONTACTS_SCHEMA)
@@ -98,6 +98,9 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     need = (websites.join(has_phone, "url", "left_anti")
             .select("url", F.col("title").alias("company"), "fb_href"))
     chain = FB.run_chain(need, search, cands)
+    chain["all"] = materialize(chain["all"], reuse)
+    for n in FB.STAGE_ORDER:
+        chain[n] = chain["all"].filter(F.col("stage") == n)
     solved = chain["all"]
     extra = solved.select("url", F.explode(F.concat(
         F.transform("phones", lambda v: nstruct(kind=F.lit("phone"), value=v)),
@@ -119,8 +122,8 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
                              F.coalesce("summary", F.lit("")).alias("summary")))
 
     unreachable = land.filter(F.col("landing_id").isNull()).select("url")
-    snippets = FB.snippet_contacts(unreachable, search)
-    contacts = page_contacts.unionByName(snippets)
+    snippets = materialize(FB.snippet_contacts(unreachable, search), reuse)
+    contacts = materialize(page_contacts.unionByName(snippets), reuse)
     return Stages(facts=facts, cands=cands, targets=targets, sites=site_df, landing=land, links=links,
                   subpages=subs, primary=primary, site_cands=site_cands, ai=ai, kept=kept, need=need,
                   chain=chain, snippets=snippets, contacts=contacts)
@@ -128,7 +131,7 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
 
 def gather_contacts(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
                     ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
-                    reuse: str = "checkpoint") -> DataFrame:
+                    reuse: str = "table") -> DataFrame:
     """O-K1: one row per input row whose site produced a record, in the
     contact-record shape (Website, Email, Phone, AI Summary) plus input_pos."""
     st = build(targets_raw, pages, search_results, ai_contacts, ai_decisions, reuse)

@@ -121,14 +121,14 @@ def page_facts(pages: DataFrame) -> DataFrame:
     vis = F.col("vis")
     s2 = s1.select(
         "page_id", "url", U.strip_key("canonical_url").alias("page_key"), "canonical_url", "title",
-        F.transform(F.split(vis, H.TAG), H.decode_entities).alias("nodes"),
+        H.node_string(vis, visible=True).alias("nodes"),
         anchors(vis, visible=True).alias("links"),
         open_tags(vis, visible=True).alias("tags"),
         "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
     df = s2.select(
         "page_id", "url", "page_key", "canonical_url", "title",
-        F.array_join(F.filter(F.transform("nodes", U.py_strip), lambda t: t != ""), " ").alias("text"),
-        F.array_join("nodes", "").alias("text_nosep"),
+        H.text_from_nodes(F.col("nodes")).alias("text"),
+        F.replace(F.col("nodes"), F.lit(H.SEP), F.lit("")).alias("text_nosep"),
         "links", "tags", "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
     cands = F.concat(
         _channel("text_email", X.emails("text")),

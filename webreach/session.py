@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -66,16 +67,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
+def materialize(df: DataFrame, mode: str = "table") -> DataFrame:
     """Reuse an intermediate that several joins read.
 
-    ``persist``: executor memory + disk, recomputed from lineage if an
-    executor is lost. ``checkpoint``: written to the shared checkpoint folder,
-    lineage cut. ``none``: leave it to Catalyst (exchange reuse).
+    ``table``: written once as parquet into the shared checkpoint folder and
+    read back (lineage cut, column pruning and filter pushdown on reuse, and
+    it survives lost executors). ``checkpoint``: Spark's reliable RDD
+    checkpoint. ``persist``: executor memory + disk, recomputed from lineage
+    if an executor is lost. ``none``: leave it to Catalyst.
     """
+    spark = df.sparkSession
+    if mode == "table":
+        path = os.path.join(checkpoint_dir(spark), f"webreach-{uuid.uuid4().hex}")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     if mode == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "checkpoint":
-        checkpoint_dir(df.sparkSession)
+        checkpoint_dir(spark)
         return df.checkpoint(eager=True)
     return df
