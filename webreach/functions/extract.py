@@ -18,8 +18,9 @@ def find_all(c, pattern: str) -> Column:
 
 
 def emails(c) -> Column:
-    """O-D1: distinct e-mail matches."""
-    return F.array_distinct(find_all(c, P.EMAIL))
+    """O-D1: distinct e-mail matches (the regex only runs when an '@' is present)."""
+    return F.when(F.instr(col(c), "@") > 0, F.array_distinct(find_all(c, P.EMAIL))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def digits_only(c) -> Column:
@@ -33,10 +34,14 @@ def has_min_digits(c, n: int = P.MIN_PHONE_DIGITS) -> Column:
 
 
 def phones(c) -> Column:
-    """O-D2: union of the three effective patterns, then the 7-digit rule."""
+    """O-D2: union of the three effective patterns, then the 7-digit rule.
+
+    Every pattern needs three consecutive digits, so texts without them
+    skip the three scans.
+    """
     a, b, cc = (find_all(c, p) for p in P.PHONE_PATTERNS)
-    raw = F.array_union(F.array_union(a, b), cc)
-    return F.filter(raw, lambda v: has_min_digits(v))
+    raw = F.filter(F.array_union(F.array_union(a, b), cc), lambda v: has_min_digits(v))
+    return F.when(col(c).rlike(P.THREE_DIGITS), raw).otherwise(F.array().cast("array<string>"))
 
 
 def cf_decode(c) -> Column:

@@ -48,8 +48,17 @@ def _decode_numeric_bound(s: Column) -> Column:
     return F.when(F.instr(s, "&#") > 0, decoded).otherwise(s)
 
 
-def decode_entities(c) -> Column:
-    """Named entities from the fixed table, then numeric ones, '&amp;' last."""
+def decode_entities(c, bind: bool = True) -> Column:
+    """Named entities from the fixed table, then numeric ones, '&amp;' last.
+
+    ``bind=False`` when ``c`` is a plain column or lambda variable (then the
+    expression stays code-generated; it is referenced more than once).
+    """
+    guarded = lambda v: F.when(F.instr(v, "&") > 0, _decode_all(v)).otherwise(v)
+    return let(c, guarded) if bind else guarded(col(c))
+
+
+def _decode_all(c) -> Column:
     s = col(c)
     named = [e for e in P.HTML_ENTITIES if e[0] != "&amp;"]
     for ent, ch in named:
@@ -69,10 +78,15 @@ def visible_html(c) -> Column:
 SEP = "\uE000"
 
 
+def raw_node_string(c, visible: bool = False) -> Column:
+    """Undecoded text nodes joined by SEP (every tag becomes a separator)."""
+    vis = col(c) if visible else visible_html(c)
+    return F.regexp_replace(vis, TAG, SEP)
+
+
 def node_string(c, visible: bool = False) -> Column:
     """Decoded text nodes of a page joined by SEP (tags become separators)."""
-    vis = col(c) if visible else visible_html(c)
-    return decode_entities(F.regexp_replace(vis, TAG, SEP))
+    return decode_entities(raw_node_string(c, visible))
 
 
 def text_nodes(c) -> Column:
@@ -82,12 +96,18 @@ def text_nodes(c) -> Column:
 
 def text_from_nodes(nodes: Column) -> Column:
     """Separator form from a SEP-joined node string: every node stripped,
-    empty nodes dropped, the rest joined by one space."""
-    ws = "[" + P.WS + "]*"
-    s = F.regexp_replace(nodes, ws + SEP + ws, SEP)          # strip around every boundary
-    s = F.regexp_replace(s, SEP + "+", SEP)                    # drop empty nodes
-    s = F.regexp_replace(s, "^(" + SEP + "|[" + P.WS + "])+|(" + SEP + "|[" + P.WS + "])+\\z", "")
-    return F.replace(s, F.lit(SEP), F.lit(" "))
+    empty nodes dropped, the rest joined by one space.
+
+    Each regex starts with the SEP literal (a regex starting with the
+    whitespace class is tried at every character); whitespace before a
+    separator is removed on the reversed string.
+    """
+    after = "[" + SEP + "][" + P.WS + "]+"
+    edge = "^[" + SEP + P.WS + "]+"
+    s = F.regexp_replace(nodes, after, SEP)                         # strip node starts
+    s = F.reverse(F.regexp_replace(F.regexp_replace(F.reverse(s), after, SEP), edge, ""))  # node ends, text end
+    s = F.regexp_replace(s, edge, "")                                # text start
+    return F.regexp_replace(s, "[" + SEP + "]+", " ")               # drop empty nodes, join by ' '
 
 
 def page_text(c) -> Column:

@@ -34,6 +34,8 @@ PHONE_B = (r"(?:" + _N + r"{2,3}|\(" + _N + r"{2,3}\))?" + _SEP
            + _N + "{3,4}" + _SEP + _N + "{4}")
 PHONE_C = _N + "{4}" + _SEP + _N + "{3}" + _SEP + _N + "{3}"
 PHONE_PATTERNS = (PHONE_A, PHONE_B, PHONE_C)
+# Every phone pattern contains three consecutive digits.
+THREE_DIGITS = _N + "{3}"
 
 # Minimum number of digits for a phone candidate.
 MIN_PHONE_DIGITS = 7

@@ -112,7 +112,15 @@ def clean_url(c) -> Column:
                        F.when(p["frag"] != "", F.concat(F.lit("#"), p["frag"])).otherwise(F.lit("")))
         return F.regexp_replace(out, r"\?+\z", "")
 
-    return let(c, lambda u: F.when(u.isNull(), F.lit(None)).otherwise(let(parts(u), build)))
+    u = col(c)
+    # fast path (no '?', so no query to rewrite): lower-case the scheme and
+    # drop an empty fragment; plain string functions, code-generated
+    lowered = F.concat(F.lower(F.regexp_extract(u, P.SCHEME, 0)), F.regexp_replace(u, P.SCHEME, ""))
+    simple = F.when(F.instr(lowered, "#") == F.length(lowered), F.substr(lowered, F.lit(1), F.length(lowered) - 1))\
+        .otherwise(lowered)
+    return (F.when(u.isNull(), F.lit(None))
+            .when(F.instr(u, "?") == 0, simple)
+            .otherwise(let(u, lambda x: let(parts(x), build))))
 
 
 def strip_key(c) -> Column:

@@ -59,7 +59,8 @@ def anchors(html: Column, visible: bool = False) -> Column:
     zipped = F.arrays_zip(attrs.alias("a"), inner.alias("t"))
     rows = F.transform(zipped, lambda z, i: U.nstruct(
         pos=i, has_href=has_attr(z["a"], "href"),
-        href=U.py_strip(attr(z["a"], "href")), text=H.page_text(z["t"])))
+        href=U.py_strip(attr(z["a"], "href")),
+        text=H.text_from_nodes(H.decode_entities(H.raw_node_string(z["t"], visible=True), bind=False))))
     usable = F.filter(rows, lambda r: r["has_href"] & (r["href"] != "")
                       & ~F.startswith(r["href"], F.lit("mailto:"))
                       & ~F.startswith(r["href"], F.lit("#")))
@@ -121,11 +122,12 @@ def page_facts(pages: DataFrame) -> DataFrame:
     vis = F.col("vis")
     s2 = s1.select(
         "page_id", "url", U.strip_key("canonical_url").alias("page_key"), "canonical_url", "title",
-        H.node_string(vis, visible=True).alias("nodes"),
+        H.raw_node_string(vis, visible=True).alias("raw_nodes"),
         anchors(vis, visible=True).alias("links"),
         open_tags(vis, visible=True).alias("tags"),
         "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
-    df = s2.select(
+    s3 = s2.select("*", H.decode_entities("raw_nodes", bind=False).alias("nodes")).drop("raw_nodes")
+    df = s3.select(
         "page_id", "url", "page_key", "canonical_url", "title",
         H.text_from_nodes(F.col("nodes")).alias("text"),
         F.replace(F.col("nodes"), F.lit(H.SEP), F.lit("")).alias("text_nosep"),
