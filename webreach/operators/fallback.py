@@ -67,24 +67,42 @@ def stage_answers(need: DataFrame, search: DataFrame, cands: DataFrame) -> DataF
     """Every stage's answer for every site that needs a phone, side by side.
 
     need(url, company, fb_href) -> (url, facebook, maps, yelp, web), each a
-    struct<phones, emails> or null. One linear plan of left joins: each
-    per-query answer is computed once and joined back by its query.
+    struct<phones, emails> or null. The three search stages run as one pass
+    keyed by (stage, query): one top-k window, one candidate join, one
+    aggregation; each per-query answer is computed once and joined back.
     """
+    empty = F.array().cast("array<string>")
     fb = facebook_phones(need.filter(F.col("fb_href").isNotNull()), cands)
-    out = (need.withColumn("fb_key", U.page_key("fb_href"))
-           .join(fb, "fb_key", "left")
-           .withColumn("facebook", F.when(F.col("phones").isNotNull(), U.nstruct(
-               phones=F.col("phones"), emails=F.array().cast("array<string>"))))
-           .drop("phones", "fb_key"))
-    for name, suffix, pch, ech in STAGES:
-        qcol = f"q_{name}"
-        out = out.withColumn(qcol, U.search_key(F.col("company"), suffix))
-        needed = search.join(out.select(F.col(qcol).alias("query")).distinct(), "query", "left_semi")
-        best = (first_hit_with_phone(needed, cands, pch, ech)
-                .select(F.col("query").alias(qcol),
-                        F.struct("phones", "emails").alias(name)))
-        out = out.join(best, qcol, "left").drop(qcol)
-    return out.select("url", *STAGE_ORDER)
+    base = (need.withColumn("fb_key", U.page_key("fb_href"))
+            .join(fb, "fb_key", "left")
+            .select("url", "company",
+                    F.when(F.col("phones").isNotNull(), U.nstruct(phones=F.col("phones"), emails=empty))
+                    .alias("facebook")))
+
+    stage_rows = F.explode(F.array(*[U.nstruct(stage=F.lit(n), query=U.search_key(F.col("company"), suffix))
+                                     for n, suffix, _, _ in STAGES]))
+    wanted = need.select("url", stage_rows.alias("s")).select("url", "s.stage", "s.query")
+    queries = wanted.select("stage", "query").distinct()
+    hits = top_hits(search.join(queries.select("query").distinct(), "query", "left_semi")
+                    .select("query", "rank", "href"), P.SEARCH_HITS)
+    hits = hits.join(queries, "query").withColumn("page_key", U.page_key("href"))
+    phone_ch = F.create_map(*[x for n, _, pch, _ in STAGES for x in (F.lit(n), F.lit(pch))])
+    email_ch = F.create_map(*[x for n, _, _, ech in STAGES for x in (F.lit(n), F.lit(ech or ""))])
+    chans = sorted({c for _, _, pch, ech in STAGES for c in (pch, ech) if c})
+    c = cands.filter(F.col("channel").isin(*chans))
+    joined = hits.join(c, "page_key").filter(
+        (F.col("channel") == phone_ch[F.col("stage")]) | (F.col("channel") == email_ch[F.col("stage")]))
+    per_hit = (joined.groupBy("stage", "query", "rank")
+               .agg(F.array_sort(F.collect_set(F.when(F.col("channel") == phone_ch[F.col("stage")], F.col("value"))))
+                    .alias("phones"),
+                    F.array_sort(F.collect_set(F.when(F.col("channel") == email_ch[F.col("stage")], F.col("value"))))
+                    .alias("emails")))
+    best = (per_hit.filter(F.size("phones") > 0).groupBy("stage", "query")
+            .agg(F.min_by(U.nstruct(phones=F.col("phones"), emails=F.col("emails")), "rank").alias("a")))
+    answers = (wanted.join(best, ["stage", "query"])
+               .groupBy("url").agg(*[F.max(F.when(F.col("stage") == n, F.col("a"))).alias(n)
+                                     for n, _, _, _ in STAGES]))
+    return base.join(answers, "url", "left").select("url", *STAGE_ORDER)
 
 
 def run_chain(need: DataFrame, search: DataFrame, cands: DataFrame) -> dict[str, DataFrame]:

@@ -101,6 +101,7 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     chain["all"] = materialize(chain["all"], reuse)
     for n in FB.STAGE_ORDER:
         chain[n] = chain["all"].filter(F.col("stage") == n)
+    chain["unsolved"] = need.select("url").join(chain["all"].select("url"), "url", "left_anti")
     solved = chain["all"]
     extra = solved.select("url", F.explode(F.concat(
         F.transform("phones", lambda v: nstruct(kind=F.lit("phone"), value=v)),
