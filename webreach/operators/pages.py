@@ -30,16 +30,30 @@ def attr_re(name: str) -> str:
             + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 
 
+def _quoted_attr_re(name: str) -> str:
+    # same grammar as attr_re, value captured with its quotes in one group
+    return (r"(?is)(?:^|\s|<a)" + name
+            + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)")
+
+
 def has_attr(tag: Column, name: str) -> Column:
     return tag.rlike(attr_re(name))
 
 
 def attr(tag: Column, name: str) -> Column:
     """First value of attribute ``name`` in a tag text, entities decoded."""
-    r = attr_re(name)
-    raw = F.concat(F.regexp_extract(tag, r, 1), F.regexp_extract(tag, r, 2),
-                   F.regexp_extract(tag, r, 3))
-    return H.decode_entities(raw)
+    raw = F.regexp_extract(tag, _quoted_attr_re(name), 1)
+    quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
+    value = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return H.decode_entities(value, bind=False)
+
+
+def _attr_pair(tag: Column, name: str) -> Column:
+    """(present, value) of attribute ``name`` from one regex evaluation."""
+    return U.let(F.regexp_extract(tag, _quoted_attr_re(name), 1), lambda raw: U.nstruct(
+        present=raw != "",
+        value=H.decode_entities(F.when(F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'")),
+                                       F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw), bind=False)))
 
 
 def _channel(name: str, values: Column) -> Column:
@@ -57,10 +71,14 @@ def anchors(html: Column, visible: bool = False) -> Column:
     attrs = F.regexp_extract_all(vis, F.lit(ANCHOR_ATTRS), F.lit(1))
     inner = F.regexp_extract_all(vis, F.lit(ANCHOR_INNER), F.lit(1))
     zipped = F.arrays_zip(attrs.alias("a"), inner.alias("t"))
-    rows = F.transform(zipped, lambda z, i: U.nstruct(
-        pos=i, has_href=has_attr(z["a"], "href"),
-        href=U.py_strip(attr(z["a"], "href")),
-        text=H.text_from_nodes(H.decode_entities(H.raw_node_string(z["t"], visible=True), bind=False))))
+    def anchor_text(t):
+        # without tags or entities the anchor is one text node: strip it
+        plain = (F.instr(t, "<") == 0) & (F.instr(t, "&") == 0)
+        return F.when(plain, U.py_strip(t)).otherwise(
+            H.text_from_nodes(H.decode_entities(H.raw_node_string(t, visible=True), bind=False)))
+
+    rows = F.transform(zipped, lambda z, i: U.let(_attr_pair(z["a"], "href"), lambda h: U.nstruct(
+        pos=i, has_href=h["present"], href=U.py_strip(h["value"]), text=anchor_text(z["t"]))))
     usable = F.filter(rows, lambda r: r["has_href"] & (r["href"] != "")
                       & ~F.startswith(r["href"], F.lit("mailto:"))
                       & ~F.startswith(r["href"], F.lit("#")))

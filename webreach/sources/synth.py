@@ -36,6 +36,13 @@ def _pad(expr: str, n: int) -> str:
     return f"lpad(CAST({expr} AS STRING), {n}, '0')"
 
 
+def _per_rank(select_sql: str, ranks, where: str = "") -> str:
+    """One UNION ALL branch per rank (r is a literal in each branch), so no
+    plan multiplies customer by a constant table."""
+    cond = f" WHERE {where}" if where else ""
+    return "\nUNION ALL\n".join(select_sql.replace("{r}", str(r)) + f" FROM customer{cond}" for r in ranks)
+
+
 KS = _s(K)
 SITE = f"'https://site' || {KS} || '.test'"
 COMPANY = f"CASE WHEN {K} % 13 = 0 THEN 'Unknown' ELSE 'Site ' || {KS} || ' & Co' END"
@@ -132,52 +139,37 @@ UNION ALL
 SELECT {K} * 100 + 3, 'https://www.facebook.com/site' || {KS}, {_FB_HTML}
 FROM customer WHERE {K} % 6 = 0
 UNION ALL
-SELECT {K} * 100 + 10 + r, 'https://maps.google.com/?cid=' || {KS} || CAST(r AS STRING),
-  {_hit_html('Maps', f"(r = 2 AND {K} % 4 = 0) OR r = 6")}
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 6) ranks
-UNION ALL
-SELECT {K} * 100 + 20 + r, 'https://www.yelp.com/biz/site' || {KS} || '-' || CAST(r AS STRING),
-  {_hit_html('Yelp', f"(r = 2 AND {K} % 4 = 2) OR r = 6")}
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 6) ranks
-UNION ALL
-SELECT {K} * 100 + 30 + r, 'https://dir' || {KS} || '.test/listing/' || CAST(r AS STRING),
-  {_web_html(f"(r = 2 AND {K} % 4 = 3) OR r = 6")}
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 6) ranks
-"""
-
-SEARCH_RESULTS = f"""
-SELECT {COMPANY} || ' site:maps.google.com phone number' AS query, r AS rank,
-  'https://maps.google.com/?cid=' || {KS} || CAST(r AS STRING) AS href,
-  'Maps result ' || CAST(r AS STRING) AS title, 'Map listing' AS body
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) ranks
-WHERE {K} % 13 <> 0
+""" + _per_rank(
+    f"SELECT {K} * 100 + 10 + {{r}} AS page_id, 'https://maps.google.com/?cid=' || {KS} || '{{r}}' AS url, "
+    f"{_hit_html('Maps', f'({{r}} = 2 AND {K} % 4 = 0) OR {{r}} = 6')} AS html", (1, 2, 6)) + """
 UNION ALL
-SELECT {COMPANY} || ' site:yelp.com phone number', r,
-  'https://www.yelp.com/biz/site' || {KS} || '-' || CAST(r AS STRING),
-  'Yelp result ' || CAST(r AS STRING), 'Reviews'
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) ranks
-WHERE {K} % 13 <> 0
+""" + _per_rank(
+    f"SELECT {K} * 100 + 20 + {{r}}, 'https://www.yelp.com/biz/site' || {KS} || '-{{r}}', "
+    f"{_hit_html('Yelp', f'({{r}} = 2 AND {K} % 4 = 2) OR {{r}} = 6')}", (1, 2, 6)) + """
 UNION ALL
-SELECT {COMPANY} || ' phone number', r,
-  'https://dir' || {KS} || '.test/listing/' || CAST(r AS STRING),
-  'Directory ' || CAST(r AS STRING), 'Directory entry'
-FROM customer, (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) ranks
-WHERE {K} % 13 <> 0
-UNION ALL
-SELECT 'site' || {KS} || '.test contact email phone', r,
-  'https://snip.test/' || {KS} || '/' || CAST(r AS STRING),
-  'Site ' || {KS} || ' result ' || CAST(r AS STRING),
-  CASE WHEN {K} % 22 = 0 THEN 'Nothing useful here'
-       WHEN r = 3 THEN 'Email us at desk' || {KS} || '@site' || {KS} || '.test today'
-       WHEN r = 5 THEN 'Call 011 2574 ' || {P3} || ' or visit'
-       WHEN r = 13 THEN 'Old number (03) 9999 ' || {P4}
-       ELSE 'Opening hours' END
-FROM customer,
-  (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5
-   UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10
-   UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14) ranks
-WHERE {K} % 11 = 0
-"""
+""" + _per_rank(
+    f"SELECT {K} * 100 + 30 + {{r}}, 'https://dir' || {KS} || '.test/listing/{{r}}', "
+    f"{_web_html(f'({{r}} = 2 AND {K} % 4 = 3) OR {{r}} = 6')}", (1, 2, 6))
+
+_SNIPPET_BODY = (f"CASE WHEN {K} % 22 = 0 THEN 'Nothing useful here'"
+                 f" WHEN {{r}} = 3 THEN 'Email us at desk' || {KS} || '@site' || {KS} || '.test today'"
+                 f" WHEN {{r}} = 5 THEN 'Call 011 2574 ' || {P3} || ' or visit'"
+                 f" WHEN {{r}} = 13 THEN 'Old number (03) 9999 ' || {P4}"
+                 f" ELSE 'Opening hours' END")
+
+SEARCH_RESULTS = "\nUNION ALL\n".join([
+    _per_rank(f"SELECT {COMPANY} || ' site:maps.google.com phone number' AS query, {{r}} AS rank, "
+              f"'https://maps.google.com/?cid=' || {KS} || '{{r}}' AS href, 'Maps result {{r}}' AS title, "
+              f"'Map listing' AS body", range(1, 7), f"{K} % 13 <> 0"),
+    _per_rank(f"SELECT {COMPANY} || ' site:yelp.com phone number', {{r}}, "
+              f"'https://www.yelp.com/biz/site' || {KS} || '-{{r}}', 'Yelp result {{r}}', 'Reviews'",
+              range(1, 7), f"{K} % 13 <> 0"),
+    _per_rank(f"SELECT {COMPANY} || ' phone number', {{r}}, 'https://dir' || {KS} || '.test/listing/{{r}}', "
+              f"'Directory {{r}}', 'Directory entry'", range(1, 7), f"{K} % 13 <> 0"),
+    _per_rank(f"SELECT 'site' || {KS} || '.test contact email phone', {{r}}, "
+              f"'https://snip.test/' || {KS} || '/{{r}}', 'Site ' || {KS} || ' result {{r}}', {_SNIPPET_BODY}",
+              range(1, 15), f"{K} % 11 = 0"),
+])
 
 AI_CONTACTS = f"""
 SELECT CASE WHEN {K} % 8 = 5 THEN {SITE} || '/contact-us' ELSE {SITE} || '/' END AS url,
