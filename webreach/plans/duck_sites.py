@@ -214,7 +214,7 @@ FROM snip_sites s JOIN snip_text t ON t.query = s.query"""
 
 
 def pipeline_sql(select: str) -> str:
-    ctes = [(n, s) for n, s in synth.SYNTH_TABLES.items()]
+    ctes = [(n, synth.for_dialect(s, "duckdb")) for n, s in synth.SYNTH_TABLES.items()]
     ctes += facts_ctes("syn_pages") + site_ctes()
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + select
 

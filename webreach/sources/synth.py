@@ -37,10 +37,26 @@ def _pad(expr: str, n: int) -> str:
 
 
 def _per_rank(select_sql: str, ranks, where: str = "") -> str:
-    """One UNION ALL branch per rank (r is a literal in each branch), so no
-    plan multiplies customer by a constant table."""
+    """Rows of ``customer`` times ``ranks`` through a per-row generator (no
+    join). The generator is the one dialect-specific piece of text, filled in
+    by ``for_dialect``."""
     cond = f" WHERE {where}" if where else ""
-    return "\nUNION ALL\n".join(select_sql.replace("{r}", str(r)) + f" FROM customer{cond}" for r in ranks)
+    token = "__RANKS_" + "_".join(str(r) for r in ranks) + "__"
+    return select_sql.replace("{r}", "r") + f" FROM {token}{cond}"
+
+
+def _ranks_source(ranks, dialect: str) -> str:
+    values = ", ".join(str(r) for r in ranks)
+    if dialect == "spark":
+        return f"(SELECT *, explode(array({values})) AS r FROM customer) ranked"
+    return f"(SELECT *, unnest([{values}]) AS r FROM customer) ranked"
+
+
+def for_dialect(sql: str, dialect: str) -> str:
+    """Replace rank-generator tokens with Spark or DuckDB text."""
+    import re as _re
+    return _re.sub(r"__RANKS_([0-9_]+)__",
+                   lambda m: _ranks_source([int(x) for x in m.group(1).split("_")], dialect), sql)
 
 
 KS = _s(K)
@@ -140,15 +156,15 @@ SELECT {K} * 100 + 3, 'https://www.facebook.com/site' || {KS}, {_FB_HTML}
 FROM customer WHERE {K} % 6 = 0
 UNION ALL
 """ + _per_rank(
-    f"SELECT {K} * 100 + 10 + {{r}} AS page_id, 'https://maps.google.com/?cid=' || {KS} || '{{r}}' AS url, "
+    f"SELECT {K} * 100 + 10 + {{r}} AS page_id, 'https://maps.google.com/?cid=' || {KS} || CAST({{r}} AS STRING) AS url, "
     f"{_hit_html('Maps', f'({{r}} = 2 AND {K} % 4 = 0) OR {{r}} = 6')} AS html", (1, 2, 6)) + """
 UNION ALL
 """ + _per_rank(
-    f"SELECT {K} * 100 + 20 + {{r}}, 'https://www.yelp.com/biz/site' || {KS} || '-{{r}}', "
+    f"SELECT {K} * 100 + 20 + {{r}}, 'https://www.yelp.com/biz/site' || {KS} || '-' || CAST({{r}} AS STRING), "
     f"{_hit_html('Yelp', f'({{r}} = 2 AND {K} % 4 = 2) OR {{r}} = 6')}", (1, 2, 6)) + """
 UNION ALL
 """ + _per_rank(
-    f"SELECT {K} * 100 + 30 + {{r}}, 'https://dir' || {KS} || '.test/listing/{{r}}', "
+    f"SELECT {K} * 100 + 30 + {{r}}, 'https://dir' || {KS} || '.test/listing/' || CAST({{r}} AS STRING), "
     f"{_web_html(f'({{r}} = 2 AND {K} % 4 = 3) OR {{r}} = 6')}", (1, 2, 6))
 
 _SNIPPET_BODY = (f"CASE WHEN {K} % 22 = 0 THEN 'Nothing useful here'"
@@ -159,15 +175,17 @@ _SNIPPET_BODY = (f"CASE WHEN {K} % 22 = 0 THEN 'Nothing useful here'"
 
 SEARCH_RESULTS = "\nUNION ALL\n".join([
     _per_rank(f"SELECT {COMPANY} || ' site:maps.google.com phone number' AS query, {{r}} AS rank, "
-              f"'https://maps.google.com/?cid=' || {KS} || '{{r}}' AS href, 'Maps result {{r}}' AS title, "
+              f"'https://maps.google.com/?cid=' || {KS} || CAST({{r}} AS STRING) AS href, "
+              f"'Maps result ' || CAST({{r}} AS STRING) AS title, "
               f"'Map listing' AS body", range(1, 7), f"{K} % 13 <> 0"),
     _per_rank(f"SELECT {COMPANY} || ' site:yelp.com phone number', {{r}}, "
-              f"'https://www.yelp.com/biz/site' || {KS} || '-{{r}}', 'Yelp result {{r}}', 'Reviews'",
+              f"'https://www.yelp.com/biz/site' || {KS} || '-' || CAST({{r}} AS STRING), "
+              f"'Yelp result ' || CAST({{r}} AS STRING), 'Reviews'",
               range(1, 7), f"{K} % 13 <> 0"),
-    _per_rank(f"SELECT {COMPANY} || ' phone number', {{r}}, 'https://dir' || {KS} || '.test/listing/{{r}}', "
-              f"'Directory {{r}}', 'Directory entry'", range(1, 7), f"{K} % 13 <> 0"),
+    _per_rank(f"SELECT {COMPANY} || ' phone number', {{r}}, 'https://dir' || {KS} || '.test/listing/' || CAST({{r}} AS STRING), "
+              f"'Directory ' || CAST({{r}} AS STRING), 'Directory entry'", range(1, 7), f"{K} % 13 <> 0"),
     _per_rank(f"SELECT 'site' || {KS} || '.test contact email phone', {{r}}, "
-              f"'https://snip.test/' || {KS} || '/{{r}}', 'Site ' || {KS} || ' result {{r}}', {_SNIPPET_BODY}",
+              f"'https://snip.test/' || {KS} || '/' || CAST({{r}} AS STRING), 'Site ' || {KS} || ' result ' || CAST({{r}} AS STRING), {_SNIPPET_BODY}",
               range(1, 15), f"{K} % 11 = 0"),
 ])
 
@@ -201,11 +219,11 @@ SYNTH_TABLES = {
 def cte_prefix(names=None) -> str:
     """'WITH a AS (...), b AS (...)' for the DuckDB twins."""
     names = names or list(SYNTH_TABLES)
-    return "WITH " + ",\n".join(f"{n} AS ({SYNTH_TABLES[n]})" for n in names)
+    return "WITH " + ",\n".join(f"{n} AS ({for_dialect(SYNTH_TABLES[n], 'duckdb')})" for n in names)
 
 
 def register(spark, customer_df, view: str = "webreach_customer") -> dict:
     """Create the synthetic tables as DataFrames derived from ``customer``."""
     customer_df.createOrReplaceTempView(view)
-    return {name: spark.sql(sql.replace("FROM customer", f"FROM {view}"))
+    return {name: spark.sql(for_dialect(sql, "spark").replace("FROM customer", f"FROM {view}"))
             for name, sql in SYNTH_TABLES.items()}
