@@ -22,13 +22,17 @@ def test_enrich_keeps_every_row(spark):
 
 
 def test_without_external_tables_finals_are_candidates(spark):
-    """No keep-list and no fallbacks: every final value is a candidate."""
+    """No search results and no model replies: every final value is a page
+    candidate of the site or came from its Facebook page."""
+    from webreach.functions.urls import py_strip
     from webreach.operators import gather as G
     T = SQ.stages(spark, SF).tables
     st = G.build(T["syn_targets"], T["syn_pages"])
     finals = st.contacts.select("url", F.explode(F.concat("emails", "phones")).alias("v"))
-    cands = st.site_cands.select("url", F.trim("value").alias("v"))
-    assert finals.join(cands, ["url", "v"], "left_anti").count() == 0
+    cands = st.site_cands.select("url", py_strip("value").alias("v"))
+    fb = st.chain["all"].select("url", F.explode("phones").alias("v"))
+    assert set(st.chain["all"].select("stage").distinct().toPandas()["stage"]) <= {"facebook"}
+    assert finals.join(cands.unionByName(fb), ["url", "v"], "left_anti").count() == 0
 
 
 def test_every_fallback_stage_and_branch_fires(spark):

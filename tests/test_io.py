@@ -86,3 +86,13 @@ def test_display_rows(spark):
     flat = spark.createDataFrame([("https://www.a.com/", "", None, "s")], "website string, email string, phone string, summary string")
     r = IO.display_rows(flat).first()
     assert (r.website, r.email, r.phone, r.summary) == ("www.a.com", "—", "—", "s")
+
+
+def test_fetchable_status_and_final_url(spark):
+    from webreach.operators.pages import fetchable
+    df = spark.createDataFrame(
+        [(1, "https://a.com", "https://a.com/home", "<p>x</p>", 200), (2, "https://b.com", None, "", 404),
+         (3, "https://c.com", None, "", None)],
+        "page_id long, url string, final_url string, html string, status int")
+    rows = {r.page_id: r.url for r in fetchable(df).collect()}
+    assert rows == {1: "https://a.com/home", 3: "https://c.com"}

@@ -85,8 +85,12 @@ def raw_node_string(c, visible: bool = False) -> Column:
 
 
 def node_string(c, visible: bool = False) -> Column:
-    """Decoded text nodes of a page joined by SEP (tags become separators)."""
-    return decode_entities(raw_node_string(c, visible))
+    """Decoded text nodes of a page joined by SEP (tags become separators).
+
+    Not bound through a lambda: the guard and both branches share the same
+    input, which code generation evaluates once (subexpression elimination).
+    """
+    return decode_entities(raw_node_string(c, visible), bind=False)
 
 
 def text_nodes(c) -> Column:

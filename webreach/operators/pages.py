@@ -121,8 +121,19 @@ def jsonld_blocks(html: Column) -> Column:
     return F.transform(ld, lambda s: s["b"])
 
 
+def fetchable(pages: DataFrame) -> DataFrame:
+    """O-A4: a page counts as fetched when its optional ``status`` is null
+    or 200..399; an optional ``final_url`` (after redirects) is its URL."""
+    if "status" in pages.columns:
+        pages = pages.filter(F.col("status").isNull() | F.col("status").between(200, 399))
+    if "final_url" in pages.columns:
+        pages = pages.withColumn("url", F.coalesce("final_url", "url"))
+    return pages.select("page_id", "url", "html")
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
     """One narrow row per page; the only operator that reads ``html``."""
+    pages = fetchable(pages)
     html = F.col("html")
     empty_arr = F.array().cast("array<string>")
     # stage 1: one pass over html; the visible form is computed once
