@@ -52,11 +52,13 @@ def read_url_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return df.withColumn("input_pos", F.monotonically_increasing_id()), url_col
 
 
-def read_url_json(spark: SparkSession, path: str) -> DataFrame:
-    """O-A3: request bodies {"urls": [..]} or {"urls": "a\\nb"}; normalized,
-    valid, first occurrence kept (O-G4)."""
-    docs = spark.read.text(path, wholetext=True).select(
+def read_url_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """O-A3: request bodies {"urls": [..]} or {"urls": "a\\nb"}, one per line
+    (JSON lines) or one per file (``whole_file``); normalized, valid, first
+    occurrence kept (O-G4)."""
+    docs = spark.read.text(path, wholetext=whole_file).select(
         F.monotonically_increasing_id().alias("doc"), F.try_parse_json("value").alias("v"))
+    docs = docs.filter(F.col("v").isNotNull())
     arr = F.try_variant_get("v", "$.urls", "array<string>")
     text = F.try_variant_get("v", "$.urls", "string")
     lines = F.when(arr.isNotNull(), arr).otherwise(
@@ -90,7 +92,8 @@ def write_csv(df: DataFrame, path: str, order_col: str | None = "input_pos", quo
     """O-A7 / O-A8 / O-H6: header CSV in input order; ``quote_all`` quotes
     every field and doubles embedded quotes; null -> empty."""
     out = df.orderBy(order_col).drop(order_col) if order_col and order_col in df.columns else df
-    w = out.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "")
+    w = (out.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if quote_all:
         w = w.option("quoteAll", True)
     w.csv(path)
