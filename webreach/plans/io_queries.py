@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from webreach import api
-from webreach.operators import enrich as EN
+from webreach.plans import duck_enrich as DE
 from webreach.plans.duck_sites import pipeline_sql
 from webreach.plans.registry import register
 from webreach.plans.site_queries import stages
@@ -25,7 +25,7 @@ def _scratch(spark, name):
 @register("csv_enrich_roundtrip", f"""
 SELECT CAST(input_pos AS VARCHAR) AS id, raw AS website, 'Site ' || CAST(input_pos AS VARCHAR) AS name,
   email AS "Email", phone AS "Phone", summary AS "AI Summary"
-FROM ({pipeline_sql(EN.DUCK_ENRICHED_ROWS)})
+FROM ({pipeline_sql(DE.DUCK_ENRICHED_ROWS)})
 """)
 def csv_enrich_roundtrip(spark, sf):
     """O-A2 -> O-B8 -> O-K3 -> O-A7/O-A8: CSV in, enriched quoted CSV out."""
@@ -46,7 +46,7 @@ def csv_enrich_roundtrip(spark, sf):
 
 
 @register("url_request_roundtrip", f"""
-SELECT website, email, phone, summary FROM ({pipeline_sql(EN.DUCK_ENRICHED_URLS)})
+SELECT website, email, phone, summary FROM ({pipeline_sql(DE.DUCK_ENRICHED_URLS)})
 """)
 def url_request_roundtrip(spark, sf):
     """O-A3 -> O-K4: JSON request lines (array and newline-string forms) in,

@@ -13,6 +13,7 @@ from webreach.operators import fallback as FB
 from webreach.operators import gather as G
 from webreach.operators import jsonld as J
 from webreach.plans import duck as D
+from webreach.plans import duck_enrich as DE
 from webreach.plans.duck_sites import pipeline_sql
 from webreach.plans.registry import register
 from webreach.sources.tables import synthetic
@@ -227,7 +228,7 @@ def phone_dedup(spark, sf):
 # ------------------------------------------------------------------ step 9: enrich and export
 
 
-@register("contact_lookup", pipeline_sql(EN.DUCK_LOOKUP))
+@register("contact_lookup", pipeline_sql(DE.DUCK_LOOKUP))
 def contact_lookup(spark, sf):
     """O-G5: three lookup keys per URL, the later input wins."""
     st = stages(spark, sf)
@@ -236,21 +237,21 @@ def contact_lookup(spark, sf):
                      F.array_join("phones", ", ").alias("phones"), "summary")
 
 
-@register("enriched_rows", pipeline_sql(EN.DUCK_ENRICHED_ROWS))
+@register("enriched_rows", pipeline_sql(DE.DUCK_ENRICHED_ROWS))
 def enriched_rows(spark, sf):
     """O-K3 / O-A7 / O-F8: every input row plus Email, Phone, AI Summary."""
     st = stages(spark, sf)
     return EN.enrich_rows(st.tables["syn_targets"], "raw", st.targets, st.contacts)
 
 
-@register("enriched_urls", pipeline_sql(EN.DUCK_ENRICHED_URLS))
+@register("enriched_urls", pipeline_sql(DE.DUCK_ENRICHED_URLS))
 def enriched_urls(spark, sf):
     """O-K4: distinct valid URLs (first seen) with website, email, phone, summary."""
     st = stages(spark, sf)
     return EN.enrich_urls(st.targets, st.contacts)
 
 
-@register("export_rows", pipeline_sql(EN.DUCK_EXPORT))
+@register("export_rows", pipeline_sql(DE.DUCK_EXPORT))
 def export_rows(spark, sf):
     """O-K5 / O-A6 / O-J3: batch export rows (phones deduped, empty -> 'None')."""
     st = stages(spark, sf)
@@ -260,19 +261,19 @@ def export_rows(spark, sf):
 # ------------------------------------------------------------------ step 10: audit
 
 
-@register("coverage_audit", pipeline_sql(EN.DUCK_AUDIT))
+@register("coverage_audit", pipeline_sql(DE.DUCK_AUDIT))
 def coverage_audit(spark, sf):
     """O-G7: per site and source, how many values were found."""
     return EN.coverage(stages(spark, sf))
 
 
-@register("coverage_rollup", pipeline_sql(EN.DUCK_ROLLUP))
+@register("coverage_rollup", pipeline_sql(DE.DUCK_ROLLUP))
 def coverage_rollup(spark, sf):
     """O-G7 totals: rollup over (source, kind)."""
     return EN.coverage_rollup(stages(spark, sf))
 
 
-@register("run_counts", pipeline_sql(EN.DUCK_COUNTS))
+@register("run_counts", pipeline_sql(DE.DUCK_COUNTS))
 def run_counts(spark, sf):
     """O-G6: results, e-mails and phones of the run."""
     return EN.run_counts(stages(spark, sf))
