@@ -24,6 +24,12 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # pages are wide (whole HTML documents): a 4096-row vectorized batch of
+    # 1 MB pages would be 4 GB; keep batches small and splits CPU-sized
+    # (the page pass is regex-bound, not IO-bound)
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+    "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * 1024 * 1024),
 }
 
 
