@@ -36,12 +36,12 @@ def has_min_digits(c, n: int = P.MIN_PHONE_DIGITS) -> Column:
 def phones(c) -> Column:
     """O-D2: union of the three effective patterns, then the 7-digit rule.
 
-    Every pattern needs three consecutive digits, so texts without them
-    skip the three scans.
+    Texts without the shape every pattern contains (``PHONE_GUARD``) skip
+    the three scans.
     """
     a, b, cc = (find_all(c, p) for p in P.PHONE_PATTERNS)
     raw = F.filter(F.array_union(F.array_union(a, b), cc), lambda v: has_min_digits(v))
-    return F.when(col(c).rlike(P.THREE_DIGITS), raw).otherwise(F.array().cast("array<string>"))
+    return F.when(col(c).rlike(P.PHONE_GUARD), raw).otherwise(F.array().cast("array<string>"))
 
 
 def cf_decode(c) -> Column:

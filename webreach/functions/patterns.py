@@ -34,8 +34,10 @@ PHONE_B = (r"(?:" + _N + r"{2,3}|\(" + _N + r"{2,3}\))?" + _SEP
            + _N + "{3,4}" + _SEP + _N + "{4}")
 PHONE_C = _N + "{4}" + _SEP + _N + "{3}" + _SEP + _N + "{3}"
 PHONE_PATTERNS = (PHONE_A, PHONE_B, PHONE_C)
-# Every phone pattern contains three consecutive digits.
-THREE_DIGITS = _N + "{3}"
+# Every phone pattern contains three digits, an optional separator and three
+# more digits (A: the middle and last groups, B: the last two groups, C: the
+# last two groups): a text without this shape has no phone match.
+PHONE_GUARD = _N + "{3}" + _SEP + _N + "{3}"
 
 # Minimum number of digits for a phone candidate.
 MIN_PHONE_DIGITS = 7
