@@ -5,7 +5,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from webreach import api
 from webreach.plans import site_queries as SQ

@@ -1,6 +1,5 @@
 """Unit goldens for the URL operators (FIXTURES.md section 2)."""
 
-from pyspark.sql import functions as F
 
 from webreach.functions import urls as U
 

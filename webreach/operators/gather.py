@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
-from webreach.functions import patterns as P
 from webreach.operators import external as E
 from webreach.operators import fallback as FB
 from webreach.operators import pages as PG

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from webreach.functions import patterns as P
 from webreach.functions import urls as U
 from webreach.operators import jsonld as J
-from webreach.operators import pages as PG
 
 # channels per page that count as page candidates in the main stage
 MAIN_EMAIL_CHANNELS = ("text_email", "cf_email", "mailto_email", "ld_email")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
 from webreach.functions import quality as Q
-from webreach.functions import urls as U
 from webreach.operators import enrich as EN
 from webreach.operators import fallback as FB
 from webreach.operators import gather as G
