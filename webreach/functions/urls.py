@@ -52,75 +52,17 @@ def is_valid_url(c) -> Column:
     return F.coalesce(col(c).rlike(P.VALID_URL), F.lit(False))
 
 
-# scheme+netloc+path | ?query | #fragment  (first '#' starts the fragment,
-# first '?' before it starts the query)
-_SPLIT = r"(?s)^([^?#]*)(\?([^#]*))?(#(.*))?\z"
-
-
-def _qs_decode(c: Column) -> Column:
-    # '+' is a space in a query string; invalid escapes keep their text.
-    return F.coalesce(F.try_url_decode(c), F.regexp_replace(c, r"\+", " "))
-
-
-def _qs_encode(c: Column) -> Column:
-    # Java's form encoder keeps '*' and escapes '~'; the reproduced encoder
-    # does the opposite. Everything else (space -> '+', upper-case hex) agrees.
-    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")),
-                     F.lit("%7E"), F.lit("~"))
-
-
-def clean_query(query: Column) -> Column:
-    """Drop tracking params and blank values, group repeated keys at their
-    first occurrence, re-encode. Returns the new query text ('' if none)."""
-    fields = F.split(query, "&")
-    indexed = F.transform(fields, lambda f, i: nstruct(i=i, f=f))
-    # a field needs '=' and a non-empty value
-    kept = F.filter(indexed, lambda p: (F.instr(p["f"], "=") > 0)
-                    & (F.length(p["f"]) > F.instr(p["f"], "=")))
-    decoded = F.transform(kept, lambda p: nstruct(
-        i=p["i"],
-        k=_qs_decode(F.substring_index(p["f"], "=", 1)),
-        v=_qs_decode(F.substr(p["f"], F.instr(p["f"], "=") + 1))))
-    tracking = F.array(*[F.lit(t) for t in P.TRACKING_PARAMS])
-
-    def regroup(dec):
-        names = F.transform(dec, lambda e: e["k"])
-        grouped = F.array_sort(F.transform(dec, lambda e: nstruct(
-            g=F.array_position(names, e["k"]), i=e["i"], k=e["k"], v=e["v"])))
-        clean = F.filter(grouped, lambda e: ~F.array_contains(tracking, F.lower(e["k"])))
-        return F.array_join(F.transform(clean, lambda e: F.concat(
-            _qs_encode(e["k"]), F.lit("="), _qs_encode(e["v"]))), "&")
-
-    return let(decoded, regroup)
+def _call(name: str, *cols) -> Column:
+    from webreach.functions import sqlfns
+    sqlfns.ensure()
+    return F.call_function(name, *[col(c) for c in cols])
 
 
 def clean_url(c) -> Column:
-    """O-B3: strip tracking parameters, keep the rest, strip trailing '?'."""
-    def parts(u):
-        return nstruct(prefix=F.regexp_extract(u, _SPLIT, 1),
-                       q=clean_query(F.regexp_extract(u, _SPLIT, 3)),
-                       frag=F.regexp_extract(u, _SPLIT, 5))
-
-    def build(p):
-        prefix = p["prefix"]
-        # the parser lower-cases a detected scheme
-        prefix = F.when(prefix.rlike(P.SCHEME), F.concat(
-            F.lower(F.regexp_extract(prefix, P.SCHEME, 0)),
-            F.regexp_replace(prefix, P.SCHEME, ""))).otherwise(prefix)
-        out = F.concat(prefix,
-                       F.when(p["q"] != "", F.concat(F.lit("?"), p["q"])).otherwise(F.lit("")),
-                       F.when(p["frag"] != "", F.concat(F.lit("#"), p["frag"])).otherwise(F.lit("")))
-        return F.regexp_replace(out, r"\?+\z", "")
-
-    u = col(c)
-    # fast path (no '?', so no query to rewrite): lower-case the scheme and
-    # drop an empty fragment; plain string functions, code-generated
-    lowered = F.concat(F.lower(F.regexp_extract(u, P.SCHEME, 0)), F.regexp_replace(u, P.SCHEME, ""))
-    simple = F.when(F.instr(lowered, "#") == F.length(lowered), F.substr(lowered, F.lit(1), F.length(lowered) - 1))\
-        .otherwise(lowered)
-    return (F.when(u.isNull(), F.lit(None))
-            .when(F.instr(u, "?") == 0, simple)
-            .otherwise(let(u, lambda x: let(parts(x), build))))
+    """O-B3: strip tracking parameters (lower-cased names), drop blank values,
+    group repeated keys at their first occurrence, re-encode, keep the rest,
+    strip trailing '?'. Session SQL function ``webreach_clean_url``."""
+    return _call("webreach_clean_url", c)
 
 
 def strip_key(c) -> Column:
@@ -143,7 +85,7 @@ def netloc(c) -> Column:
 
 def url_domain(c) -> Column:
     """O-B4: authority of the cleaned URL, or the cleaned URL if it has none."""
-    return let(clean_url(c), lambda cu: let(netloc(cu), lambda n: F.when(n == "", cu).otherwise(n)))
+    return _call("webreach_url_domain", c)
 
 
 def display_url(c) -> Column:
@@ -151,79 +93,13 @@ def display_url(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"^https?://", ""), r"/\z", "")
 
 
-def _dot_resolve(segments: Column) -> Column:
-    """Remove '.' and '..' path segments (RFC 3986 5.2.4 as the stdlib does it)."""
-    def run(seg):
-        resolved = F.aggregate(
-            seg, F.array().cast("array<string>"),
-            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s == ".", acc)
-            .otherwise(F.array_append(acc, s)))
-        last = F.element_at(seg, -1)
-        fixed = let(resolved, lambda r: F.when(last.isin(".", ".."), F.array_append(r, F.lit(""))).otherwise(r))
-        return let(F.array_join(fixed, "/"), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
-
-    return let(segments, run)
-
-
 def resolve_link(base, href) -> Column:
-    """O-B5: resolve ``href`` against ``base`` like the standard urljoin.
-
-    Shapes: absolute with another scheme (returned as is), same scheme with
-    authority, protocol-relative ``//host``, query/fragment only, absolute
-    path, relative path with dot segments. ``;params`` are treated as path.
-    """
-    scheme_of = r"^([A-Za-z][A-Za-z0-9+.-]*):"
-    site_re = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?"
-
-    def pieces(x):
-        b, h = x["b"], x["h"]
-        b_site = F.regexp_extract(b, site_re, 0)
-        b_after = F.substr(b, F.length(b_site) + 1)
-        r_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-        r_tail = F.substr(h, F.length(r_path) + 1)
-        return nstruct(
-            b=b, h=h,
-            b_scheme=F.lower(F.regexp_extract(b, scheme_of, 1)),
-            h_has_scheme=h.rlike(P.SCHEME),
-            h_scheme=F.lower(F.regexp_extract(h, scheme_of, 1)),
-            h_rest=F.regexp_replace(h, P.SCHEME, ""),
-            b_site=b_site,
-            b_path=F.regexp_extract(b_after, r"^([^?#]*)", 1),
-            b_query=F.regexp_extract(b_after, r"^[^?#]*(\?[^#]*)?", 1),
-            r_path=r_path,
-            r_query=F.regexp_extract(r_tail, r"^(\?[^#]*)?", 1),
-            r_frag=F.regexp_extract(r_tail, r"(#.*)?\z", 1))
-
-    def base_dir(parts):
-        return F.when(F.element_at(parts, -1) != "",
-                      F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
-
-    def merge(m):
-        n = F.size(m)
-        return F.filter(m, lambda s, i: (i == 0) | (i == n - 1) | (s != ""))
-
-    def resolve(p):
-        bd = F.when(p["b_path"] == "", F.array(F.lit(""))).otherwise(let(F.split(p["b_path"], "/"), base_dir))
-        merged = let(F.concat(bd, F.split(p["r_path"], "/")), merge)
-        segments = F.when(F.startswith(p["r_path"], F.lit("/")), F.split(p["r_path"], "/")).otherwise(merged)
-        site = F.when(p["b_scheme"] == "", p["b_site"]).otherwise(
-            F.concat(p["b_scheme"], F.lit(":"), F.regexp_replace(p["b_site"], P.SCHEME, "")))
-        rel_same_doc = F.concat(site, p["b_path"],
-                                F.when(p["r_query"] != "", p["r_query"]).otherwise(p["b_query"]), p["r_frag"])
-        rel_path = F.concat(site, _dot_resolve(segments), p["r_query"], p["r_frag"])
-        relative_allowed = F.array(*[F.lit(s) for s in P.USES_RELATIVE])
-        h, hs = p["h"], p["h_has_scheme"]
-        return (
-            F.when(h == "", p["b"])
-            .when(hs & ((p["h_scheme"] != p["b_scheme"]) | ~F.array_contains(relative_allowed, p["h_scheme"])), h)
-            .when(hs & F.startswith(p["h_rest"], F.lit("//")), F.concat(p["h_scheme"], F.lit(":"), p["h_rest"]))
-            .when(hs, h)
-            .when(F.startswith(h, F.lit("//")), F.concat(p["b_scheme"], F.lit(":"), h))
-            .when(p["r_path"] == "", rel_same_doc)
-            .otherwise(rel_path))
-
-    return let(nstruct(b=col(base), h=col(href)), lambda x: let(pieces(x), resolve))
+    """O-B5: resolve ``href`` against ``base`` like the standard urljoin:
+    another scheme is returned as is; same scheme with authority,
+    protocol-relative ``//host``, query/fragment only, absolute path and
+    relative path with dot segments are resolved. ``;params`` count as path.
+    Session SQL function ``webreach_resolve_link``."""
+    return _call("webreach_resolve_link", base, href)
 
 
 def search_key(company: Column, suffix: str) -> Column:

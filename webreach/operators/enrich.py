@@ -21,9 +21,10 @@ def contact_lookup(targets: DataFrame, contacts: DataFrame) -> DataFrame:
     one) the record's website; URLs are processed in first-seen order and a
     later write replaces an earlier one, a missing record included."""
     urls = targets.groupBy("url").agg(F.min("input_pos").alias("pos"))
-    rec = urls.join(contacts, "url", "left").withColumn("found", F.col("website").isNotNull())
+    rec = (urls.join(contacts, "url", "left").withColumn("found", F.col("website").isNotNull())
+           .withColumn("clean", U.clean_url("url")))
     keys = rec.select("pos", "found", "website", "emails", "phones", "summary", F.explode(F.array(
-        U.nstruct(slot=F.lit(0), key=U.clean_url("url")),
+        U.nstruct(slot=F.lit(0), key=F.col("clean")),
         U.nstruct(slot=F.lit(1), key=F.col("url")),
         F.when(F.col("found"), U.nstruct(slot=F.lit(2), key=F.col("website"))))).alias("k"))
     keys = keys.filter(F.col("k").isNotNull())

@@ -56,6 +56,8 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a shared session: leave as is
             pass
     checkpoint_dir(spark)
+    from webreach.functions import sqlfns
+    sqlfns.ensure(spark)
     return spark
 
 
