@@ -14,8 +14,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A table stored as one small file is scanned by one task, which leaves
+    the regex-heavy page and text passes on a single core. Such inputs are
+    round-robin repartitioned to the default parallelism; a large table
+    already has more splits than cores and is left untouched (no shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def synthetic(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
