@@ -96,3 +96,12 @@ def test_fetchable_status_and_final_url(spark):
         "page_id long, url string, final_url string, html string, status int")
     rows = {r.page_id: r.url for r in fetchable(df).collect()}
     assert rows == {1: "https://a.com/home", 3: "https://c.com"}
+
+
+def test_spread_only_small_inputs(spark):
+    from webreach.sources.tables import spread
+    target = spark.sparkContext.defaultParallelism
+    small = spark.range(10).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == target
+    big = spark.range(1000).repartition(target + 3)
+    assert spread(big) is big
