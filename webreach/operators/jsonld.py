@@ -46,7 +46,9 @@ def jsonld_contacts(blocks: DataFrame, key_cols=("page_key",), depth: int = DEFA
     sval = "variant_get(e.value, '$', 'string')"
     email_hit = f"({_in('e.key', P.JSONLD_EMAIL_KEYS)} AND {is_str} AND instr({sval}, '@') > 0)"
     phone_hit = f"({_in('e.key', P.JSONLD_PHONE_KEYS)} AND {is_str})"
-    step = f"""
+
+    def step(source: str) -> str:
+        return f"""
         SELECT {kcols},
           CASE WHEN t.channel IS NOT NULL THEN t.channel
                WHEN {email_hit} THEN 'ld_email'
@@ -54,11 +56,14 @@ def jsonld_contacts(blocks: DataFrame, key_cols=("page_key",), depth: int = DEFA
           CASE WHEN t.channel IS NOT NULL THEN t.value
                WHEN {email_hit} OR {phone_hit} THEN {sval} END AS value,
           CASE WHEN t.channel IS NULL AND NOT ({email_hit} OR {phone_hit}) THEN e.value END AS v
-        FROM {{frontier}} t, LATERAL variant_explode_outer(t.v) e
-        WHERE t.channel IS NOT NULL OR e.pos IS NOT NULL
-    """
+        FROM {source} t, LATERAL variant_explode_outer(t.v) e
+        WHERE t.channel IS NOT NULL OR e.pos IS NOT NULL"""
+
+    # all levels in one statement: one analysis, the same linear plan
+    sql = "{frontier}"
     for _ in range(depth):
-        frontier = spark.sql(step, frontier=frontier)
+        sql = "(" + step(sql) + ")"
+    frontier = spark.sql("SELECT * FROM " + sql + " w", frontier=frontier)
     found = frontier.filter(F.col("channel").isNotNull()).select(
         *keys, "channel", F.regexp_replace("value", r"^[" + P.WS + r"]+|[" + P.WS + r"]+\z", "").alias("value"))
     return found.unionByName(fallback).distinct()
