@@ -3,6 +3,8 @@ tables, and zero-copy views of Arrow text columns."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task's numpy code looks at together; a longer text is looked at alone.
 CHUNK_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +28,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a parquet table in the shared folder: cuts the lineage and
     survives lost executors; joins on it see a bare exchange, which AQE splits
-    when a key is hot."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    when a key is hot. The shuffle files of the write go as soon as it ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def per_process() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.modules.setdefault("_webreach_kept", types.ModuleType("_webreach_kept")).__dict__
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +88,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS: dict[str, np.ndarray] = {"up": powers(_BASE, 1 << 16), "down": powers(_INVERSE, 1 << 16)}
+_POWERS: dict[str, np.ndarray] = {"up": powers(_BASE, 1 << 10), "down": powers(_INVERSE, 1 << 10)}
 
 
 def _power(which: str, n: int) -> np.ndarray:
