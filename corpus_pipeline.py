@@ -1,13 +1,21 @@
-"""Corpus pipeline over ``documents``: each stage is written as a table in the
-shared folder and read again as the next one's input."""
+"""Corpus pipeline over ``documents``: quality rules, line dedup, n-gram Jaccard
+join, benchmark decontamination, packing. Each stage is written as a table in
+the shared folder and read again as the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webreach.llm import decontam, forest, lines, packing, quality
 from webreach.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality.stage),
+    ("line dedup", lines.stage),
+    ("n-gram Jaccard join", forest.stage),
+    ("benchmark decontamination", decontam.stage),
+    ("packing", packing.stage),
+]
 
 #: None: no SQL can say the trained and similarity stages; tests/llm hold them against brute force.
 ORACLE_SQL = None

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code looks at together; a longer text is looked at alone.
 CHUNK_BYTES = 2 << 20
@@ -114,3 +115,59 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end]; equal strings have equal hashes wherever they stand."""
     return scramble((prefix[end] - prefix[start]) * _power("down", len(prefix))[start] + (end - start).astype(np.uint64))
+
+
+def whole_groups(batches, columns: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of ``least`` rows and more out of rows sorted by ``columns``; the
+    rows of a group stay together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = [rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in columns]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        cut = int(change[-1]) if len(change) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut).combine_chunks().to_batches()
+        n -= cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def column(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    """A column as one array."""
+    out = rows.column(rows.schema.get_field_index(name))
+    if isinstance(out, pa.ChunkedArray):
+        out = out.combine_chunks()
+        out = out.chunk(0) if isinstance(out, pa.ChunkedArray) else out
+    return out
+
+
+def text_key() -> list:
+    """Columns k1, k2: 128 bits that stand for a row's doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2")]
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """edges(a, b) -> (a, b): every node with the smallest node of its component,
+    which has no row itself. Alternates large stars and small stars; each step is
+    a table in the shared folder, and only a count and a checksum reach the driver."""
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    before = None
+    while True:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            return edges
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = written(small.filter("a <> b").distinct(), name)
