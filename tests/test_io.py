@@ -88,20 +88,44 @@ def test_display_rows(spark):
     assert (r.website, r.email, r.phone, r.summary) == ("www.a.com", "—", "—", "s")
 
 
-def test_fetchable_status_and_final_url(spark):
-    from webreach.operators.pages import fetchable
+def test_fetchable_status_and_redirects(spark):
+    from webreach.operators.pages import page_facts
     df = spark.createDataFrame(
-        [(1, "https://a.com", "https://a.com/home", "<p>x</p>", 200), (2, "https://b.com", None, "", 404),
+        [(1, "https://a.com", "https://www.a.com/home", "<p>x</p>", 200), (2, "https://b.com", None, "", 404),
          (3, "https://c.com", None, "", None)],
         "page_id long, url string, final_url string, html string, status int")
-    rows = {r.page_id: r.url for r in fetchable(df).collect()}
-    assert rows == {1: "https://a.com/home", 3: "https://c.com"}
+    rows = {r.page_id: (r.page_key, r.canonical_url) for r in page_facts(df).collect()}
+    assert rows == {1: ("https://a.com", "https://www.a.com/home"), 3: ("https://c.com", "https://c.com")}
 
 
-def test_spread_only_small_inputs(spark):
-    from webreach.sources.tables import spread
-    target = spark.sparkContext.defaultParallelism
-    small = spark.range(10).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == target
-    big = spark.range(1000).repartition(target + 3)
-    assert spread(big) is big
+def test_source_partitions_are_a_setting(spark):
+    from webreach.sources.tables import PARTITIONS, table
+    sf = "/root/testdata/sf0.001"
+    plain = table(spark, sf, "customer")
+    assert "Repartition" not in plain._jdf.queryExecution().logical().toString()
+    spark.conf.set(PARTITIONS, "3")
+    try:
+        assert table(spark, sf, "customer").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(PARTITIONS)
+
+
+def test_requests_over_many_partitions(spark, tmp_path):
+    import json
+    spark.createDataFrame([(json.dumps({"urls": [f"s{i}.test", "https://same.test"]}),) for i in range(1100)], "value string") \
+        .repartition(1100).write.text(str(tmp_path / "in"))
+    got = IO.read_url_json(spark, str(tmp_path / "in"))
+    assert got.count() == 1101 and got.select("input_pos").distinct().count() == 1101
+
+
+def test_missing_list_is_empty_and_other_errors_show(spark, tmp_path):
+    import pytest
+    assert IO.read_url_list(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        IO.read_url_list(spark, "nosuchscheme://x/y").count()
+
+
+def test_numbered_follows_file_order(spark, tmp_path):
+    spark.range(1000).repartition(9).sortWithinPartitions("id").write.parquet(str(tmp_path / "n"))
+    df = spark.read.parquet(str(tmp_path / "n"))
+    assert sorted(r.line_no for r in IO.numbered(df).collect()) == list(range(1000))

@@ -26,5 +26,16 @@ def test_page_stream_equals_batch(spark):
     import webreach.plans  # noqa: F401
     streamed = QUERIES["stream_page_candidates"](spark, SF)
     pages = spark.read.parquet(os.path.join(SF, "pages.parquet"))
-    batch = feeds.candidates_of(pages).select("page_key", "channel", "value").distinct()
+    batch = feeds.candidates_of(pages)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_pages_with_one_key_keep_their_own_candidates(spark, tmp_path):
+    rows = [(i, "https://a.test/" + "#" * (i % 2), f"<p>me{i}@a.test</p>") for i in range(3)]
+    df = spark.createDataFrame(rows, feeds.PAGES_SCHEMA)
+    got = {(r.page_id, r.value) for r in feeds.candidates_of(df).filter("channel = 'text_email'").collect()}
+    assert got == {(i, f"me{i}@a.test") for i in range(3)}
+    for _ in range(2):  # a replayed epoch replaces itself
+        feeds.write_epoch(df, 0, str(tmp_path / "out"))
+    feeds.write_epoch(df.limit(0), 1, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).filter("channel = 'text_email'").count() == 3

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from webreach.operators import enrich as EN
 from webreach.operators import gather as G
 from webreach.sources import io as IO
-from webreach.session import configure
+from webreach.session import configure, materialize
 
 
 def _build(targets: DataFrame, pages: DataFrame, search_results=None, ai_contacts=None, ai_decisions=None):
@@ -59,19 +59,20 @@ def enrich_table(df: DataFrame, pages: DataFrame, url_col: str | None = None, po
     """O-K3: every row of ``df`` plus Email, Phone, AI Summary (empty strings
     when the row's URL is invalid or produced no record). The URL column is
     detected from the header when not given (O-B8)."""
+    configure(df.sparkSession)
     url_col = url_col or IO.detect_url_column(df.columns)
+    keep = [c for c in df.columns if c != pos_col]
     if pos_col is None:
+        # the positions that rows and targets go by are written, so both read the same
         pos_col = "_row_pos"
-        df = df.withColumn(pos_col, F.monotonically_increasing_id())
-    targets = (df.select(F.col(pos_col).alias("input_pos"), F.col(url_col).alias("raw"))
+        df = materialize(df.withColumn(pos_col, F.monotonically_increasing_id()))
+    targets = (df.select(F.col(pos_col).alias("input_pos"), F.col(f"`{url_col}`").alias("raw"))
                .filter(F.col("raw").isNotNull()))
     st = _build(targets, pages, search_results, ai_contacts, ai_decisions)
-    rows = df.withColumn("raw", F.col(url_col))
-    out = EN.enrich_rows(rows.withColumn("input_pos", F.col(pos_col)), "raw", st.targets, st.contacts)
-    keep = [c for c in df.columns if c != pos_col]
-    return (df.join(out.select(F.col("input_pos").alias(pos_col), F.col("email").alias("Email"),
-                               F.col("phone").alias("Phone"), F.col("summary").alias("AI Summary")), pos_col, "left")
-            .select(*keep, "Email", "Phone", "AI Summary", pos_col))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    out = EN.with_contacts(rows, F.col(f"row.`{url_col}`"), st.targets, st.contacts)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("email").alias("Email"),
+                      F.col("phone").alias("Phone"), F.col("summary").alias("AI Summary"), F.col(f"row.`{pos_col}`").alias(pos_col))
 
 
 def enrich_csv(in_path: str, out_path: str, pages: DataFrame, quote_all: bool = False, **tables) -> DataFrame:

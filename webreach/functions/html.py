@@ -3,8 +3,8 @@
 The page is cut into text nodes with one split on tags after removing the
 blocks whose text is not page text (script, style, template, comments).
 Known gaps against a real HTML parser, all rare in crawled pages: a '>'
-inside an attribute value, a raw '<' in text, an unclosed script block,
-CDATA sections, entities outside the fixed table below.
+inside an attribute value of a tag other than an anchor, a raw '<' in text,
+CDATA sections, named references outside ``patterns.HTML_ENTITIES``.
 """
 
 from __future__ import annotations
@@ -13,60 +13,70 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webreach.functions import patterns as P
-from webreach.functions.urls import col, let, py_strip
+from webreach.functions.urls import col, let, nstruct, py_strip
 
 # Blocks whose content is not text. Replaced by an empty tag so the text on
 # either side stays two separate nodes.
-INVISIBLE = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-             r"|<template\b[^>]*>.*?</template\s*>|<!--.*?-->")
+# A block that is never closed ends with the page, so each page is read once.
+INVISIBLE = (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+             r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!--.*?(?:-->|\z)")
 TAG = r"<[^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
-def _chr(code: Column) -> Column:
-    """Unicode code point -> one-character string (Spark's chr() is Latin-1 only)."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _text(s: str) -> str:
+    """Spark SQL string literal of any text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _decode_numeric(s: Column) -> Column:
-    return let(s, _decode_numeric_bound)
+_NAMES = "map(" + ", ".join(f"{_text(k)}, {_text(v)}" for k, v in P.HTML_ENTITIES.items()) + ")"
+_CP1252 = "array(" + ", ".join(map(_text, P.CP1252)) + ")"
 
 
-def _decode_numeric_bound(s: Column) -> Column:
-    parts = F.split(s, "&#")
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+def _character(code: Column) -> Column:
+    """The text of a numeric reference to ``code``, as HTML parsers read it."""
+    nothing = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+               | (code.bitwiseAND(0xFFFE) == 0xFFFE))
+    return (F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(P.REPLACEMENT))
+            .when(code == 13, F.lit("\r"))
+            .when(code.between(0x80, 0x9F), F.get(F.expr(_CP1252), (code - 0x80).cast("int")))
+            .when(nothing, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
-    def one(p):
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        return (F.when(dec != "", F.concat(_chr(dec.cast("bigint")), F.regexp_replace(p, r"^[0-9]+;", "")))
-                .when(hx != "", F.concat(_chr(F.conv(hx, 16, 10).cast("bigint")),
-                                         F.regexp_replace(p, r"^[xX][0-9a-fA-F]+;", "")))
-                .otherwise(F.concat(F.lit("&#"), p)))
 
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(rest, one), ""))
-    return F.when(F.instr(s, "&#") > 0, decoded).otherwise(s)
+def _reference(p: Column) -> Column:
+    """A piece of text that followed an '&': the reference that it begins with
+    is read; a number has any length, and its ';' may be missing."""
+    bare = lambda x: F.concat(F.lit("0"), F.regexp_replace(x, "^0+", ""))
+    found = nstruct(p=p, name=F.element_at(F.expr(_NAMES), F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)),
+                    d=F.regexp_extract(p, r"^#([0-9]+)", 1), h=F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]+)", 1))
+
+    def read(x):
+        code = (F.when(x["d"] != "", let(bare(x["d"]), lambda d: F.when(F.length(d) <= 8, d.cast("bigint"))))
+                .otherwise(let(bare(x["h"]), lambda h: F.when(F.length(h) <= 7, F.conv(h, 16, 10).cast("bigint")))))
+        return (F.when(x["name"].isNotNull(), F.concat(x["name"], F.substr(x["p"], F.instr(x["p"], ";") + 1)))
+                .when((x["d"] != "") | (x["h"] != ""), F.concat(
+                    let(code, _character), F.regexp_replace(x["p"], r"^#([xX][0-9a-fA-F]+|[0-9]+);?", "")))
+                .otherwise(F.concat(F.lit("&"), x["p"])))
+
+    return let(found, read)
+
+
+def _references(s: Column) -> Column:
+    return let(F.split(s, "&"), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _reference), "")))
 
 
 def decode_entities(c, bind: bool = True) -> Column:
-    """Named entities from the fixed table, then numeric ones, '&amp;' last.
+    """Named and numeric character references, each read once from left to right.
 
     ``bind=False`` when ``c`` is a plain column or lambda variable (then the
-    expression stays code-generated; it is referenced more than once).
+    guard stays code-generated; it is referenced more than once).
     """
-    guarded = lambda v: F.when(F.instr(v, "&") > 0, _decode_all(v)).otherwise(v)
+    guarded = lambda v: F.when(F.instr(v, "&") > 0, _references(v)).otherwise(v)
     return let(c, guarded) if bind else guarded(col(c))
 
 
-def _decode_all(c) -> Column:
-    s = col(c)
-    named = [e for e in P.HTML_ENTITIES if e[0] != "&amp;"]
-    for ent, ch in named:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    s = _decode_numeric(s)
-    return F.replace(s, F.lit("&amp;"), F.lit("&"))
-
-
 def visible_html(c) -> Column:
     """HTML with line breaks normalised and non-text blocks removed."""
     return F.regexp_replace(F.regexp_replace(col(c), r"\r\n?", "\n"), INVISIBLE, "<>")

@@ -12,6 +12,8 @@ Unicode-aware ``re`` would match:
 * no look-around, no ``(?U)`` (Unicode in Java, *ungreedy* in RE2).
 """
 
+from html.entities import html5 as _html5
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: these must equal the behaviour being reproduced, so they are
 # stated plainly and in their natural order.
@@ -97,14 +99,16 @@ SNIPPET_SUMMARY = "Contact info from search results (site was blocked or unreach
 EMPTY_EXPORT = "None"          # batch export: empty list -> literal None
 EMPTY_CELL = "—"          # UI: empty cell -> em dash
 
-# HTML named entities decoded in page text. "&amp;" is decoded last.
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
-)
+# Named character references that are decoded, by rule: those of the standard's
+# table that stand for Latin-1 characters or white space (addresses and numbers
+# are written in these), and the typographic ones below.
+_TYPOGRAPHIC = ("trade;", "ndash;", "mdash;", "hellip;", "euro;", "bull;", "lsquo;", "rsquo;", "ldquo;", "rdquo;")
+HTML_ENTITIES = {name[:-1]: text for name, text in sorted(_html5.items()) if name.endswith(";")
+                 and (name in _TYPOGRAPHIC or text.isspace() or all(ord(c) < 256 for c in text))}
+# Numeric references to these code points: 0x80..0x9F mean Windows-1252, control
+# characters and non-characters mean nothing, all that is no character is U+FFFD.
+CP1252 = tuple(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+REPLACEMENT = "\uFFFD"
 
 # Plausibility deny-lists (deterministic form of the prose rules).
 DENY_EMAIL_DOMAINS = ("example.com", "example.org", "example.net", "domain.com",

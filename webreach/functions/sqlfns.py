@@ -126,7 +126,8 @@ FUNCTIONS = {
     "webreach_resolve_link": ("b STRING, h STRING", "STRING", lambda: resolve_link_sql("b", "h")),
 }
 
-_registered: set = set()
+# Set in a session that has the functions: it lives and dies with the session.
+_MARK = "webreach.functions"
 
 
 def ensure(spark: SparkSession | None = None) -> None:
@@ -134,9 +135,8 @@ def ensure(spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.getActiveSession() or SparkSession._instantiatedSession
     if spark is None:
         raise RuntimeError("no active SparkSession")
-    key = id(spark._jsparkSession)
-    if key in _registered:
+    if spark.conf.get(_MARK, None) is not None:
         return
     for name, (params, ret, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body()}")
-    _registered.add(key)
+    spark.conf.set(_MARK, "1")

@@ -7,13 +7,14 @@ O-A6, O-A7, O-J3..O-J6, O-H6, O-G6, O-G7).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
 from webreach.functions import urls as U
 from webreach.operators.fallback import STAGE_ORDER
+from webreach.session import materialize
 
 
 def contact_lookup(targets: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -37,31 +38,40 @@ def contact_lookup(targets: DataFrame, contacts: DataFrame) -> DataFrame:
                          F.col("c.summary").alias("summary"))
 
 
-def _find(df: DataFrame, lookup: DataFrame, url_col: str) -> DataFrame:
-    """O-F8: record under clean_url(u), else under u (two left joins)."""
-    lk = lookup.filter("found")
-    a = lk.select(F.col("lookup_key").alias("k1"), U.nstruct(
-        website=F.col("website"), emails=F.col("emails"), phones=F.col("phones"),
-        summary=F.col("summary")).alias("r1"))
-    b = a.select(F.col("k1").alias("k2"), F.col("r1").alias("r2"))
-    out = (df.withColumn("_k1", U.clean_url(url_col)).withColumn("_k2", F.col(url_col))
-           .join(a, F.col("_k1") == F.col("k1"), "left")
-           .join(b, F.col("_k2") == F.col("k2"), "left"))
-    return out.withColumn("rec", F.coalesce("r1", "r2")).drop("_k1", "_k2", "k1", "k2", "r1", "r2")
+def _find(df: DataFrame, lookup: DataFrame, url: Column) -> DataFrame:
+    """O-F8: ``df`` with ``rec``, the record under clean_url(u), else under u.
+
+    One join: the lookup is dealt by key once, each row asks for its one or two
+    keys, and the answers come back to the row by its URL, so rows are told
+    apart by nothing but their URL. Rows without a valid URL ask for nothing.
+    """
+    rec = lookup.filter("found").select("lookup_key", U.nstruct(
+        website=F.col("website"), emails=F.col("emails"), phones=F.col("phones"), summary=F.col("summary")).alias("rec"))
+    asked = df.select(url.alias("asked_url")).filter(F.col("asked_url").isNotNull()).distinct()
+    keys = asked.select("asked_url", U.clean_url("asked_url").alias("clean")).select(
+        "asked_url", F.posexplode(F.array_distinct(F.array("clean", "asked_url"))).alias("turn", "lookup_key"))
+    answers = (keys.join(rec, "lookup_key").groupBy("asked_url").agg(F.min_by("rec", "turn").alias("rec")))
+    answers = materialize(answers)
+    return (df.withColumn("_url", url).join(answers, F.col("_url") == F.col("asked_url"), "left")
+            .drop("_url", "asked_url"))
+
+
+def with_contacts(rows: DataFrame, url: Column, targets: DataFrame, contacts: DataFrame) -> DataFrame:
+    """O-K3 / O-A7: every row of ``rows`` as it is, plus email, phone, summary
+    ('' when the row's URL is invalid or has no record)."""
+    normal = U.normalize_url(url)
+    found = _find(rows, contact_lookup(targets, contacts), F.when(U.is_valid_url(normal), normal))
+    return found.select(*rows.columns,
+                        F.coalesce(X.join_list(F.col("rec.emails")), F.lit("")).alias("email"),
+                        F.coalesce(X.join_list(F.col("rec.phones")), F.lit("")).alias("phone"),
+                        F.when(F.col("rec").isNotNull(), X.trimmed("rec.summary")).otherwise(F.lit("")).alias("summary"))
 
 
 def enrich_rows(rows: DataFrame, url_col: str, targets: DataFrame, contacts: DataFrame,
                 pos_col: str = "input_pos") -> DataFrame:
-    """O-K3 / O-A7: every input row, plus email, phone, summary ('' when the
-    row's URL is invalid or has no record)."""
-    lookup = contact_lookup(targets, contacts)
-    r = rows.withColumn("_u", U.normalize_url(url_col))
-    r = r.withColumn("_u", F.when(U.is_valid_url("_u"), F.col("_u")))
-    r = _find(r, lookup, "_u")
-    return r.select(F.col(pos_col).cast("bigint").alias("input_pos"), F.col(url_col).alias("raw"),
-                    F.coalesce(X.join_list(F.col("rec.emails")), F.lit("")).alias("email"),
-                    F.coalesce(X.join_list(F.col("rec.phones")), F.lit("")).alias("phone"),
-                    F.when(F.col("rec").isNotNull(), X.trimmed("rec.summary")).otherwise(F.lit("")).alias("summary"))
+    """with_contacts() as (input_pos, raw, email, phone, summary)."""
+    rows = rows.select(F.col(pos_col).cast("bigint").alias("input_pos"), F.col(url_col).alias("raw"))
+    return with_contacts(rows, F.col("raw"), targets, contacts)
 
 
 def enrich_urls(targets: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -69,7 +79,7 @@ def enrich_urls(targets: DataFrame, contacts: DataFrame) -> DataFrame:
     the URL), email, phone, summary."""
     lookup = contact_lookup(targets, contacts)
     urls = targets.groupBy("url").agg(F.min("input_pos").alias("input_pos"))
-    r = _find(urls, lookup, "url")
+    r = _find(urls, lookup, F.col("url"))
     website = F.col("rec.website")
     return r.select("input_pos",
                     F.when(website.isNull() | (website == ""), F.col("url")).otherwise(website).alias("website"),

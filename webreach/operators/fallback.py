@@ -19,32 +19,11 @@ from webreach.functions import urls as U
 
 
 def top_hits(search: DataFrame, k: int) -> DataFrame:
-    """O-H4: the first k hits of every query, by rank (window group limit)."""
+    """O-H4: the first k hits of every query, by rank, then href (window group
+    limit); ``hit_no`` tells hits of equal rank apart."""
     w = Window.partitionBy("query").orderBy("rank", "href")
     return (search.withColumn("hit_no", F.row_number().over(w))
-            .filter(F.col("hit_no") <= k).drop("hit_no"))
-
-
-def first_hit_with_phone(search: DataFrame, cands: DataFrame, phone_channel: str,
-                         email_channel: str | None = None, k: int = P.SEARCH_HITS) -> DataFrame:
-    """O-H3: per query, the lowest-ranked hit whose page yields >= 1 phone.
-
-    Returns (query, hit_rank, phones, emails). Hits whose page is missing are
-    skipped, like failed fetches.
-    """
-    hits = top_hits(search.select("query", "rank", "href"), k).withColumn("page_key", U.page_key("href"))
-    chans = [phone_channel] + ([email_channel] if email_channel else [])
-    c = cands.filter(F.col("channel").isin(*chans))
-    per_hit = (hits.join(c, "page_key")
-               .groupBy("query", "rank")
-               .agg(F.array_sort(F.collect_set(F.when(F.col("channel") == phone_channel, F.col("value"))))
-                    .alias("phones"),
-                    F.array_sort(F.collect_set(F.when(F.col("channel") == (email_channel or ""), F.col("value"))))
-                    .alias("emails")))
-    with_phone = per_hit.filter(F.size("phones") > 0)
-    return (with_phone.groupBy("query")
-            .agg(F.min_by(F.struct("rank", "phones", "emails"), "rank").alias("h"))
-            .select("query", F.col("h.rank").alias("hit_rank"), "h.phones", "h.emails"))
+            .filter(F.col("hit_no") <= k))
 
 
 def facebook_phones(fb_links: DataFrame, cands: DataFrame) -> DataFrame:
@@ -63,28 +42,28 @@ STAGES = (("maps", P.MAPS_QUERY_SUFFIX, "nosep_phone", None),
 STAGE_ORDER = ("facebook", "maps", "yelp", "web")
 
 
-def stage_answers(need: DataFrame, search: DataFrame, cands: DataFrame) -> DataFrame:
+def stage_answers(need: DataFrame, search: DataFrame, cands: DataFrame, k: int = P.SEARCH_HITS) -> DataFrame:
     """Every stage's answer for every site that needs a phone, side by side.
 
     need(url, company, fb_href) -> (url, facebook, maps, yelp, web), each a
-    struct<phones, emails> or null. The three search stages run as one pass
+    struct<phones, emails> or null; a search stage's answer is its first hit
+    whose page has a phone (O-H3). The three search stages run as one pass
     keyed by (stage, query): one top-k window, one candidate join, one
     aggregation; each per-query answer is computed once and joined back.
     """
     empty = F.array().cast("array<string>")
     fb = facebook_phones(need.filter(F.col("fb_href").isNotNull()), cands)
-    base = (need.withColumn("fb_key", U.page_key("fb_href"))
-            .join(fb, "fb_key", "left")
-            .select("url", "company",
-                    F.when(F.col("phones").isNotNull(), U.nstruct(phones=F.col("phones"), emails=empty))
-                    .alias("facebook")))
+    # sites without a link share no key: only the others take part in the join
+    linked = (need.filter(F.col("fb_href").isNotNull()).select("url", U.page_key("fb_href").alias("fb_key"))
+              .join(fb, "fb_key").select("url", U.nstruct(phones=F.col("phones"), emails=empty).alias("facebook")))
+    base = need.select("url").join(linked, "url", "left")
 
     stage_rows = F.explode(F.array(*[U.nstruct(stage=F.lit(n), query=U.search_key(F.col("company"), suffix))
                                      for n, suffix, _, _ in STAGES]))
     wanted = need.select("url", stage_rows.alias("s")).select("url", "s.stage", "s.query")
     queries = wanted.select("stage", "query").distinct()
     hits = top_hits(search.join(queries.select("query").distinct(), "query", "left_semi")
-                    .select("query", "rank", "href"), P.SEARCH_HITS)
+                    .select("query", "rank", "href"), k)
     hits = hits.join(queries, "query").withColumn("page_key", U.page_key("href"))
     phone_ch = F.create_map(*[x for n, _, pch, _ in STAGES for x in (F.lit(n), F.lit(pch))])
     email_ch = F.create_map(*[x for n, _, _, ech in STAGES for x in (F.lit(n), F.lit(ech or ""))])
@@ -92,20 +71,20 @@ def stage_answers(need: DataFrame, search: DataFrame, cands: DataFrame) -> DataF
     c = cands.filter(F.col("channel").isin(*chans))
     joined = hits.join(c, "page_key").filter(
         (F.col("channel") == phone_ch[F.col("stage")]) | (F.col("channel") == email_ch[F.col("stage")]))
-    per_hit = (joined.groupBy("stage", "query", "rank")
+    per_hit = (joined.groupBy("stage", "query", "hit_no")
                .agg(F.array_sort(F.collect_set(F.when(F.col("channel") == phone_ch[F.col("stage")], F.col("value"))))
                     .alias("phones"),
                     F.array_sort(F.collect_set(F.when(F.col("channel") == email_ch[F.col("stage")], F.col("value"))))
                     .alias("emails")))
     best = (per_hit.filter(F.size("phones") > 0).groupBy("stage", "query")
-            .agg(F.min_by(U.nstruct(phones=F.col("phones"), emails=F.col("emails")), "rank").alias("a")))
+            .agg(F.min_by(U.nstruct(phones=F.col("phones"), emails=F.col("emails")), "hit_no").alias("a")))
     answers = (wanted.join(best, ["stage", "query"])
                .groupBy("url").agg(*[F.max(F.when(F.col("stage") == n, F.col("a"))).alias(n)
                                      for n, _, _, _ in STAGES]))
     return base.join(answers, "url", "left").select("url", *STAGE_ORDER)
 
 
-def run_chain(need: DataFrame, search: DataFrame, cands: DataFrame) -> dict[str, DataFrame]:
+def run_chain(need: DataFrame, search: DataFrame, cands: DataFrame, k: int = P.SEARCH_HITS) -> dict[str, DataFrame]:
     """O-K2: need(url, company, fb_href) -> solved rows per stage.
 
     Stage order: facebook, maps, yelp, web; a stage counts only for sites
@@ -113,7 +92,7 @@ def run_chain(need: DataFrame, search: DataFrame, cands: DataFrame) -> dict[str,
     written as first-non-null over the side-by-side answers. Every result is
     (url, stage, phones, emails); 'unsolved' lists the rest.
     """
-    ans = stage_answers(need, search, cands)
+    ans = stage_answers(need, search, cands, k)
     first = F.coalesce(*[F.when(F.col(n).isNotNull(), U.nstruct(stage=F.lit(n), a=F.col(n)))
                          for n in STAGE_ORDER])
     chosen = ans.select("url", first.alias("c"))

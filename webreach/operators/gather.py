@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
+from webreach.functions import patterns as P
 from webreach.operators import external as E
 from webreach.operators import fallback as FB
 from webreach.operators import pages as PG
@@ -58,24 +59,26 @@ def _empty(spark, schema: str) -> DataFrame:
 
 def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
           ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
-          reuse: str = "table", jsonld_depth: int = 12) -> Stages:
+          reuse: str = "table", search_hits: int = P.SEARCH_HITS, snippet_hits: int = P.SNIPPET_HITS,
+          add_listed: bool = False) -> Stages:
     spark = pages.sparkSession
     search = search_results if search_results is not None else _empty(spark, SEARCH_SCHEMA)
     ai_c = ai_contacts if ai_contacts is not None else _empty(spark, AI_CONTACTS_SCHEMA)
     ai_d = ai_decisions if ai_decisions is not None else _empty(spark, AI_DECISIONS_SCHEMA)
 
     # one scan of html; several joins read the narrow result
-    facts = materialize(PG.dedup_pages(PG.page_facts(pages)), reuse)
-    cands = materialize(S.page_candidates(facts, jsonld_depth), reuse)
+    facts = PG.dedup_pages(materialize(PG.page_facts(pages), reuse))
+    cands = materialize(S.page_candidates(facts), reuse)
 
     targets = S.prepare_targets(targets_raw)
     site_df = S.sites(targets)
     land = materialize(S.landing(site_df, facts), reuse)
     links = S.contact_links(land)
-    subs = S.contact_subpages(links, facts)
-    primary = S.primary_page(land, subs, facts)
+    # the relations that several later ones (and the audit) read are written once
+    subs = materialize(S.contact_subpages(links, facts), reuse)
+    primary = materialize(S.primary_page(land, subs), reuse)
     spages = S.site_pages(land, subs)
-    site_cands = S.site_candidates(spages, cands)
+    site_cands = materialize(S.site_candidates(spages, cands), reuse)
 
     # external extraction on the primary page (O-F9) and its values
     ai = E.parse_ai_contacts(ai_c)
@@ -90,13 +93,13 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     websites = land.filter(F.col("landing_id").isNotNull()).select("url", "website", "title", "fb_href")
     keyed = (all_cands.join(websites.select("url", "website"), "url")
              .withColumn("is_landing_ld", (F.col("role") == "landing") & F.col("channel").isin("ld_email", "ld_phone")))
-    kept = materialize(E.apply_keep_list(keyed, E.parse_decisions(ai_d)), reuse)
+    kept = materialize(E.apply_keep_list(keyed, E.parse_decisions(ai_d), add_listed), reuse)
 
     # fallback chain for sites whose kept phone list is empty
     has_phone = kept.filter(F.col("kind") == "phone").select("url").distinct()
     need = (websites.join(has_phone, "url", "left_anti")
             .select("url", F.col("title").alias("company"), "fb_href"))
-    chain = FB.run_chain(need, search, cands)
+    chain = FB.run_chain(need, search, cands, search_hits)
     chain["all"] = materialize(chain["all"], reuse)
     for n in FB.STAGE_ORDER:
         chain[n] = chain["all"].filter(F.col("stage") == n)
@@ -122,24 +125,13 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
                              F.coalesce("summary", F.lit("")).alias("summary")))
 
     unreachable = land.filter(F.col("landing_id").isNull()).select("url")
-    snippets = materialize(FB.snippet_contacts(unreachable, search), reuse)
+    snippets = materialize(FB.snippet_contacts(unreachable, search, snippet_hits), reuse)
     contacts = materialize(page_contacts.unionByName(snippets), reuse)
     return Stages(facts=facts, cands=cands, targets=targets, sites=site_df, landing=land, links=links,
                   subpages=subs, primary=primary, site_cands=site_cands, ai=ai, kept=kept, need=need,
                   chain=chain, snippets=snippets, contacts=contacts)
 
 
-def gather_contacts(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
-                    ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
-                    reuse: str = "table") -> DataFrame:
-    """O-K1: one row per input row whose site produced a record, in the
-    contact-record shape (Website, Email, Phone, AI Summary) plus input_pos."""
-    st = build(targets_raw, pages, search_results, ai_contacts, ai_decisions, reuse)
-    return (st.targets.join(st.contacts, "url")
-            .select("input_pos", F.col("website").alias("Website"), F.col("emails").alias("Email"),
-                    F.col("phones").alias("Phone"), F.col("summary").alias("AI Summary")))
-
-
 def dedup_phones(phones) -> F.Column:
     """O-G3 on an array: normalise, one spelling per digit string (the
     smallest), empty-digit values dropped, sorted."""

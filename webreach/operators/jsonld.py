@@ -1,16 +1,19 @@
 """JSON-LD contacts (O-D7, O-D8).
 
-Blocks are parsed to VARIANT once. The walk is a depth-bounded chain of
+Blocks are parsed to VARIANT once. The walk is a chain of
 ``LATERAL variant_explode_outer`` steps over one frontier relation: rows that
 already hold a captured value ride along unchanged (their variant is null, so
 the outer explode yields them once), container children become the next
-frontier. One linear plan, no recursion, no per-level re-scan.
+frontier. ``LEVELS`` levels are one linear plan; while any row still holds a
+variant after them, the walk goes on from the written frontier, to any depth.
 
 Capture rule at every object key, any depth: key 'email'/'e-mail' (any case)
 with a string value containing '@' -> email; key 'telephone'/'phone'/
 'faxnumber' with a string value -> phone; anything else is walked into.
 Array items carry no key, so list-valued e-mails are not captured.
-Blocks that do not parse fall back to the e-mail regex over the raw text.
+The bare numbers NaN, Infinity and -Infinity, which the original's parser
+accepts, count as null. Blocks that do not parse fall back to the e-mail regex
+over the raw text.
 """
 
 from __future__ import annotations
@@ -20,19 +23,30 @@ from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
+from webreach.session import materialize
 
-DEFAULT_DEPTH = 12
+# Levels walked in one plan.
+LEVELS = 12
+# A bare number that strict JSON lacks, where a value may stand.
+BARE_NUMBER = r"([:\[,]\s*)(?:NaN|-?Infinity)(\s*[,}\]])"
+
+
+def parse_block(body):
+    """A block as VARIANT, null if it is no JSON."""
+    # neighbours in a list share a comma, hence twice
+    fixed = F.regexp_replace(F.regexp_replace(body, BARE_NUMBER, "$1null$2"), BARE_NUMBER, "$1null$2")
+    return F.coalesce(F.try_parse_json(body), F.try_parse_json(fixed))
 
 
 def _in(col: str, values) -> str:
     return f"lower({col}) IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-def jsonld_contacts(blocks: DataFrame, key_cols=("page_key",), depth: int = DEFAULT_DEPTH) -> DataFrame:
+def jsonld_contacts(blocks: DataFrame, key_cols=("page_key",)) -> DataFrame:
     """blocks(key_cols..., body) -> (key_cols..., channel, value), distinct."""
     spark = blocks.sparkSession
     keys = list(key_cols)
-    parsed = blocks.select(*keys, "body", F.try_parse_json("body").alias("v"))
+    parsed = blocks.select(*keys, "body", parse_block(F.col("body")).alias("v"))
 
     fallback = (parsed.filter(F.col("v").isNull())
                 .select(*keys, F.explode(X.emails("body")).alias("value"))
@@ -59,11 +73,17 @@ def jsonld_contacts(blocks: DataFrame, key_cols=("page_key",), depth: int = DEFA
         FROM {source} t, LATERAL variant_explode_outer(t.v) e
         WHERE t.channel IS NOT NULL OR e.pos IS NOT NULL"""
 
-    # all levels in one statement: one analysis, the same linear plan
-    sql = "{frontier}"
-    for _ in range(depth):
-        sql = "(" + step(sql) + ")"
-    frontier = spark.sql("SELECT * FROM " + sql + " w", frontier=frontier)
-    found = frontier.filter(F.col("channel").isNotNull()).select(
-        *keys, "channel", F.regexp_replace("value", r"^[" + P.WS + r"]+|[" + P.WS + r"]+\z", "").alias("value"))
-    return found.unionByName(fallback).distinct()
+    def walk(frontier: DataFrame) -> DataFrame:
+        sql = "{frontier}"
+        for _ in range(LEVELS):
+            sql = "(" + step(sql) + ")"
+        return spark.sql("SELECT * FROM " + sql + " w", frontier=frontier)
+
+    held = fallback
+    while True:
+        walked = materialize(walk(frontier))
+        held = held.unionByName(walked.filter(F.col("channel").isNotNull()).select(
+            *keys, "channel", F.regexp_replace("value", r"^[" + P.WS + r"]+|[" + P.WS + r"]+\z", "").alias("value")))
+        frontier = walked.filter(F.col("v").isNotNull())
+        if frontier.isEmpty():
+            return held.distinct()

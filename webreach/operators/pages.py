@@ -16,13 +16,16 @@ from webreach.functions import html as H
 from webreach.functions import patterns as P
 from webreach.functions import urls as U
 
-# <a ...> open tags, and <a ...>inner</a> anchors.
-OPEN_A = r"(?is)<a(?:\s[^>]*)?>"
-ANCHOR_ATTRS = r"(?is)<a(\s[^>]*)?>.*?</a\s*>"
-ANCHOR_INNER = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
-SCRIPT_ATTRS = r"(?is)<script\b([^>]*)>.*?</script\s*>"
-SCRIPT_BODY = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
-COMMENT = r"(?s)<!--.*?-->"
+# <a ...> open tags. A page is cut at them once, so an anchor that is never
+# closed ends with the next one and costs no more than its own length.
+A_OPEN, A_CLOSE, MARK = r"(?i)<a([\s>])", r"(?i)</a\s*>", "\uE001"
+# Attributes of a tag whose quoted values may hold '>'; else up to the first '>'.
+A_ATTRS = r"^([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*){0,100})>"
+A_ATTRS_PLAIN = r"^([^>]*)>"
+# Comments and scripts in the order in which they begin: a comment inside a
+# script is its text, a script inside a comment is none.
+SCRIPT_ATTRS = r"(?is)<!--.*?(?:-->|\z)|<script\b([^>]*)>.*?(?:</script\s*>|\z)"
+SCRIPT_BODY = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>(.*?)(?:</script\s*>|\z)"
 
 
 def attr_re(name: str) -> str:
@@ -67,27 +70,38 @@ def anchors(html: Column, visible: bool = False) -> Column:
     separator form. ``pos`` is the document position among all anchors.
     ``visible=True`` when ``html`` is already ``visible_html``.
     """
-    vis = html if visible else H.visible_html(html)
-    attrs = F.regexp_extract_all(vis, F.lit(ANCHOR_ATTRS), F.lit(1))
-    inner = F.regexp_extract_all(vis, F.lit(ANCHOR_INNER), F.lit(1))
-    zipped = F.arrays_zip(attrs.alias("a"), inner.alias("t"))
+    pieces = _a_pieces(html if visible else H.visible_html(html))
+    inner = lambda z: F.get(F.split(F.substr(z["p"], F.length(z["a"]) + 2), A_CLOSE), F.lit(0))
+
     def anchor_text(t):
         # without tags or entities the anchor is one text node: strip it
         plain = (F.instr(t, "<") == 0) & (F.instr(t, "&") == 0)
         return F.when(plain, U.py_strip(t)).otherwise(
             H.text_from_nodes(H.decode_entities(H.raw_node_string(t, visible=True), bind=False)))
 
-    rows = F.transform(zipped, lambda z, i: U.let(_attr_pair(z["a"], "href"), lambda h: U.nstruct(
-        pos=i, has_href=h["present"], href=U.py_strip(h["value"]), text=anchor_text(z["t"]))))
+    rows = F.transform(pieces, lambda z, i: U.let(_attr_pair(z["a"], "href"), lambda h: U.nstruct(
+        pos=i, has_href=h["present"], href=U.py_strip(h["value"]), text=U.let(inner(z), anchor_text))))
     usable = F.filter(rows, lambda r: r["has_href"] & (r["href"] != "")
                       & ~F.startswith(r["href"], F.lit("mailto:"))
                       & ~F.startswith(r["href"], F.lit("#")))
     return F.transform(usable, lambda r: U.nstruct(pos=r["pos"], href=r["href"], text=r["text"]))
 
 
+def _a_pieces(vis: Column) -> Column:
+    """array<struct<p, a>>: the page from each <a on (without the '<a'), and the tag's attributes."""
+    cut = F.split(F.regexp_replace(vis, A_OPEN, MARK + "$1"), MARK)
+    pieces = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
+
+    def tag(p):
+        quoted = F.regexp_extract(p, A_ATTRS, 1)
+        return U.nstruct(p=p, a=F.when(p.rlike(A_ATTRS), quoted).otherwise(F.regexp_extract(p, A_ATTRS_PLAIN, 1)))
+
+    return F.transform(F.filter(pieces, lambda p: F.instr(p, ">") > 0), tag)
+
+
 def open_tags(html: Column, visible: bool = False) -> Column:
-    vis = html if visible else H.visible_html(html)
-    return F.regexp_extract_all(vis, F.lit(OPEN_A), F.lit(0))
+    """The attributes of every <a> tag, '<a' in front."""
+    return F.transform(_a_pieces(html if visible else H.visible_html(html)), lambda z: F.concat(F.lit("<a"), z["a"]))
 
 
 def cf_emails(tags: Column) -> Column:
@@ -113,9 +127,8 @@ def facebook_href(tags: Column) -> Column:
 
 def jsonld_blocks(html: Column) -> Column:
     """O-C5: raw bodies of <script type="application/ld+json"> blocks."""
-    no_comments = F.regexp_replace(html, COMMENT, "")
-    attrs = F.regexp_extract_all(no_comments, F.lit(SCRIPT_ATTRS), F.lit(1))
-    bodies = F.regexp_extract_all(no_comments, F.lit(SCRIPT_BODY), F.lit(1))
+    attrs = F.regexp_extract_all(html, F.lit(SCRIPT_ATTRS), F.lit(1))
+    bodies = F.regexp_extract_all(html, F.lit(SCRIPT_BODY), F.lit(1))
     z = F.arrays_zip(attrs.alias("a"), bodies.alias("b"))
     ld = F.filter(z, lambda s: has_attr(s["a"], "type") & (attr(s["a"], "type") == "application/ld+json"))
     return F.transform(ld, lambda s: s["b"])
@@ -123,12 +136,12 @@ def jsonld_blocks(html: Column) -> Column:
 
 def fetchable(pages: DataFrame) -> DataFrame:
     """O-A4: a page counts as fetched when its optional ``status`` is null
-    or 200..399; an optional ``final_url`` (after redirects) is its URL."""
+    or 200..399. It is looked up by the ``url`` asked for; the optional
+    ``final_url`` (after redirects) is the URL that it names itself by."""
     if "status" in pages.columns:
         pages = pages.filter(F.col("status").isNull() | F.col("status").between(200, 399))
-    if "final_url" in pages.columns:
-        pages = pages.withColumn("url", F.coalesce("final_url", "url"))
-    return pages.select("page_id", "url", "html")
+    final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    return pages.select("page_id", "url", final.alias("final_url"), "html")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -138,7 +151,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     empty_arr = F.array().cast("array<string>")
     # stage 1: one pass over html; the visible form is computed once
     s1 = pages.select(
-        "page_id", "url", U.clean_url("url").alias("canonical_url"),
+        "page_id", "url", U.page_key("url").alias("page_key"), U.clean_url("final_url").alias("canonical_url"),
         H.visible_html(html).alias("vis"),
         H.page_title(html).alias("title"),
         F.when(F.instr(html, "ld+json") > 0, jsonld_blocks(html)).otherwise(empty_arr).alias("ld_blocks"),
@@ -150,7 +163,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     # stage 2: text nodes once, links and tags from the visible form
     vis = F.col("vis")
     s2 = s1.select(
-        "page_id", "url", U.strip_key("canonical_url").alias("page_key"), "canonical_url", "title",
+        "page_id", "url", "page_key", "canonical_url", "title",
         H.raw_node_string(vis, visible=True).alias("raw_nodes"),
         anchors(vis, visible=True).alias("links"),
         open_tags(vis, visible=True).alias("tags"),
@@ -183,10 +196,11 @@ def page_facts(pages: DataFrame) -> DataFrame:
 def dedup_pages(facts: DataFrame) -> DataFrame:
     """If several pages share a page_key, the smallest page_id is used.
 
-    The aggregate hash-partitions facts by page_key, which the following
-    page_key joins reuse.
+    ``facts`` is a written table. The pages to drop are found on
+    (page_key, page_id) alone; texts, links and JSON-LD stay where they are
+    when those are few enough to be broadcast, and are dealt once otherwise.
     """
-    cols = [c for c in facts.columns if c != "page_key"]
-    return (facts.groupBy("page_key")
-            .agg(F.min_by(F.struct(*cols), F.col("page_id")).alias("p"))
-            .select("page_key", "p.*"))
+    ids = facts.select("page_key", "page_id")
+    first = ids.groupBy("page_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    drop = ids.join(first, "page_key").filter("page_id <> first_id").select("page_key", "page_id").distinct()
+    return facts.join(drop, ["page_key", "page_id"], "left_anti")

@@ -24,16 +24,11 @@ MAIN_PHONE_CHANNELS = ("text_phone", "ld_phone")
 
 def prepare_targets(df: DataFrame, raw_col: str = "raw", pos_col: str = "input_pos") -> DataFrame:
     """O-B1 + O-B2: (input_pos, raw, url) for valid URLs, duplicates kept."""
-    return (df.select(F.col(pos_col).cast("bigint").alias("input_pos"), F.col(raw_col).alias("raw"),
+    return (df.select(F.col(pos_col).alias("input_pos"), F.col(raw_col).alias("raw"),
                       U.normalize_url(raw_col).alias("url"))
             .filter(U.is_valid_url("url")))
 
 
-def first_seen(targets: DataFrame) -> DataFrame:
-    """O-G4: one row per URL with its earliest input position."""
-    return targets.groupBy("url").agg(F.min("input_pos").alias("input_pos"))
-
-
 def sites(targets: DataFrame) -> DataFrame:
     """Distinct URLs to work on, with their lookup key."""
     return targets.select("url").distinct().withColumn("site_key", U.page_key("url"))
@@ -42,7 +37,8 @@ def sites(targets: DataFrame) -> DataFrame:
 def landing(site_df: DataFrame, facts: DataFrame) -> DataFrame:
     """O-F1 / O-A4: left join sites to their landing page."""
     f = facts.select(F.col("page_key").alias("site_key"), F.col("page_id").alias("landing_id"),
-                     F.col("canonical_url").alias("website"), "title", "links", "fb_href")
+                     F.col("canonical_url").alias("website"), "title", "links", "fb_href",
+                     F.col("text5000").alias("landing_text"))
     return site_df.join(f, "site_key", "left")
 
 
@@ -67,33 +63,31 @@ def contact_subpages(links: DataFrame, facts: DataFrame) -> DataFrame:
             .select("url", "link_key", "link_pos", "sub_id", "sub_url", "text5000"))
 
 
-def primary_page(land: DataFrame, subs: DataFrame, facts: DataFrame) -> DataFrame:
+def primary_page(land: DataFrame, subs: DataFrame) -> DataFrame:
     """O-H2 + O-D13: the page whose text feeds the external extractor.
 
     First existing contact page (link order) whose cleaned URL differs from
     the landing URL; else the landing page. Returns (url, primary_url,
     primary_text) with the text cut to 5000 chars.
     """
-    land_ok = land.filter(F.col("landing_id").isNotNull()).select("url", "website", "landing_id")
+    land_ok = land.filter(F.col("landing_id").isNotNull()).select("url", "website", "landing_text")
     s = subs.join(land_ok.select("url", "website"), "url")
     differing = (s.filter(F.col("sub_url") != F.col("website"))
                  .groupBy("url").agg(F.min_by(F.struct("sub_url", "text5000"), "link_pos").alias("d")))
     any_sub = s.groupBy("url").agg(F.max_by("text5000", "link_pos").alias("last_text"))
-    lt = facts.select(F.col("page_id").alias("landing_id"), F.col("text5000").alias("landing_text"))
-    out = (land_ok.join(lt, "landing_id", "left").join(differing, "url", "left").join(any_sub, "url", "left"))
+    out = land_ok.join(differing, "url", "left").join(any_sub, "url", "left")
     return out.select(
         "url", "website",
         F.coalesce(F.col("d.sub_url"), F.col("website")).alias("primary_url"),
         F.coalesce(F.col("d.text5000"), F.col("last_text"), F.col("landing_text")).alias("primary_text"))
 
 
-def page_candidates(facts: DataFrame, depth: int = J.DEFAULT_DEPTH) -> DataFrame:
-    """(page_key, channel, value) for every channel of every page, incl. JSON-LD."""
-    flat = (facts.select("page_key", F.explode("cands").alias("c"))
-            .select("page_key", "c.channel", "c.value"))
-    blocks = facts.select("page_key", F.explode("ld_blocks").alias("body"))
-    ld = J.jsonld_contacts(blocks, ("page_key",), depth)
-    return flat.unionByName(ld)
+def page_candidates(facts: DataFrame, keys: tuple = ("page_key",)) -> DataFrame:
+    """(keys..., channel, value) for every channel of every page, incl. JSON-LD."""
+    flat = (facts.select(*keys, F.explode("cands").alias("c"))
+            .select(*keys, "c.channel", "c.value"))
+    blocks = facts.select(*keys, F.explode("ld_blocks").alias("body"))
+    return flat.unionByName(J.jsonld_contacts(blocks, keys))
 
 
 def site_pages(land: DataFrame, subs: DataFrame) -> DataFrame:

@@ -145,19 +145,29 @@ def resolve_link(base: str, href: str) -> str:
 
 # ---------------------------------------------------------------- HTML text
 
+def _character(code: str) -> str:
+    cp1252 = str_list(P.CP1252)
+    nothing = (f"{code} BETWEEN 1 AND 8 OR {code} = 11 OR {code} BETWEEN 14 AND 31 OR {code} = 127"
+               f" OR {code} BETWEEN 64976 AND 65007 OR ({code} & 65534) = 65534")
+    bad = f"{code} IS NULL OR {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343"
+    return (f"CASE WHEN {bad} THEN '{P.REPLACEMENT}' WHEN {code} = 13 THEN chr(13)"
+            f" WHEN {code} BETWEEN 128 AND 159 THEN ({cp1252})[{code} - 127]"
+            f" WHEN {nothing} THEN '' ELSE chr(CAST(CASE WHEN {bad} THEN 65 ELSE {code} END AS INTEGER)) END")
+
+
 def decode_entities(e: str) -> str:
-    s = e
-    for ent, ch in P.HTML_ENTITIES:
-        if ent != "&amp;":
-            s = f"replace({s}, {lit(ent)}, {lit(ch)})"
-    one = ("CASE WHEN regexp_matches(p, '^[0-9]{1,7};') THEN chr(CAST(regexp_extract(p, '^([0-9]{1,7});', 1) AS INTEGER))"
-           " || regexp_replace(p, '^[0-9]+;', '')"
-           " WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,6};') THEN chr(CAST('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1) AS INTEGER))"
-           " || regexp_replace(p, '^[xX][0-9a-fA-F]+;', '')"
-           " ELSE '&#' || p END")
-    numeric = (f"(list_transform([{s}], lambda s: CASE WHEN instr(s, '&#') > 0 THEN (string_split(s, '&#'))[1] ||"
-               f" array_to_string(list_transform((string_split(s, '&#'))[2:], lambda p: {one}), '') ELSE s END))[1]")
-    return f"replace({numeric}, '&amp;', '&')"
+    name = f"list_position({str_list(P.HTML_ENTITIES)}, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1))"
+    bare = lambda pat: f"regexp_replace(regexp_extract(x.p, '{pat}', 1), '^0+', '')"
+    d, h = bare("^#([0-9]+)"), bare("^#[xX]([0-9a-fA-F]+)")
+    code = (f"CASE WHEN regexp_matches(x.p, '^#[0-9]') THEN CASE WHEN length({d}) <= 7 THEN CAST('0' || {d} AS BIGINT) END"
+            f" WHEN length({h}) <= 6 THEN CAST('0x0' || {h} AS BIGINT) END")
+    numeric = f"(list_transform([{code}], lambda code: {_character('code')}))[1]"
+    out = (f"CASE WHEN x.n > 0 THEN ({str_list(P.HTML_ENTITIES.values())})[x.n] || substr(x.p, instr(x.p, ';') + 1)"
+           f" WHEN regexp_matches(x.p, '^#([xX][0-9a-fA-F]|[0-9])') THEN {numeric} || regexp_replace(x.p, '^#([xX][0-9a-fA-F]+|[0-9]+);?', '')"
+           f" ELSE '&' || x.p END")
+    one = f"(list_transform([{{'p': p, 'n': {name}}}], lambda x: {out}))[1]"
+    return (f"(list_transform([{e}], lambda s: CASE WHEN instr(s, '&') > 0 THEN (string_split(s, '&'))[1] ||"
+            f" array_to_string(list_transform((string_split(s, '&'))[2:], lambda p: {one}), '') ELSE s END))[1]")
 
 
 def visible_html(e: str) -> str:
@@ -244,20 +254,25 @@ def attr(tag: str, name: str) -> str:
     return decode_entities(raw)
 
 
+def _a_pieces(vis: str) -> str:
+    cut = f"string_split(regexp_replace({vis}, {lit(PG.A_OPEN)}, '{PG.MARK}\\1', 'g'), '{PG.MARK}')"
+    tag = (f"{{'p': p, 'a': CASE WHEN {rlike('p', PG.A_ATTRS)} THEN regexp_extract(p, {lit(PG.A_ATTRS)}, 1)"
+           f" ELSE regexp_extract(p, {lit(PG.A_ATTRS_PLAIN)}, 1) END}}")
+    return f"list_transform(list_filter(({cut})[2:], lambda p: instr(p, '>') > 0), lambda p: {tag})"
+
+
 def open_tags(html: str) -> str:
-    return f"regexp_extract_all({visible_html(html)}, {lit(PG.OPEN_A)}, 0)"
+    return f"list_transform({_a_pieces(visible_html(html))}, lambda z: '<a' || z.a)"
 
 
 def anchors(html: str) -> str:
     """list of {pos, href, text} (pos 0-based, as in Spark)."""
-    vis = visible_html(html)
-    a = f"regexp_extract_all(v, {lit(PG.ANCHOR_ATTRS)}, 1)"
-    t = f"regexp_extract_all(v, {lit(PG.ANCHOR_INNER)}, 1)"
-    rows = (f"list_transform(list_zip({a}, {t}), lambda z, i: {{'pos': i - 1, 'has_href': {has_attr('z[1]', 'href')},"
-            f" 'href': {strip(attr('z[1]', 'href'))}, 'text': {page_text('z[2]')}}})")
+    inner = f"(string_split_regex(substr(z.p, length(z.a) + 2), {lit(PG.A_CLOSE)}))[1]"
+    rows = (f"list_transform({_a_pieces('v')}, lambda z, i: {{'pos': i - 1, 'has_href': {has_attr('z.a', 'href')},"
+            f" 'href': {strip(attr('z.a', 'href'))}, 'text': {page_text(inner)}}})")
     usable = (f"list_filter({rows}, lambda r: r.has_href AND r.href <> '' AND NOT starts_with(r.href, 'mailto:')"
               f" AND NOT starts_with(r.href, '#'))")
-    return f"(list_transform([{vis}], lambda v: list_transform({usable}, lambda r: {{'pos': r.pos, 'href': r.href, 'text': r.text}})))[1]"
+    return f"(list_transform([{visible_html(html)}], lambda v: list_transform({usable}, lambda r: {{'pos': r.pos, 'href': r.href, 'text': r.text}})))[1]"
 
 
 def cf_emails(tags: str) -> str:
@@ -277,11 +292,10 @@ def facebook_href(tags: str) -> str:
 
 
 def jsonld_blocks(html: str) -> str:
-    nc = f"regexp_replace({html}, {lit(PG.COMMENT)}, '', 'g')"
     a = f"regexp_extract_all(nc, {lit(PG.SCRIPT_ATTRS)}, 1)"
     b = f"regexp_extract_all(nc, {lit(PG.SCRIPT_BODY)}, 1)"
     ok = f"{has_attr('s[1]', 'type')} AND {attr('s[1]', 'type')} = 'application/ld+json'"
-    return f"(list_transform([{nc}], lambda nc: list_transform(list_filter(list_zip({a}, {b}), lambda s: {ok}), lambda s: s[2])))[1]"
+    return f"(list_transform([{html}], lambda nc: list_transform(list_filter(list_zip({a}, {b}), lambda s: {ok}), lambda s: s[2])))[1]"
 
 
 def reply_span(e: str) -> str:

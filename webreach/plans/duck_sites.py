@@ -4,6 +4,7 @@ tables (same SQL text as Spark reads). Oracle queries select from it."""
 from __future__ import annotations
 
 from webreach.functions import patterns as P
+from webreach.operators.jsonld import BARE_NUMBER
 from webreach.operators.sites import MAIN_EMAIL_CHANNELS, MAIN_PHONE_CHANNELS
 from webreach.plans import duck as D
 from webreach.sources import synth
@@ -16,16 +17,16 @@ def _in(values) -> str:
 
 
 def facts_ctes(src: str, dedup: bool = True) -> list[tuple[str, str]]:
-    """page facts + candidates over table ``src`` (page_id, url, html)."""
+    """page facts + candidates over ``src`` (page_id, url, final_url, status, html)."""
     facts0 = f"""
-SELECT page_id, url, {D.page_key('url')} AS page_key, {D.clean_url('url')} AS canonical_url,
+SELECT page_id, url, {D.page_key('url')} AS page_key, {D.clean_url('coalesce(final_url, url)')} AS canonical_url,
   {D.page_text('html')} AS text, {D.page_text_nosep('html')} AS text_nosep, {D.page_title('html')} AS title,
   {D.anchors('html')} AS links,
   CASE WHEN instr(html, '<') > 0 THEN {D.open_tags('html')} ELSE {_EMPTY} END AS tags,
   CASE WHEN instr(html, 'ld+json') > 0 THEN {D.jsonld_blocks('html')} ELSE {_EMPTY} END AS ld_blocks,
   {D.emails('html')} AS raw_emails, {D.phones('html')} AS raw_phones,
   instr(html, 'data-cfemail') > 0 AS has_cf, instr(html, 'mailto:') > 0 AS has_mailto
-FROM {src}"""
+FROM {src} WHERE status IS NULL OR status BETWEEN 200 AND 399"""
     facts = """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY page_id) AS rn FROM facts0) WHERE rn = 1"""
@@ -36,29 +37,33 @@ SELECT page_id, url, page_key, canonical_url, title, substr(text, 1, {P.EXTRACTI
   links, {D.facebook_href('tags')} AS fb_href, ld_blocks, text, text_nosep, tags, raw_emails, raw_phones,
   has_cf, has_mailto
 FROM facts1"""
+    fixed = f"regexp_replace(regexp_replace(body, {D.lit(BARE_NUMBER)}, '\\1null\\2', 'g'), {D.lit(BARE_NUMBER)}, '\\1null\\2', 'g')"
+    ld_blocks = f"""
+SELECT page_id, page_key, body, CASE WHEN json_valid(body) THEN body WHEN json_valid({fixed}) THEN {fixed} END AS json
+FROM (SELECT page_id, page_key, unnest(ld_blocks) AS body FROM facts)"""
     ld_walk = f"""
-SELECT page_key, CASE WHEN lower(t.key) IN {_in(P.JSONLD_EMAIL_KEYS)} THEN 'ld_email' ELSE 'ld_phone' END AS channel,
+SELECT page_id, page_key, CASE WHEN lower(t.key) IN {_in(P.JSONLD_EMAIL_KEYS)} THEN 'ld_email' ELSE 'ld_phone' END AS channel,
   {D.strip("json_extract_string(t.value, '$')")} AS value
-FROM (SELECT page_key, unnest(ld_blocks) AS body FROM facts) b, json_tree(CASE WHEN json_valid(b.body) THEN b.body ELSE 'null' END) t
-WHERE json_valid(b.body) AND t.type = 'VARCHAR' AND (
+FROM ld_bodies b, json_tree(coalesce(b.json, 'null')) t
+WHERE b.json IS NOT NULL AND t.type = 'VARCHAR' AND (
   (lower(t.key) IN {_in(P.JSONLD_EMAIL_KEYS)} AND instr(json_extract_string(t.value, '$'), '@') > 0)
   OR lower(t.key) IN {_in(P.JSONLD_PHONE_KEYS)})"""
     ld_fallback = f"""
-SELECT page_key, 'ld_email' AS channel, unnest({D.emails('body')}) AS value
-FROM (SELECT page_key, unnest(ld_blocks) AS body FROM facts) b WHERE NOT json_valid(body)"""
-    cands = f"""
+SELECT page_id, page_key, 'ld_email' AS channel, unnest({D.emails('body')}) AS value FROM ld_bodies WHERE json IS NULL"""
+    page_cands = f"""
 SELECT DISTINCT * FROM (
-  SELECT page_key, 'text_email' AS channel, unnest({D.emails('text')}) AS value FROM facts
-  UNION ALL SELECT page_key, 'text_phone', unnest({D.phones('text')}) FROM facts
-  UNION ALL SELECT page_key, 'cf_email', unnest(CASE WHEN has_cf THEN {D.cf_emails('tags')} ELSE {_EMPTY} END) FROM facts
-  UNION ALL SELECT page_key, 'mailto_email', unnest(CASE WHEN has_mailto THEN {D.mailto_emails('tags')} ELSE {_EMPTY} END) FROM facts
-  UNION ALL SELECT page_key, 'nosep_phone', unnest({D.phones('text_nosep')}) FROM facts
-  UNION ALL SELECT page_key, 'raw_email', unnest(raw_emails) FROM facts
-  UNION ALL SELECT page_key, 'raw_phone', unnest(raw_phones) FROM facts
+  SELECT page_id, page_key, 'text_email' AS channel, unnest({D.emails('text')}) AS value FROM facts
+  UNION ALL SELECT page_id, page_key, 'text_phone', unnest({D.phones('text')}) FROM facts
+  UNION ALL SELECT page_id, page_key, 'cf_email', unnest(CASE WHEN has_cf THEN {D.cf_emails('tags')} ELSE {_EMPTY} END) FROM facts
+  UNION ALL SELECT page_id, page_key, 'mailto_email', unnest(CASE WHEN has_mailto THEN {D.mailto_emails('tags')} ELSE {_EMPTY} END) FROM facts
+  UNION ALL SELECT page_id, page_key, 'nosep_phone', unnest({D.phones('text_nosep')}) FROM facts
+  UNION ALL SELECT page_id, page_key, 'raw_email', unnest(raw_emails) FROM facts
+  UNION ALL SELECT page_id, page_key, 'raw_phone', unnest(raw_phones) FROM facts
   UNION ALL SELECT * FROM ld_walk
   UNION ALL SELECT * FROM ld_fallback)"""
-    return [("facts0", facts0), ("facts1", facts), ("facts", facts_out), ("ld_walk", ld_walk),
-            ("ld_fallback", ld_fallback), ("cands", cands)]
+    cands = "SELECT DISTINCT page_key, channel, value FROM page_cands"
+    return [("facts0", facts0), ("facts1", facts), ("facts", facts_out), ("ld_bodies", ld_blocks), ("ld_walk", ld_walk),
+            ("ld_fallback", ld_fallback), ("page_cands", page_cands), ("cands", cands)]
 
 
 def site_ctes() -> list[tuple[str, str]]:
@@ -100,22 +105,24 @@ SELECT DISTINCT sp.url, sp.role, CASE WHEN c.channel IN {_in(MAIN_EMAIL_CHANNELS
 FROM spages sp JOIN cands c ON c.page_key = sp.page_key WHERE c.channel IN {_in(main)}"""
     span = D.reply_span("raw")
     ai = f"""
-SELECT url, arg_min(ai_emails, raw) AS ai_emails, arg_min(ai_phones, raw) AS ai_phones, arg_min(ai_summary, raw) AS ai_summary
+SELECT url, r.e AS ai_emails, r.p AS ai_phones, r.s AS ai_summary FROM (
+SELECT url, arg_min({{'e': ai_emails, 'p': ai_phones, 's': ai_summary}}, coalesce(raw, '')) AS r
 FROM (
   SELECT url, raw,
     CASE WHEN ok THEN coalesce({D.strip_distinct("try_cast(json_extract(j, '$.emails') AS VARCHAR[])")}, {_EMPTY}) ELSE {_EMPTY} END AS ai_emails,
     CASE WHEN ok THEN coalesce({D.strip_distinct("try_cast(json_extract(j, '$.phones') AS VARCHAR[])")}, {_EMPTY}) ELSE {_EMPTY} END AS ai_phones,
     CASE WHEN ok THEN coalesce(json_extract_string(j, '$.summary'), '') ELSE '' END AS ai_summary
   FROM (SELECT url, raw, {span} AS j, {span} <> '' AND json_valid({span}) AS ok FROM ai_contacts))
-GROUP BY url"""
+GROUP BY url)"""
     dec = f"""
-SELECT site, arg_min(mode, raw) AS mode, arg_min(keep_emails, raw) AS keep_emails, arg_min(keep_phones, raw) AS keep_phones
+SELECT site, r.m AS mode, r.e AS keep_emails, r.p AS keep_phones FROM (
+SELECT site, arg_min({{'m': mode, 'e': keep_emails, 'p': keep_phones}}, raw) AS r
 FROM (
   SELECT site, raw, CASE WHEN ok THEN 'list' ELSE 'jsonld' END AS mode,
     CASE WHEN ok AND json_exists(j, '$.emails') THEN coalesce({D.strip_distinct("try_cast(json_extract(j, '$.emails') AS VARCHAR[])")}, {_EMPTY}) END AS keep_emails,
     CASE WHEN ok AND json_exists(j, '$.phones') THEN coalesce({D.strip_distinct("try_cast(json_extract(j, '$.phones') AS VARCHAR[])")}, {_EMPTY}) END AS keep_phones
-  FROM (SELECT site, raw, {span} AS j, {span} <> '' AND json_valid({span}) AS ok FROM ai_decisions))
-GROUP BY site"""
+  FROM (SELECT site, raw, {span} AS j, {span} <> '' AND json_valid({span}) AS ok FROM ai_decisions WHERE {D.strip('raw')} <> ''))
+GROUP BY site)"""
     ai_site = """
 SELECT p.url, p.website, p.primary_url, a.ai_emails, a.ai_phones, a.ai_summary
 FROM primary_page p LEFT JOIN ai a ON a.url = p.primary_url"""
@@ -141,17 +148,17 @@ WHERE n.fb_href IS NOT NULL GROUP BY n.url"""
 
     def stage(name, suffix, pch, ech):
         hits = f"""
-SELECT query, rank, href, {D.page_key('href')} AS page_key FROM (
+SELECT query, hit_no, href, {D.page_key('href')} AS page_key FROM (
   SELECT query, rank, href, row_number() OVER (PARTITION BY query ORDER BY rank, href) AS hit_no
   FROM search_results WHERE query IN (SELECT company || {D.lit(suffix)} FROM need)) WHERE hit_no <= {P.SEARCH_HITS}"""
         per_hit = f"""
-SELECT h.query, h.rank,
+SELECT h.query, h.hit_no,
   list_sort(list(DISTINCT c.value) FILTER (WHERE c.channel = {D.lit(pch)})) AS phones,
   list_sort(list(DISTINCT c.value) FILTER (WHERE c.channel = {D.lit(ech or '')})) AS emails
 FROM ({hits}) h JOIN cands c ON c.page_key = h.page_key AND c.channel IN ({D.lit(pch)}, {D.lit(ech or pch)})
-GROUP BY h.query, h.rank"""
+GROUP BY h.query, h.hit_no"""
         best = f"""
-SELECT query, arg_min(phones, rank) AS phones, arg_min(coalesce(emails, {_EMPTY}), rank) AS emails
+SELECT query, arg_min(phones, hit_no) AS phones, arg_min(coalesce(emails, {_EMPTY}), hit_no) AS emails
 FROM ({per_hit}) WHERE len(coalesce(phones, {_EMPTY})) > 0 GROUP BY query"""
         return f"""
 SELECT n.url, b.phones, b.emails FROM need n JOIN ({best}) b ON b.query = n.company || {D.lit(suffix)}"""
@@ -221,5 +228,5 @@ def pipeline_sql(select: str) -> str:
 
 def pages_facts_sql(select: str, dedup: bool = True) -> str:
     """Facts + candidates over the crawled ``pages`` table."""
-    ctes = facts_ctes("pages", dedup)
+    ctes = facts_ctes("(SELECT page_id, url, NULL AS final_url, NULL AS status, html FROM pages)", dedup)
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + select

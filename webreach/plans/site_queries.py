@@ -15,23 +15,22 @@ from webreach.plans import duck as D
 from webreach.plans import duck_enrich as DE
 from webreach.plans.duck_sites import pipeline_sql
 from webreach.plans.registry import register
-from webreach.sources.tables import synthetic
+from webreach.sources.tables import state, synthetic
 
 _STAGES: dict = {}
 
 
 def stages(spark, sf) -> G.Stages:
-    """The site pipeline for ``sf``, built once per session (its narrow
-    intermediates are checkpointed, so later queries start from them)."""
-    key = (id(spark.sparkContext._jsc), sf)
-    st = _STAGES.get(key)
-    if st is None or spark.sparkContext._jsc.sc().isStopped():
+    """The site pipeline for ``sf``, built once for a session and state of the
+    files it reads; later queries start from its written tables."""
+    key = (spark.sparkContext.applicationId, sf, state(spark, sf, "customer", "pages"))
+    if key not in _STAGES:
         T = synthetic(spark, sf)
         st = G.build(T["syn_targets"], T["syn_pages"], T["search_results"], T["ai_contacts"], T["ai_decisions"])
         st.tables = T
         _STAGES.clear()
         _STAGES[key] = st
-    return st
+    return _STAGES[key]
 
 
 def _joined(c):
@@ -69,7 +68,7 @@ register("mailto_emails", pipeline_sql("SELECT page_key, value AS email FROM can
 def jsonld_contacts(spark, sf):
     """O-C5 + O-D7: e-mails and phones found by walking JSON-LD blocks."""
     f = stages(spark, sf).facts
-    blocks = f.select("page_key", F.explode("ld_blocks").alias("body")).filter(F.try_parse_json("body").isNotNull())
+    blocks = f.select("page_key", F.explode("ld_blocks").alias("body")).filter(J.parse_block(F.col("body")).isNotNull())
     return J.jsonld_contacts(blocks, ("page_key",))
 
 
@@ -77,7 +76,7 @@ def jsonld_contacts(spark, sf):
 def jsonld_fallback(spark, sf):
     """O-D8: e-mail regex over JSON-LD blocks that do not parse."""
     f = stages(spark, sf).facts
-    blocks = f.select("page_key", F.explode("ld_blocks").alias("body")).filter(F.try_parse_json("body").isNull())
+    blocks = f.select("page_key", F.explode("ld_blocks").alias("body")).filter(J.parse_block(F.col("body")).isNull())
     return J.jsonld_contacts(blocks, ("page_key",)).select("page_key", F.col("value").alias("email"))
 
 

@@ -30,25 +30,13 @@ def stream_url_list(spark, sf):
     # two files, the second repeating part of the first: dedup state is exercised
     urls.select("url").write.mode("overwrite").text(os.path.join(src, "a"))
     urls.filter(F.col("page_id") % 2 == 0).select("url").write.mode("overwrite").text(os.path.join(src, "b"))
-    spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "1")
     out = feeds.run_url_stream(spark, os.path.join(src, "*"), base)
     return out.select("url")
 
 
-@register("stream_page_candidates", pages_facts_sql("SELECT DISTINCT page_key, channel, value FROM cands", dedup=False))
+@register("stream_page_candidates", pages_facts_sql("SELECT page_id, page_key, channel, value FROM page_cands", dedup=False))
 def stream_page_candidates(spark, sf):
-    """O-L2: the pages table as a page feed; per micro-batch candidates are
-    appended; equals the batch candidates of every page."""
-    folder = sf
-    stream = (spark.readStream.schema(feeds.PAGES_SCHEMA).option("pathGlobFilter", "pages.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(folder))
-    base = os.path.join(checkpoint_dir(spark), f"page-stream-{uuid.uuid4().hex}")
-    target = os.path.join(base, "candidates")
-
-    def append(batch, epoch_id):
-        feeds.candidates_of(batch).write.mode("append").parquet(target)
-
-    q = (stream.writeStream.foreachBatch(append).option("checkpointLocation", os.path.join(base, "_state"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(target).select("page_key", "channel", "value").distinct()
+    """O-L2: the pages table as a page feed; the candidates of every page, each
+    with its own page_id, equal the batch result."""
+    out = feeds.run_page_stream(spark, sf, pathGlobFilter="pages.parquet", maxFilesPerTrigger="1")
+    return out.select("page_id", "page_key", "channel", "value")

@@ -1,9 +1,9 @@
 """Session helpers.
 
 The engine never creates machine-local scratch space on a cluster: lineage is
-cut with ``DataFrame.checkpoint()`` into the directory the cluster names in
-``spark.checkpoint.dir``. Only when that setting is absent (tests, local runs)
-do we point it at a fresh folder under /tmp.
+cut with tables in the directory the cluster names in ``spark.checkpoint.dir``.
+Only when that setting is absent and the master is local (tests, a laptop) do
+we point it at a fresh folder under /tmp; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ ENGINE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 * 1024 * 1024),
 }
 
+# Of these, the ones that results rest on.
+RESULT_CONF = ("spark.sql.variant.allowDuplicateKeys", "spark.sql.session.timeZone")
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "webreach") -> SparkSession:
+              app_name: str = "webreach", source_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -43,18 +46,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if source_partitions:
+        builder = builder.config("webreach.source.partitions", str(source_partitions))
     spark = builder.getOrCreate()
     configure(spark)
     return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the engine needs to an existing session."""
+    """Apply the runtime settings the engine needs to an existing session;
+    settings that the session has been given stay, but for those that results rest on."""
+    given = spark.conf.getAll
     for k, v in ENGINE_CONF.items():
-        try:
+        if k in RESULT_CONF or k not in given:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave as is
-            pass
     checkpoint_dir(spark)
     from webreach.functions import sqlfns
     sqlfns.ensure(spark)
@@ -69,7 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: this is a test or a laptop run, never a cluster.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="webreach-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir

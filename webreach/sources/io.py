@@ -1,13 +1,14 @@
 """Sources and sinks (O-A1..O-A3, O-A5..O-A8, O-B8, O-H6).
 
 Readers return ``targets``-shaped DataFrames: (input_pos, raw [, other
-columns]); ``input_pos`` preserves file order (partition index in the upper
-bits, row order below), so exports can restore input order with one sort.
+columns]); ``input_pos`` grows with file order, so exports can restore input
+order with one sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
@@ -18,18 +19,26 @@ from webreach.functions import urls as U
 _EXTRA_LINE_BREAKS = r"[\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 
+def _position(outer: str, inner: str) -> Column:
+    """Place of an item: that of its line or document, then its own in there.
+    63 and 31 bits fit a decimal whatever the number of partitions or items."""
+    return (F.col(outer).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(17,0)") + F.col(inner)).cast("decimal(38,0)")
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """O-A1: one URL per line; undecodable bytes dropped; each line
     normalized and kept only if valid; duplicates kept. A missing path
     gives an empty list."""
     try:
         raw = spark.read.text(path)
-    except Exception:  # missing file -> empty list
-        return spark.createDataFrame([], "input_pos bigint, raw string, url string")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "input_pos decimal(38,0), raw string, url string")
     lines = raw.select(F.monotonically_increasing_id().alias("line_pos"),
                        F.regexp_replace("value", "�", "").alias("value"))
     parts = lines.select("line_pos", F.posexplode(F.split("value", _EXTRA_LINE_BREAKS)).alias("sub", "raw"))
-    out = parts.select((F.col("line_pos") * 1024 + F.col("sub")).alias("input_pos"), "raw",
+    out = parts.select(_position("line_pos", "sub").alias("input_pos"), "raw",
                        U.normalize_url("raw").alias("url"))
     return out.filter((F.col("url") != "") & U.is_valid_url("url"))
 
@@ -65,12 +74,23 @@ def read_url_json(spark: SparkSession, path: str, whole_file: bool = False) -> D
         F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]|" + _EXTRA_LINE_BREAKS),
                              U.py_strip), lambda s: s != ""))
     items = docs.select("doc", F.posexplode(lines).alias("i", "raw"))
-    out = items.select((F.col("doc") * 1048576 + F.col("i")).alias("input_pos"), "raw",
+    out = items.select(_position("doc", "i").alias("input_pos"), "raw",
                        U.normalize_url("raw").alias("url"))
     out = out.filter((F.col("url") != "") & U.is_valid_url("url"))
     return out.groupBy("url").agg(F.min_by("raw", "input_pos").alias("raw"), F.min("input_pos").alias("input_pos"))
 
 
+def numbered(df: DataFrame, name: str = "line_no") -> DataFrame:
+    """``df`` with consecutive row numbers in file order: each partition counts
+    its own rows, and only those counts are added up."""
+    inner = F.monotonically_increasing_id()
+    rows = df.withColumn("_part", F.spark_partition_id()).withColumn("_n", inner - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    counts = rows.groupBy("_part").count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+
+
 def write_json(contacts: DataFrame, path: str, order_col: str | None = "input_pos") -> None:
     """O-A5: contact records as JSON lines; arrays stay arrays, UTF-8 as is."""
     df = contacts.orderBy(order_col) if order_col else contacts

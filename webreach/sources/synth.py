@@ -20,7 +20,15 @@ With k = c_custkey, site = https://site<k>.test:
   pages exist for ranks 1, 2, 6; rank 2 has a phone when k%4 is 0 / 2 / 3;
   rank 6 (cut by top-5) always has one.
 * search snippets: 14 hits per unreachable site, the 13th (cut) has a phone.
-* ai_contacts by k%3 (and k%6=4), ai_decisions by k%4.
+* ai_contacts by k%3 (and k%6=4), ai_decisions by k%4; two replies for one
+  page when k%36=1 / k%36=2; an empty decision when k%40=5.
+* hits of equal rank when k%14=1. Landing pages redirect when k%19=3 and are
+  missing by status when k%19=5.
+* hostile markup: references by name and number, references to no character,
+  JSON-LD 20 levels deep, with NaN and inside a comment, an anchor that is not
+  closed, '>' inside an attribute.
+
+The given ``pages`` are crawled pages too, and each of their URLs is a target.
 """
 
 from __future__ import annotations
@@ -81,8 +89,12 @@ FROM customer
 UNION ALL
 SELECT {K} * 2 + 1 AS input_pos, 'https://site' || {KS} || '.test' AS raw
 FROM customer WHERE {K} % 50 = 0
+UNION ALL
+SELECT page_id * 2 + 1000000000 AS input_pos, url AS raw FROM pages
 """
 
+_DEEP = "'" + '{"a":[' * 10 + '{"email":"deep' + f"' || {KS} || '@site' || {KS} || '" + '.test"}' + ']}' * 10 + "'"
+
 _LANDING_HTML = f"""
 '<!DOCTYPE html><html><head><meta charset="utf-8">'
 || CASE WHEN {K} % 13 = 0 THEN '' ELSE '<title> Site ' || {KS} || ' &amp; Co </title>' END
@@ -107,6 +119,13 @@ _LANDING_HTML = f"""
    WHEN {K} % 9 = 7 THEN '<p>Mobile +94 77 748 ' || {P4} || '</p>'
    ELSE '' END
 || CASE WHEN {K} % 17 = 0 THEN '<p><b>info</b>@site' || {KS} || '.test</p>' ELSE '' END
+|| CASE WHEN {K} % 10 = 1 THEN '<p>named' || {KS} || '&commat;mail.example.com number' || {KS} || '&#00000064;mail.example.com hex' || {KS}
+     || '&#x000000040;mail.example.com bad &#9999999; &#xD800; &#0; &#x80; &bogus; &#99999999999999999999;</p>' ELSE '' END
+|| CASE WHEN {K} % 10 = 2 THEN '<script type="application/ld+json">' || {_DEEP} || '</script>' ELSE '' END
+|| CASE WHEN {K} % 10 = 4 THEN '<script type="application/ld+json">{{"v":[NaN,-Infinity],"w":Infinity,"telephone":"011 555 ' || {P4} || '"}}</script>' ELSE '' END
+|| CASE WHEN {K} % 10 = 6 THEN '<script type="application/ld+json"><!-- {{"email":"wrapped' || {KS} || '@site' || {KS} || '.test"}} --></script>'
+     || '<!-- <script type="application/ld+json">{{"email":"dead' || {KS} || '@site' || {KS} || '.test"}}</script> -->' ELSE '' END
+|| CASE WHEN {K} % 8 = 1 THEN '<p><a href="/blog">Blog <a title="a > b" href="/write-to-us">Letters</a></p>' ELSE '' END
 || '</main><footer>&copy; 2024 Site ' || {KS} || ' &middot; v1.2.3 &middot; order 2024-01-01</footer></body></html>'
 """
 
@@ -140,7 +159,7 @@ def _web_html(has_phone: str) -> str:
             f"|| '@directory.test --><p>See website</p>' ELSE '<p>No details</p>' END || '</body></html>'")
 
 
-SYN_PAGES = f"""
+_SITE_PAGES = f"""
 SELECT {K} * 100 AS page_id,
   {SITE} || CASE WHEN {K} % 9 = 2 THEN '/?ref=home' ELSE '/' END AS url,
   {_LANDING_HTML} AS html
@@ -167,6 +186,15 @@ UNION ALL
     f"SELECT {K} * 100 + 30 + {{r}}, 'https://dir' || {KS} || '.test/listing/' || CAST({{r}} AS STRING), "
     f"{_web_html(f'({{r}} = 2 AND {K} % 4 = 3) OR {{r}} = 6')}", (1, 2, 6))
 
+SYN_PAGES = f"""
+SELECT page_id, url,
+  CASE WHEN page_id % 1900 = 300 THEN replace(url, 'https://site', 'https://www.site') || 'home' END AS final_url,
+  CASE WHEN page_id % 1900 = 500 THEN 404 ELSE 200 END AS status, html
+FROM ({_SITE_PAGES}) site_pages
+UNION ALL
+SELECT page_id + 1000000000 AS page_id, url, CAST(NULL AS STRING) AS final_url, CAST(NULL AS INT) AS status, html FROM pages
+"""
+
 _SNIPPET_BODY = (f"CASE WHEN {K} % 22 = 0 THEN 'Nothing useful here'"
                  f" WHEN {{r}} = 3 THEN 'Email us at desk' || {KS} || '@site' || {KS} || '.test today'"
                  f" WHEN {{r}} = 5 THEN 'Call 011 2574 ' || {P3} || ' or visit'"
@@ -184,6 +212,7 @@ SEARCH_RESULTS = "\nUNION ALL\n".join([
               range(1, 7), f"{K} % 13 <> 0"),
     _per_rank(f"SELECT {COMPANY} || ' phone number', {{r}}, 'https://dir' || {KS} || '.test/listing/' || CAST({{r}} AS STRING), "
               f"'Directory ' || CAST({{r}} AS STRING), 'Directory entry'", range(1, 7), f"{K} % 13 <> 0"),
+    f"SELECT {COMPANY} || ' phone number', 2, 'https://dir' || {KS} || '.test/listing/6', 'Directory 2', 'Directory entry' FROM customer WHERE {K} % 13 <> 0 AND {K} % 14 = 1",
     _per_rank(f"SELECT 'site' || {KS} || '.test contact email phone', {{r}}, "
               f"'https://snip.test/' || {KS} || '/' || CAST({{r}} AS STRING), 'Site ' || {KS} || ' result ' || CAST({{r}} AS STRING), {_SNIPPET_BODY}",
               range(1, 15), f"{K} % 11 = 0"),
@@ -196,6 +225,9 @@ SELECT CASE WHEN {K} % 8 = 5 THEN {SITE} || '/contact-us' ELSE {SITE} || '/' END
        WHEN {K} % 6 = 4 THEN 'Result: {{not json at all}}'
        ELSE 'Sorry, I could not read {{this page' END AS raw
 FROM customer WHERE {K} % 3 <> 2 AND {K} % 11 <> 0
+UNION ALL
+SELECT {SITE} || '/', 'Or: {{"emails": ["second' || {KS} || '@site' || {KS} || '.test"], "phones": [], "summary": "Second reply."}}'
+FROM customer WHERE {K} % 36 = 1 OR {K} % 36 = 3
 """
 
 AI_DECISIONS = f"""
@@ -204,7 +236,11 @@ SELECT {SITE} || '/' AS site,
          || '.example.com", "ghost@nowhere.test"], "phones": []}}'
        WHEN {K} % 4 = 1 THEN '{{"emails": []}}'
        ELSE 'I cannot decide.' END AS raw
-FROM customer WHERE {K} % 4 <> 3 AND {K} % 11 <> 0
+FROM customer WHERE {K} % 4 <> 3 AND {K} % 11 <> 0 AND {K} % 40 <> 5
+UNION ALL
+SELECT {SITE} || '/', CASE WHEN {K} % 80 = 5 THEN '  ' END FROM customer WHERE {K} % 40 = 5
+UNION ALL
+SELECT {SITE} || '/', 'Again: {{"phones": ["none"]}}' FROM customer WHERE {K} % 36 = 2 OR {K} % 36 = 4
 """
 
 SYNTH_TABLES = {
@@ -222,8 +258,15 @@ def cte_prefix(names=None) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({for_dialect(SYNTH_TABLES[n], 'duckdb')})" for n in names)
 
 
-def register(spark, customer_df, view: str = "webreach_customer") -> dict:
-    """Create the synthetic tables as DataFrames derived from ``customer``."""
-    customer_df.createOrReplaceTempView(view)
-    return {name: spark.sql(for_dialect(sql, "spark").replace("FROM customer", f"FROM {view}"))
-            for name, sql in SYNTH_TABLES.items()}
+def register(spark, customer_df, pages_df, suffix: str) -> dict:
+    """The tables as DataFrames derived from ``customer`` and ``pages``."""
+    views = {"customer": customer_df, "pages": pages_df}
+    for name, df in views.items():
+        df.createOrReplaceTempView(f"webreach_{name}_{suffix}")
+    out = {}
+    for table, sql in SYNTH_TABLES.items():
+        sql = for_dialect(sql, "spark")
+        for name in views:
+            sql = sql.replace(f"FROM {name}", f"FROM webreach_{name}_{suffix}")
+        out[table] = spark.sql(sql)
+    return out

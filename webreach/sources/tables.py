@@ -14,25 +14,29 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    A table stored as one small file is scanned by one task, which leaves
-    the regex-heavy page and text passes on a single core. Such inputs are
-    round-robin repartitioned to the default parallelism; a large table
-    already has more splits than cores and is left untouched (no shuffle).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+# Session setting: number of partitions that each source is dealt to. Unset (as
+# on a cluster), the splits of the scan decide.
+PARTITIONS = "webreach.source.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    n = spark.conf.get(PARTITIONS, None)
+    return df if n is None else df.repartition(int(n))
 
 
 def synthetic(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """syn_targets, syn_pages, search_results, ai_contacts, ai_decisions."""
-    view = "webreach_customer_" + re.sub(r"[^A-Za-z0-9]", "_", os.path.abspath(sf_dir))
-    return synth.register(spark, table(spark, sf_dir, "customer"), view)
+    pages = spark.read.parquet(os.path.join(sf_dir, "pages.parquet")).select("page_id", "url", "html")
+    return synth.register(spark, table(spark, sf_dir, "customer"), pages, re.sub(r"[^A-Za-z0-9]", "_", sf_dir))
+
+
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """The files behind tables, with sizes and times: what a cached result rests on."""
+    out = []
+    for name in names:
+        for file in spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            out.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))

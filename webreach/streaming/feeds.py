@@ -3,9 +3,10 @@
 O-L1: a growing folder of URL-list files -> normalized, valid URLs, each URL
 emitted once (``dropDuplicates`` keeps one state key per URL).
 O-L2: a folder of crawled-page parquet files -> page candidates, stateless
-(page facts + the JSON-LD walk per micro-batch), appended through
-``foreachBatch``. Contacts are recomputed from the candidate table in
-batch, so a page that arrives late simply adds candidates.
+(page facts + the JSON-LD walk per micro-batch). ``foreachBatch`` writes each
+epoch to a folder of its own and replaces it when the epoch is replayed.
+Contacts are recomputed from the candidate table in batch, so a page that
+arrives late simply adds candidates.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from webreach.functions import urls as U
 from webreach.operators import pages as PG
 from webreach.operators import sites as S
-from webreach.session import checkpoint_dir
+from webreach.session import checkpoint_dir, materialize
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 
@@ -31,41 +34,49 @@ def url_stream(spark: SparkSession, folder: str) -> DataFrame:
     return urls.dropDuplicates(["url"])
 
 
-def page_candidate_batches(spark: SparkSession, folder: str, schema: str = PAGES_SCHEMA) -> DataFrame:
+def page_feed(spark: SparkSession, folder: str, schema: str = PAGES_SCHEMA, **options) -> DataFrame:
     """O-L2 input: the page feed as a streaming DataFrame."""
-    return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).options(**options).parquet(folder)
 
 
 def candidates_of(pages: DataFrame) -> DataFrame:
-    """(page_id, page_key, channel, value) of a batch of pages."""
-    facts = PG.page_facts(pages)
-    ids = facts.select("page_key", "page_id")
-    return S.page_candidates(facts).join(ids, "page_key").select("page_id", "page_key", "channel", "value")
+    """(page_id, page_key, channel, value) of a batch of pages; every page has
+    its own candidates, also where several share a key. The facts are written
+    once, as three branches read them."""
+    return S.page_candidates(materialize(PG.page_facts(pages)), ("page_id", "page_key"))
+
+
+def write_epoch(batch: DataFrame, epoch_id: int, target: str) -> None:
+    """Candidates of one micro-batch, in the epoch's own folder."""
+    candidates_of(batch).write.mode("overwrite").parquet(os.path.join(target, f"epoch={epoch_id}"))
 
 
 def run_url_stream(spark: SparkSession, folder: str, out_dir: str | None = None) -> DataFrame:
     """Run O-L1 to completion over what is in ``folder`` (availableNow) and
-    return the emitted URLs as a batch DataFrame."""
+    return the emitted URLs as a batch DataFrame. The URLs seen are kept in
+    RocksDB, on disk, as they grow with the feed."""
     base = out_dir or os.path.join(checkpoint_dir(spark), f"url-stream-{uuid.uuid4().hex}")
-    q = (url_stream(spark, folder).writeStream.format("parquet")
-         .option("checkpointLocation", os.path.join(base, "_state"))
-         .option("path", os.path.join(base, "out")).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = (url_stream(spark, folder).writeStream.format("parquet")
+             .option("checkpointLocation", os.path.join(base, "_state"))
+             .option("path", os.path.join(base, "out")).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return spark.read.parquet(os.path.join(base, "out"))
 
 
-def run_page_stream(spark: SparkSession, folder: str, out_dir: str | None = None) -> DataFrame:
-    """Run O-L2 to completion (availableNow); each micro-batch appends its
-    candidates to a parquet table; returns that table."""
+def run_page_stream(spark: SparkSession, folder: str, out_dir: str | None = None, **options) -> DataFrame:
+    """Run O-L2 to completion (availableNow) and return the table of
+    candidates: (page_id, page_key, channel, value, epoch)."""
     base = out_dir or os.path.join(checkpoint_dir(spark), f"page-stream-{uuid.uuid4().hex}")
     target = os.path.join(base, "candidates")
-
-    def append(batch: DataFrame, epoch_id: int) -> None:
-        candidates_of(batch).write.mode("append").parquet(target)
-
-    q = (page_candidate_batches(spark, folder).writeStream.foreachBatch(append)
+    q = (page_feed(spark, folder, **options).writeStream
+         .foreachBatch(lambda batch, epoch_id: write_epoch(batch, epoch_id, target))
          .option("checkpointLocation", os.path.join(base, "_state"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema("page_id bigint, page_key string, channel string, value string, epoch int").parquet(target)
