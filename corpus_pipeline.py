@@ -7,14 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webreach.llm import decontam, forest, lines, packing, quality
-from webreach.llm.common import table, written
+from webreach.llm.common import narrow_batches, table, written
 
 STAGES = [
-    ("quality rules", quality.stage),
-    ("line dedup", lines.stage),
-    ("n-gram Jaccard join", forest.stage),
-    ("benchmark decontamination", decontam.stage),
-    ("packing", packing.stage),
+    ("quality rules", narrow_batches(quality.stage)),
+    ("line dedup", narrow_batches(lines.stage)),
+    ("n-gram Jaccard join", narrow_batches(forest.stage)),
+    ("benchmark decontamination", narrow_batches(decontam.stage)),
+    ("packing", narrow_batches(packing.stage)),
 ]
 
 #: None: no SQL can say the trained and similarity stages; tests/llm hold them against brute force.

@@ -3,6 +3,7 @@ tables, and zero-copy views of Arrow text columns."""
 
 from __future__ import annotations
 
+import functools
 import sys
 import types
 import uuid
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's numpy code looks at together; a longer text is looked at alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, unless the session has been given another number: texts are wide.
+BATCH_ROWS = 1000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def narrow_batches(fn):
+    """A query or stage whose session hands texts to Python in batches of BATCH_ROWS."""
+    @functools.wraps(fn)
+    def run(spark, *args):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return fn(spark, *args)
+    return run
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names."""
     from webreach.session import checkpoint_dir
