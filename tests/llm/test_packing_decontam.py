@@ -92,7 +92,7 @@ def test_decontam_against_full_distances(spark):
             at = r.randrange(len(text))
             text = text[:at] + " " + piece + " " + text[at:]
         rows.append((i, text))
-    rows += cases.edge_rows()
+    rows += [(i and i + 100, t) for i, t in cases.edge_rows()]
     df, bench = cases.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     fold = lambda t: decontam._FOLD[np.frombuffer(t.encode(), np.uint8)]
     want = set()

@@ -9,7 +9,9 @@ at the largest room there is.
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +24,22 @@ from webreach.llm.registry import register
 END_ID = 1
 #: Of one packing group, on average.
 GROUP_ROWS, GROUP_BYTES = 2000, 8 << 20
-#: Words whose ids a worker remembers.
-MEMORY_WORDS = 300_000
-_PLAIN = np.zeros(256, bool)
+#: Words whose ids a worker remembers, words that are encoded at a time, and bits of the table that is asked first.
+MEMORY_WORDS, LEARN_WORDS, TABLE_BITS = 400_000, 20_000, 20
+_PLAIN, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class Words:
     """Token ids of texts, word by word.
 
-    The tokenizer's pattern always cuts before a single space that stands
-    between two characters that aren't white space, so the parts between such
-    spaces can be encoded on their own, and equal parts once.
+    The tokenizer's pattern always cuts before a single space or newline between
+    two characters that aren't white space, after such a newline, and between a
+    letter and a mark other than an apostrophe. So the parts between these
+    places can be encoded on their own, and equal parts once.
     """
 
     def __init__(self, path: str):
@@ -42,15 +48,27 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a word of letters is one part for the byte-pair merges, which see each byte as a character
+        self.bpe = self.tokenizer.model.tokenize
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain) if b != 10}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[int, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.array([i for ids in found for i in ids], np.uint32)
+        self.keys, self.words = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)
+
+    def learn(self, keys: list[int], texts: list[bytes]) -> None:
+        found: list = [None] * len(texts)
+        plain = [i for i, text in enumerate(texts) if _LETTERS(text)]
+        shown = b"\n".join([texts[i] for i in plain]).decode("latin-1").translate(self.shown).split("\n")
+        for i, word in zip(plain, shown, strict=False):  # without words there is still one empty string
+            found[i] = [t.id for t in self.bpe(word)]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
         n, used = len(self.number), int(self.ends[len(self.number) - 1]) if self.number else 0
         while len(self.ends) < n + len(found):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
@@ -60,32 +78,55 @@ class Words:
         self.ends[n: n + len(found)] = used + np.cumsum([len(ids) for ids in found])
         self.number.update(zip(keys, range(n, n + len(found)), strict=True))
 
+    def look_up(self, key: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of every word."""
+        slot = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        word = self.words[slot].astype(np.int64)
+        miss = np.flatnonzero((self.keys[slot] != key) | (word < 0))
+        if not len(miss):
+            return word
+        some, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+        first, values = miss[first], some.tolist()
+        new = [i for i, k in enumerate(values) if k not in self.number]
+        if len(self.number) + len(new) > MEMORY_WORDS and self.number:
+            self.forget()
+            return self.look_up(key, raw, start, end)
+        data = raw.tobytes() if new else b""
+        for a in range(0, len(new), LEARN_WORDS):
+            part = new[a: a + LEARN_WORDS]
+            self.learn([values[i] for i in part], [data[start[i]: end[i]] for i in first[part].tolist()])
+        number = np.fromiter(map(self.number.__getitem__, values), np.int64, len(values))
+        word[miss] = number[back.ravel()]
+        at = (some >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        self.keys[at], self.words[at] = some, number
+        return word
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets); each row's ids end with END_ID."""
         n = len(at) - 1
-        space = np.flatnonzero(raw[1:-1] == 32) + 1 if len(raw) > 2 else np.zeros(0, np.int64)
-        before, after = raw[space - 1], raw[space + 1]
-        latin = raw[np.maximum(space - 2, 0)] == 0xC3  # of a two-byte character, U+00C0 to U+00FF
-        space = space[(_PLAIN[before] | (before >= 0x80) & latin) & (_PLAIN[after] | (after == 0xC3))]
-        start = np.union1d(space, at[:-1][np.diff(at) > 0])
+        inner = np.arange(1, max(1, len(raw) - 1))
+        blank = inner[(raw[1:-1] == 32) | (raw[1:-1] == 10)] if len(raw) > 2 else inner[:0]
+        before, after = raw[blank - 1], raw[blank + 1]
+        latin = raw[np.maximum(blank - 2, 0)] == 0xC3  # of a two-byte character, U+00C0 to U+00FF
+        blank = blank[(_PLAIN[before] | (before >= 0x80) & latin) & (_PLAIN[after] | (after == 0xC3))]
+        line = blank[raw[blank] == 10]
+        mark = np.flatnonzero(_MARK[raw[1:]] & _LETTER[raw[:-1]]) + 1
+        cut = np.zeros(len(raw) + 1, bool)
+        for places in (blank, line + 1, mark, at[:-1][np.diff(at) > 0]):
+            cut[places] = True
+        start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(raw))[: len(start)]
-        key, first, back = np.unique(span_hashes(prefix_hashes(raw), start, end), return_index=True, return_inverse=True)
-        if len(self.number) > MEMORY_WORDS:
-            self.forget()
-        new = [i for i, k in enumerate(key.tolist()) if k not in self.number]
-        if new:
-            data = raw.tobytes()
-            self.learn(key[new].tolist(), [data[start[i]: end[i]].decode() for i in first[new].tolist()])
-        word = np.array([self.number[k] for k in key.tolist()], np.int64)[back.ravel()] if len(key) else np.zeros(0, np.int64)
+        word = self.look_up(span_hashes(prefix_hashes(raw), start, end), raw, start, end)
         lo = np.where(word > 0, self.ends[np.maximum(word - 1, 0)], 0)
         size = self.ends[word] - lo
-        row = np.searchsorted(at, start, "right") - 1
+        row = np.repeat(np.arange(n), np.diff(np.searchsorted(start, at)))
         tokens = np.bincount(row, size, n).astype(np.int64) + 1
         offsets = np.concatenate(([0], np.cumsum(tokens)))
         ids = np.full(offsets[-1], END_ID, np.uint32)
-        to = np.cumsum(size) - size + row  # END_ID of each earlier row stands before
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        ids[np.repeat(to, size) + within] = self.ids[np.repeat(lo, size) + within]
+        first = np.cumsum(size) - size
+        # of every id: its place in the memory, and in the rows, where END_ID of each earlier row stands before
+        place = np.arange(int(size.sum()))
+        ids[place + np.repeat(row, size)] = self.ids[place + np.repeat(lo - first, size)]
         return ids, offsets
 
 
