@@ -66,8 +66,10 @@ def brute(rows, edits, least):
     return out
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_dedup_against_all_pairs(spark, edits):
+@pytest.mark.parametrize("edits, hot", [(1, 64), (2, 64), (2, 2)])
+def test_dedup_against_all_pairs(spark, monkeypatch, edits, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "BLOCK", 3 if hot == 2 else 64)
     r, rows = random.Random(3), []
     pool = [cases.words(i, r.randint(4, 9)) for i in range(40)]
     for i in range(70):

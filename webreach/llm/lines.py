@@ -20,7 +20,9 @@ from webreach.llm.registry import register
 LEAST_CHARS = 24
 EDITS = 2
 #: Lines to verify whose numbers are sent to every task, at 8 bytes each; with more, the texts are shuffled instead.
-BROADCAST_IDS = 250_000
+BROADCAST_IDS = 1_000_000
+#: Indexed lines from which on a segment's lines are compared in blocks, and lines of a block.
+HOT, BLOCK = 8, 64
 
 
 def let(value: Column, fn) -> Column:
@@ -28,32 +30,35 @@ def let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of edits + 1 nearly equal segments."""
+def keys(lines: DataFrame, edits: int, asked: list[tuple[int, int, int]], name: str) -> DataFrame:
+    """lines(id, line, size) -> (key, ``name``): hashes of (length, segment number,
+    segment) for each (length below the line's own, segment number, move from the
+    segment's place); the segments are edits + 1 nearly equal parts."""
     n = edits + 1
-    size, short = F.floor(length / n), n - length % n
-    return i * size + F.greatest(F.lit(0), F.lit(i) - short), size + (F.lit(i) >= short).cast("int")
+    # four bytes a character: a part is found without counting
+    wide = lines.select("id", "size", F.encode("line", "UTF-32").alias("wide"))
+    cut = wide.select("id", "size", "wide", *[x for less in range(n) for x in (
+        F.floor((F.col("size") - less) / n).cast("int").alias(f"part{less}"), (n - (F.col("size") - less) % n).alias(f"short{less}"))])
 
+    def key(less: int, i: int, move: int) -> Column:
+        part, short = F.col(f"part{less}"), F.col(f"short{less}")
+        start = i * part + F.greatest(F.lit(0), i - short) + move
+        return F.xxhash64(F.col("size") - less, F.lit(i), F.substring("wide", 4 * start + 1, 4 * (part + F.when(F.lit(i) >= short, 1).otherwise(0))))
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+    made = cut.select(F.col("id").alias(name), F.array(*[key(*a) for a in asked]).alias("keys"))
+    return made.select(F.explode_outer("keys").alias("key"), name)  # never empty; explode() would have the keys made twice
 
 
-def index_keys(line: Column, edits: int) -> Column:
-    n = F.length(line)
-    return F.array(*[_key(line, n, i, *_segment(n, i, edits)) for i in range(edits + 1)])
+def segments(edits: int) -> list[tuple[int, int, int]]:
+    """What a line is indexed by."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """Of every length up to the line's own and every segment: the places it can
-    stand at if ``i`` segments before it and those after it hold all edits."""
-    n = F.length(line)
-    keys = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(n - less, i, edits)
-            keys += [_key(line, n - less, i, start + move, size) for move in range(-i, i + 1) if abs(move - less) <= edits - i]
-    return F.array_distinct(F.array(*keys))
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """What a line asks for: of every length up to its own and every segment, the
+    places it can stand at if ``i`` segments before it and those after it hold
+    all edits."""
+    return [(less, i, move) for less in range(edits + 1) for i in range(edits + 1) for move in range(-i, i + 1) if abs(move - less) <= edits - i]
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -89,26 +94,51 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def distinct_lines(documents: DataFrame, least_chars: int) -> DataFrame:
-    """(id, line, pos): the lines of ``least_chars`` and more, once each, at
+    """(id, line, size, pos): the lines of ``least_chars`` and more, once each, at
     their first place (doc_id, hash of the text, line number)."""
     at = documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     first = (at.filter(F.length("line") >= least_chars).groupBy("line").agg(F.min(F.struct("doc_id", "h", "n")).alias("pos")))
-    return written(first.select(F.monotonically_increasing_id().alias("id"), "line", "pos"), "lines")
+    return written(first.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("size"), "pos"), "lines")
 
 
-def similar(lines: DataFrame, edits: int) -> DataFrame:
-    """lines(id, line, pos) -> (a, b): ids of all pairs within ``edits``, the earlier line first."""
-    index = lines.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("r"))
-    probe = lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("s"))
-    met = index.join(probe, "key").filter("r <> s").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
-    met = written(met, "met")
-    ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if met.count() * 2 <= BROADCAST_IDS:  # so the texts needed are few, too: they need not be dealt with all others
-        lines = lines.join(F.broadcast(ids), "id", "left_semi")
-    side = lambda name: lines.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"), F.col("pos").alias(f"pos_{name}"))
-    near = met.join(side("a"), "a").join(side("b"), "b").filter(within(F.col("line_a"), F.col("line_b"), edits))
-    earlier = F.col("pos_a") < F.col("pos_b")
-    return near.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("b"))
+def _close(a: Column, b: Column, edits: int) -> Column:
+    """within(), asked only where the JVM's own banded check doesn't rule it out."""
+    return (F.levenshtein(a, b, edits) >= 0) & within(a, b, edits)
+
+
+def near_earlier(lines: DataFrame, edits: int) -> DataFrame:
+    """lines(id, line, size, pos) -> (id): the lines with an earlier one within ``edits``.
+
+    A key of fewer than ``HOT`` indexed lines meets its probes in a join. Of a
+    hotter key only one row takes part, so its probes stay one row each; its
+    lines and probes are then compared as arrays of about ``BLOCK`` lines, block
+    by block, and only the lines found are rows.
+    """
+    index, probe = keys(lines, edits, segments(edits), "r"), keys(lines, edits, probes(edits), "s")
+    hot = written(index.groupBy("key").count().filter(F.col("count") >= HOT), "hot-keys")
+    cold = index.join(hot, "key", "left_anti").unionByName(hot.select("key", F.lit(None).cast("long").alias("r")))
+    met = written(cold.join(probe, "key").filter("r is null or r <> s").select(F.when(F.col("r").isNull(), F.col("key")).alias("key"), "r", "s").distinct(), "met")
+    held = written(index.join(hot, "key").select("key", F.col("r").alias("id"), "count"), "hot-lines")
+    ids = written(met.select(F.explode(F.array("r", "s")).alias("id")).unionByName(held.select("id")).filter("id is not null").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:  # checked: then the texts needn't be dealt
+        ids = F.broadcast(ids)
+    few = written(lines.join(ids, "id", "left_semi"), "texts")
+    side = lambda name: few.select(F.col("id").alias(name), F.col("line").alias(f"line_{name}"), F.col("pos").alias(f"pos_{name}"))
+    pairs = met.filter("r is not null").select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct()
+    one = (pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("line_a"), F.col("line_b"), edits))
+           .select(F.when(F.col("pos_a") < F.col("pos_b"), F.col("b")).otherwise(F.col("a")).alias("id")))
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK))
+        return written(rows.join(few, "id").groupBy("key", part.alias("block")).agg(F.collect_list(F.struct("id", "pos", "line")).alias(name)).drop("block"), name)
+
+    asking = met.filter("r is null").select("key", F.col("s").alias("id"))
+    asking = asking.join(asking.groupBy("key").count(), "key")
+    both = blocks(held, "indexed").join(blocks(asking, "probes"), "key")
+    hit = lambda s: F.exists("indexed", lambda r: (r["pos"] < s["pos"]) & _close(r["line"], s["line"], edits))
+    back = lambda r: F.exists("probes", lambda s: (s["pos"] < r["pos"]) & _close(s["line"], r["line"], edits))
+    later = F.concat(F.transform(F.filter("probes", hit), lambda x: x["id"]), F.transform(F.filter("indexed", back), lambda x: x["id"]))
+    return one.unionByName(both.select(F.explode(later).alias("id"))).distinct()
 
 
 def dedup(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -125,7 +155,7 @@ def dedup(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     """
     docs = documents.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = distinct_lines(docs, least_chars)
-    gone = written(similar(lines, edits).select(F.col("b").alias("id"), F.lit(True).alias("near")).distinct(), "near")
+    gone = written(near_earlier(lines, edits).select("id", F.lit(True).alias("near")), "near")
     first = lines.select("id", "pos").join(gone, "id", "left").select("pos.doc_id", "pos.h", F.struct("pos.n", F.coalesce("near", F.lit(False)).alias("near")).alias("first"))
     firsts = written(first.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("first")).alias("firsts")), "firsts")
     rows = documents.select(F.struct("*").alias("row")).withColumn("body", F.coalesce("row.text", F.lit("")))
