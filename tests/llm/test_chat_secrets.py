@@ -59,6 +59,15 @@ def check(got, text):
     assert set(base.split(",")) - {""} <= set(got.spans.split(","))
 
 
+def test_secrets_match_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    cur = con.execute(ORACLE["op9_secret_scan"])
+    names = [c[0] for c in cur.description]
+    got = QUERIES["op9_secret_scan"](spark, "/root/testdata/sf0.01").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+
+
 def test_secrets_match_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

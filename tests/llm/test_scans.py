@@ -44,11 +44,13 @@ def test_license(spark):
     rows = cases.edge_rows() + [
         (20, "CC  by cc-by cc.by cc by All rights Reserved. all rights"), (21, "cc by" * 3), (22, "general\npublic\nlicense by cc"),
         (23, "Foo " + mit.capitalize() + ", bar"), (24, " ".join(w for i, w in enumerate(mit.split()) if i not in (9, 14))),
-        (25, mit.replace("hereby", "not")), (26, gpl), (27, "cc"), (28, "by general public")]
+        (25, mit.replace("hereby", "not")), (26, gpl), (27, "cc"), (28, "by general public"),
+        (29, "Licensed under the Apache License, Version 2.0."), (30, "Licensed under CC BY-NC 4.0.")]
     got = license.scan(cases.frame(spark, rows)).collect()
     check_license(got, rows)
     by = {r.doc_id: r for r in got}
     assert by[23].labels == by[24].labels == "mit" and by[24].score < by[23].score == 1 and by[25].labels == "" and by[26].labels == "gpl"
+    assert by[29].labels == "apache-2.0" and by[30].labels == "cc-by,cc-by-nc"
     assert license.scan(cases.frame(spark, rows).limit(0)).count() == 0
 
 
