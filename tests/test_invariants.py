@@ -44,3 +44,14 @@ def test_every_fallback_stage_and_branch_fires(spark):
     for ch in ("text_email", "text_phone", "cf_email", "mailto_email", "ld_email", "ld_phone", "nosep_phone",
                "raw_phone"):
         assert st.cands.filter(F.col("channel") == ch).count() > 0, ch
+
+
+def test_pruned_build_equals_full_build(spark):
+    from webreach.operators import gather as G
+    T = SQ.stages(spark, SF).tables
+    some = T["syn_targets"].filter("input_pos % 7 = 0")
+    args = (some, T["syn_pages"], T["search_results"], T["ai_contacts"], T["ai_decisions"])
+    full, few = G.build(*args), G.build(*args, prune=True)
+    rows = lambda st: sorted(map(repr, st.contacts.collect()))
+    assert rows(full) == rows(few) and few.contacts.count() > 10
+    assert few.facts.count() < full.facts.count() / 2

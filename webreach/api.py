@@ -23,7 +23,7 @@ from webreach.session import configure, materialize
 
 def _build(targets: DataFrame, pages: DataFrame, search_results=None, ai_contacts=None, ai_decisions=None):
     configure(pages.sparkSession)
-    return G.build(targets, pages, search_results, ai_contacts, ai_decisions)
+    return G.build(targets, pages, search_results, ai_contacts, ai_decisions, prune=True)
 
 
 def gather_contacts(targets: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,

@@ -26,7 +26,8 @@ def r(s: str) -> str:
 
 
 def _dec(x: str) -> str:
-    return f"coalesce(try_url_decode({x}), regexp_replace({x}, {r(chr(92) + '+')}, ' '))"
+    # a '%' that begins no escape stands for itself
+    return f"try_url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
 
 
 def _enc(x: str) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
+from webreach.functions import urls as U
 from webreach.operators import external as E
 from webreach.operators import fallback as FB
 from webreach.operators import pages as PG
@@ -57,23 +58,49 @@ def _empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _facts(pages: DataFrame, keys: DataFrame | None, reuse: str) -> DataFrame:
+    """Parsed pages, one a key; of those keys only, if given."""
+    if keys is not None:
+        pages = (pages.withColumn("_asked", U.page_key("url"))
+                 .join(keys.select(F.col("page_key").alias("_asked")), "_asked", "left_semi").drop("_asked"))
+    return PG.dedup_pages(materialize(PG.page_facts(pages), reuse))
+
+
 def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
           ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
           reuse: str = "table", search_hits: int = P.SEARCH_HITS, snippet_hits: int = P.SNIPPET_HITS,
-          add_listed: bool = False) -> Stages:
+          add_listed: bool = False, prune: bool = False) -> Stages:
+    """``prune``: pages are first cut down, by URL alone, to those that are asked
+    for, so ``html`` is read behind a semi-join. It pays when targets ask for
+    few of the pages; when they ask for most, one parse of all of them without
+    dealing ``html`` is less work."""
     spark = pages.sparkSession
     search = search_results if search_results is not None else _empty(spark, SEARCH_SCHEMA)
     ai_c = ai_contacts if ai_contacts is not None else _empty(spark, AI_CONTACTS_SCHEMA)
     ai_d = ai_decisions if ai_decisions is not None else _empty(spark, AI_DECISIONS_SCHEMA)
 
-    # one scan of html; several joins read the narrow result
-    facts = PG.dedup_pages(materialize(PG.page_facts(pages), reuse))
-    cands = materialize(S.page_candidates(facts), reuse)
-
     targets = S.prepare_targets(targets_raw)
     site_df = S.sites(targets)
-    land = materialize(S.landing(site_df, facts), reuse)
-    links = S.contact_links(land)
+    if prune:
+        # only pages that targets, their links or search hits ask for are parsed
+        site_keys = site_df.select(F.col("site_key").alias("page_key")).distinct()
+        facts = _facts(pages, site_keys, reuse)
+        land = materialize(S.landing(site_df, facts), reuse)
+        links = S.contact_links(land)
+        queries = land.filter("landing_id is not null").select(F.explode(F.array(*[
+            U.search_key(F.col("title"), suffix) for _, suffix, _, _ in FB.STAGES])).alias("query")).distinct()
+        hits = FB.top_hits(search.select("query", "rank", "href").join(queries, "query", "left_semi"), search_hits)
+        asked = (links.select(U.page_key("link_key").alias("page_key"))
+                 .unionByName(land.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key")))
+                 .unionByName(hits.select(U.page_key("href").alias("page_key"))))
+        others = materialize(asked.distinct().join(site_keys, "page_key", "left_anti"), reuse)
+        facts = facts.unionByName(_facts(pages, others, reuse))
+    else:
+        # one scan of html; several joins read the narrow result
+        facts = _facts(pages, None, reuse)
+        land = materialize(S.landing(site_df, facts), reuse)
+        links = S.contact_links(land)
+    cands = materialize(S.page_candidates(facts), reuse)
     # the relations that several later ones (and the audit) read are written once
     subs = materialize(S.contact_subpages(links, facts), reuse)
     primary = materialize(S.primary_page(land, subs), reuse)
