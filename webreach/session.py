@@ -12,7 +12,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Session settings the engine relies on.
@@ -81,23 +80,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, mode: str = "table") -> DataFrame:
     """Reuse an intermediate that several joins read.
 
     ``table``: written once as parquet into the shared checkpoint folder and
     read back (lineage cut, column pruning and filter pushdown on reuse, and
-    it survives lost executors). ``checkpoint``: Spark's reliable RDD
-    checkpoint. ``persist``: executor memory + disk, recomputed from lineage
-    if an executor is lost. ``none``: leave it to Catalyst.
+    it survives lost executors); ``drop_tables`` removes it when its results
+    are no longer read. ``none``: leave it to Catalyst.
     """
+    if mode == "none":
+        return df
     spark = df.sparkSession
-    if mode == "table":
-        path = os.path.join(checkpoint_dir(spark), f"webreach-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    if mode == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if mode == "checkpoint":
-        checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
-    return df
+    path = os.path.join(checkpoint_dir(spark), f"webreach-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far; results that were not
+    written elsewhere can't be read after this. Returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
