@@ -25,6 +25,8 @@ TREES, DEPTH, RECALL = 20, 5, 0.9999
 BLOCK = 512
 #: A pair whose signatures agree this much less than the threshold isn't verified: five standard deviations.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
+#: Rows whose texts are needed that are sent to every task, at some 50 bytes each; with more, all texts are dealt.
+BROADCAST_ROWS = 200_000
 _SEEDS = scramble(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -237,32 +239,39 @@ def join(documents: DataFrame) -> DataFrame:
     rows = written(docs.mapInArrow(_signed, "doc_id long, k1 long, k2 long, set_id binary, size int, sig binary"), "signed")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")
     sets = written(rows.groupBy("set_id").agg(F.count("*").alias("n_copies"), F.min(place).alias("place"), F.first("size").alias("size"), F.first("sig").alias("sig")), "sets")
+    # sides that grow with the corpus are merged at every size, not sent to every task at small ones
+    grows = lambda df: df.hint("merge")
     # sets that meet
     buckets = sets.select("sig", "set_id").mapInArrow(_buckets(depth), "bucket long, set_id binary")
     shared = written(buckets.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "shared")
-    meeting = buckets.join(shared, "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    meeting = buckets.join(grows(shared), "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     pairs = meeting.select("bucket", "block", "set_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set_id")
     grouped = lambda df: df.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     key = "bucket long, lo int, hi int, block int, set_id binary"
-    met = written(pairs, "met").join(sets.select("set_id", "size", "sig"), "set_id")
+    met = written(pairs, "met").join(grows(sets.select("set_id", "size", "sig")), "set_id")
     needed = written(grouped(met).mapInArrow(_needed(depth), key), "needed")
     # their shingles, from one row of each
-    ask = needed.select("set_id").distinct().join(sets.select("set_id", "place.k1", "place.k2", "size", "sig"), "set_id")
-    texts = docs.select("k1", "k2", "text").join(written(ask, "ask"), ["k1", "k2"]).select("set_id", "size", "sig", "text").dropDuplicates(["set_id"])
+    ask = needed.select("set_id").distinct().join(grows(sets.select("set_id", "place.k1", "place.k2", "size", "sig")), "set_id")
+    ask = written(ask, "ask")
+    few = ask.select("k1", "k2", "set_id")
+    if few.count() <= BROADCAST_ROWS:  # checked: then the texts needn't be dealt
+        few = F.broadcast(few)
+    texts = docs.select("k1", "k2", "text").join(few, ["k1", "k2"]).select("set_id", "text").dropDuplicates(["set_id"])
+    texts = texts.join(grows(ask.select("set_id", "size", "sig")), "set_id")
     full = written(texts.mapInArrow(_shingle_rows, "set_id binary, size int, sig binary, shingles binary"), "shingles")
-    links = written(grouped(needed.join(full, "set_id")).mapInArrow(_verified(depth), "a binary, b binary, links long"), "links")
+    links = written(grouped(needed.join(grows(full), "set_id")).mapInArrow(_verified(depth), "a binary, b binary, links long"), "links")
     # classes
     roots = components(links.select("a", "b"), "classes")
     counts = links.groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "set_id")
-    known = sets.join(counts, "set_id", "left").join(roots.select(F.col("a").alias("set_id"), F.col("b").alias("root")), "set_id", "left").select(
+    known = sets.join(grows(counts), "set_id", "left").join(grows(roots.select(F.col("a").alias("set_id"), F.col("b").alias("root"))), "set_id", "left").select(
         "set_id", "n_copies", "place", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "set_id").alias("root"))
     known = written(known, "known")
     heads = written(known.groupBy("root").agg(F.min("place").alias("head")), "heads")
-    classes = written(known.join(heads, "root").select("set_id", "n_copies", "n_links", "head"), "heads")
+    classes = written(known.join(grows(heads), "root").select("set_id", "n_copies", "n_links", "head"), "heads")
     same = F.col("head.k1").eqNullSafe(F.col("k1")) & F.col("head.k2").eqNullSafe(F.col("k2"))
     class_id = F.coalesce("head.doc_id", -F.abs(F.shiftright("head.k1", 1)) - 1)
-    with_words = rows.select("doc_id", "k1", "k2", "set_id").join(classes, "set_id").select(
+    with_words = rows.select("doc_id", "k1", "k2", "set_id").join(grows(classes), "set_id").select(
         "doc_id", class_id.alias("class_id"), "n_links", "n_copies", "k1", "k2", same.alias("is_first"))
     alone = docs.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
         "doc_id", F.coalesce("doc_id", -F.abs(F.shiftright("k1", 1)) - 1).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "k1", "k2", F.lit(True).alias("is_first"))
