@@ -52,3 +52,26 @@ def test_against_dictionary(spark, length):
 def test_given_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BATCH", 100)
     same(QUERIES["op1_suffix_dedup"](spark, cases.SF).collect(), cases.pairs(cases.given(spark)), 200)
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A passage between different texts: its outermost anchors have a context in every document."""
+    shared, r = cases.words(1, 150), random.Random(4)
+    rows = [(i, cases.words(100 + i, 40) + shared + cases.words(300 + i, 40)) for i in range(60)]
+    rows += [(100 + i, cases.words(500 + i, 20) + shared[(a := r.randrange(200)): a + r.randrange(100, 400)] + cases.words(600 + i, 20)) for i in range(40)]
+    rows += [(200, rows[0][1]), (201, rows[1][1][7:])]
+    monkeypatch.setattr(suffix, "HOT", 8)
+    sort = suffix._sort_contexts
+
+    def bounded(length):
+        inner = sort(length)
+
+        def run(batches):
+            batches = list(batches)
+            assert max(Counter(h for b in batches for h in b.column(0).to_pylist()).values(), default=0) <= 8
+            return inner(iter(batches))
+        return run
+
+    monkeypatch.setattr(suffix, "_sort_contexts", bounded)
+    for length in (30, 200):
+        same(suffix.remove_repeats(cases.frame(spark, rows), length).collect(), rows, length)

@@ -9,6 +9,10 @@ first: each round inserts one symbol for each context, turns the order of the
 suffixes by it (a stable sort of the column's Burrows-Wheeler symbols) and
 updates the common prefixes of neighbours. A window repeats if its suffix
 shares ``length`` bytes with a neighbour.
+
+An anchor with more contexts than a task should hold is split before the sort:
+its windows are dealt by ranges of their distance to the anchor and by the bytes
+that all windows of a range hold, ever shorter ranges until the groups are small.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webreach.llm.common import chunks, column, prefix_hashes, span_hashes, table, text_key, utf8, whole_groups, written
+from webreach.llm.common import chunks, column, prefix_hashes, scramble, span_hashes, table, text_key, utf8, whole_groups, written
 from webreach.llm.registry import register
 
 LENGTH = 200
-#: Contexts that are sorted together; those of one anchor always are.
+#: Contexts that are sorted together; those of one group always are.
 BATCH = 16_384
+#: Contexts of one group; an anchor with more is split.
+HOT = 4_096
 
 
 def gram(length: int) -> int:
@@ -156,6 +162,40 @@ def _contexts(length: int):
     return run
 
 
+def _pieces(length: int, step: int):
+    """Contexts, cut where the distance of a window's start to the anchor passes
+    a multiple of ``step``. Equal windows have the same distance, so they stand
+    in one range, and share its key: the bytes that all windows of it hold."""
+    far = length - gram(length)  # the largest distance
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lead, count = (column(batch, c).to_numpy().astype(np.int64) for c in ("lead", "count"))
+            raw, at = utf8(column(batch, "context"))
+            prefix = prefix_hashes(raw)
+            last = lead - count + 1  # distance of the last window
+            many = lead // step - last // step + 1
+            own = np.repeat(np.arange(len(lead)), many)
+            slot = lead[own] // step - (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many))
+            low, high = slot * step, np.minimum(slot * step + step - 1, far)
+            new_lead = np.minimum(high, lead[own])
+            new_count = new_lead - np.maximum(low, last[own]) + 1
+            off = lead[own] - new_lead
+            anchor = at[own] + lead[own]
+            start = at[own] + off
+            end = start + new_count + length - 1
+            key = span_hashes(prefix, anchor - low, anchor - high + length) + scramble(slot.astype(np.uint64))
+            data = raw.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(span_hashes(prefix, start, end).view(np.int64)), column(batch, "h").take(pa.array(own)), column(batch, "cid").take(pa.array(own)),
+                 pa.array(off.astype(np.int32)), pa.array(new_lead.astype(np.int32)), pa.array(new_count.astype(np.int32)),
+                 pa.array([data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                ["key", "piece", "h", "cid", "off", "lead", "count", "context"])
+    return run
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
@@ -191,16 +231,48 @@ def repeated_starts(documents: DataFrame, length: int) -> DataFrame:
     runs_ = written(found.join(twice, "h", "left_semi"), "runs")
     # equal contexts count once, with their number
     distinct = written(runs_.groupBy("h", "cid").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "count", "lead")).alias("one")).select("h", "cid", "n", "one.*"), "contexts")
-    several = written(distinct.groupBy("h").count().filter("count > 1").select("h"), "several")
-    wanted = distinct.join(several, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "cid", "start", "count", "lead")).alias("wanted"))
-    texts = documents.join(written(wanted, "wanted"), ["k1", "k2"]).select("text", "wanted")
-    contexts = texts.mapInArrow(_contexts(length), "h long, cid long, lead int, count int, context binary")
+    several = written(distinct.groupBy("h").count().filter("count > 1"), "several")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        wanted = distinct.join(of, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "cid", "start", "count", "lead")).alias("wanted"))
+        texts = documents.join(written(wanted, "wanted"), ["k1", "k2"]).select("text", "wanted")
+        return texts.mapInArrow(_contexts(length), "h long, cid long, lead int, count int, context binary")
+
+    part = _sorted(contexts(several.filter(F.col("count") <= HOT)), length)
+    hot = several.filter(F.col("count") > HOT)
+    if hot.count():
+        part = part.unionByName(_split(written(contexts(hot), "hot-contexts"), length, 1 << (length - gram(length)).bit_length() >> 1))
+    spans = written(_with_whole(distinct, part), "spans")
+    placed = F.struct((F.col("start") + F.col("off")).alias("start"), "starts")
+    return written(runs_.join(spans, ["h", "cid"]).groupBy("k1", "k2").agg(F.collect_list(placed).alias("found")), "found")
+
+
+def _sorted(contexts: DataFrame, length: int) -> DataFrame:
+    """contexts(h, cid, lead, count, context) -> (h, cid, off, starts) of those that repeat in part."""
     hits = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_contexts(length), "h long, cid long, starts binary")
-    # a context that stands in two places repeats as a whole
-    whole = distinct.filter("n > 1").select("h", "cid", F.unhex(F.concat(F.lit("00000000"), _little(F.col("count")))).alias("starts"))
-    part = hits.filter("length(starts) > 0").join(distinct.filter("n > 1").select("h", "cid"), ["h", "cid"], "left_anti").distinct()
-    spans = written(whole.unionByName(part), "spans")
-    return written(runs_.join(spans, ["h", "cid"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "starts")).alias("found")), "found")
+    return hits.filter("length(starts) > 0").select("h", "cid", F.lit(0).alias("off"), "starts")
+
+
+def _with_whole(distinct: DataFrame, part: DataFrame) -> DataFrame:
+    """A context that stands in two places repeats as a whole."""
+    whole = distinct.filter("n > 1").select("h", "cid", F.lit(0).alias("off"), F.unhex(F.concat(F.lit("00000000"), _little(F.col("count")))).alias("starts"))
+    return whole.unionByName(part.join(distinct.filter("n > 1").select("h", "cid"), ["h", "cid"], "left_anti").distinct())
+
+
+def _split(contexts: DataFrame, length: int, step: int) -> DataFrame:
+    """Like _sorted(), for groups of any size. The pieces of a range with one
+    distance are whole windows, equal ones count once, and so no group is left."""
+    pieces = written(contexts.mapInArrow(_pieces(length, step), "key long, piece long, h long, cid long, off int, lead int, count int, context binary"), "pieces")
+    distinct = written(pieces.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(F.struct("lead", "count", "context")).alias("one"))
+                       .select(F.col("key").alias("h"), F.col("piece").alias("cid"), "n", "one.*"), "piece-contexts")
+    several = written(distinct.groupBy("h").count().filter("count > 1"), "piece-groups")
+    of = lambda keys: distinct.join(keys, "h", "left_semi").select("h", "cid", "lead", "count", "context")
+    part = _sorted(of(several.filter(F.col("count") <= HOT)), length)
+    hot = several.filter(F.col("count") > HOT)
+    if step > 1 and hot.count():
+        part = part.unionByName(_split(written(of(hot), "hot-pieces"), length, step // 2))
+    spans = written(_with_whole(distinct, part), "piece-spans").select(F.col("h").alias("key"), F.col("cid").alias("piece"), F.col("off").alias("inner"), "starts")
+    return pieces.drop("context").join(spans, ["key", "piece"]).select("h", "cid", (F.col("off") + F.col("inner")).alias("off"), "starts")
 
 
 def _little(number):
