@@ -123,3 +123,20 @@ def test_decontam_in_blocks(spark, monkeypatch):
     texts, items = dict(cases.pairs(docs)), {r.item_id: r.text for r in bench.collect()}
     planted = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
     assert planted and planted <= {(x[0], x[1]) for x in whole}
+
+
+def test_decontam_short_quotes_at_every_offset():
+    item, noise = cases.words(77, 60), [cases.words(800 + i, 20).upper() + " 0 " for i in range(2)]
+    raw = item.encode()
+    index = decontam.build([(1, item), (2, cases.words(78, 60))], decontam.EDITS)
+    for n in (50, 60, 75, 88, 100):
+        for edits in (0, 2) if n < 75 else (0,):
+            pieces = [bytearray(raw[a: a + n]) for a in range(len(raw) - n + 1)]
+            for piece in pieces:
+                for e in range(edits):
+                    piece[(e + 1) * n // 3] = ord("#")
+            texts = [noise[0].encode() + bytes(x) + noise[1].encode() for x in pieces]
+            at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            found = decontam.leaks(index, np.frombuffer(b"".join(texts), np.uint8), at, decontam.EDITS)
+            assert {r for r, i in found if i == 0} == set(range(len(texts))), (n, edits)
+            assert not [i for _, i in found if i == 1]

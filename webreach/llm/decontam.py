@@ -21,11 +21,14 @@ from webreach.llm.common import chunks, table
 from webreach.llm.registry import register
 
 Q = 8
-WINDOW, STRIDE, EDITS = 96, 24, 0.08
+#: The shortest passage of a longer item that counts, at every place of the item.
+WINDOW, STRIDE, EDITS = 50, 1, 0.08
 #: Text of the benchmark that is looked for at a time; a longer table is taken in blocks.
 BLOCK_BYTES = 2 << 20
 #: Shared q-grams that are held at a time.
 HITS = 2 << 20
+#: Windows that are aligned together.
+PAIRS = 4096
 _TABLE_BITS = 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -79,7 +82,8 @@ def build(items: list[tuple[int, str]], edits: float) -> Index:
         pos.append(np.arange(len(g), dtype=np.int32))
         ids.append(item_id)
         texts.append(raw)
-        least.append(min(b - a - Q + 1 - Q * budget(b - a, edits) for a, b in windows(len(raw))))
+        size = min(WINDOW, len(raw))
+        least.append(size - Q + 1 - Q * budget(size, edits))
     if not ids:
         return Index([], [], np.zeros(1 << _TABLE_BITS, bool), *(np.zeros(0, np.int64),) * 4, 1, np.zeros(0, np.int64))
     code, item, pos = np.concatenate(codes), np.concatenate(item), np.concatenate(pos)
@@ -91,24 +95,21 @@ def build(items: list[tuple[int, str]], edits: float) -> Index:
                  1 + max(budget(min(WINDOW, len(t)), edits) for t in texts), np.array(least))
 
 
-def align(patterns: list[np.ndarray], regions: list[np.ndarray], width: int) -> np.ndarray:
-    """Least edits of each pattern against any part of its region, within a band
-    of ``width`` diagonals from the region's start; all pairs row by row."""
-    n = max(map(len, patterns))
-    pattern, text = np.zeros((len(patterns), n), np.int16), np.full((len(patterns), n + width), -1, np.int16)
-    for i, (p, r) in enumerate(zip(patterns, regions, strict=True)):
-        pattern[i, : len(p)] = p
-        text[i, : len(r)] = r[: n + width]
-    size = np.array([len(p) for p in patterns])
-    reach = np.arange(width + 1)
-    row = np.zeros((len(patterns), width + 1), np.int32)  # a match may begin on any diagonal
-    done = np.where(size == 0, 0, 1 << 20)
-    for j in range(n):
-        same = np.pad(text[:, j: j + width], ((0, 0), (0, 1)), constant_values=-1) == pattern[:, j, None]
-        turn = row + ~same  # diagonal stays: match or replace
-        turn[:, :-1] = np.minimum(turn[:, :-1], row[:, 1:] + 1)  # pattern's character left out
-        row = np.minimum.accumulate(turn - reach, axis=1) + reach  # text's character left out
-        done = np.where(size == j + 1, row.min(1), done)
+def align(pattern: np.ndarray, text: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Least edits of each pattern (a column of ``size`` characters) against any
+    part of its text, within a band of ``width`` diagonals from the text's start;
+    all pairs row by row."""
+    row = np.zeros((width + 1, len(size)), np.int16)  # a match may begin on any diagonal
+    done = np.where(size == 0, 0, 1 << 14).astype(np.int16)
+    for j in range(len(pattern)):
+        turn = row + (text[j: j + width + 1] != pattern[j])  # diagonal stays: match or replace
+        np.minimum(turn[:-1], row[1:] + 1, out=turn[:-1])  # pattern's character left out
+        for d in range(width):
+            np.minimum(turn[d + 1], turn[d] + 1, out=turn[d + 1])  # text's character left out
+        row = turn.astype(np.int16, copy=False)
+        last = size == j + 1
+        if last.any():
+            done[last] = row[:, last].min(0)
     return done
 
 
@@ -170,30 +171,48 @@ def leaks(index: Index, raw: np.ndarray, at: np.ndarray, edits: float) -> dict[t
     band_of, pos_of = np.concatenate(band_of), np.concatenate(pos_of)
     order = np.lexsort((pos_of, band_of))
     band_of, pos_of = band_of[order], pos_of[order]
-    tasks = []
+    none = np.zeros(0, np.int64)
+    tasks = [(none,) * 7]  # row, item, window's start and size, region's start and end, most edits
     for k in kept.tolist():
         r, i = k // per_row, k % items
         low = ((k % per_row) // items - shift) * bands  # the band's lowest diagonal
         pos = np.concatenate([pos_of[np.searchsorted(band_of, x): np.searchsorted(band_of, x, "right")] for x in (k, k + items)])
-        for a, b in windows(len(index.text[i])):
-            most = budget(b - a, edits)
-            if np.count_nonzero((pos >= a) & (pos <= b - Q)) >= b - a - Q + 1 - Q * most:
-                begin = edge[r] + low + a - most
-                start = max(int(begin), int(edge[r]))
-                end = min(int(begin) + (b - a) + 2 * bands + 2 * most, int(edge[r + 1]) - 1)
-                if end > start:
-                    tasks.append((r, i, a, b, start, end, most))
+        pos.sort()
+        n = len(index.text[i])
+        size = min(WINDOW, n)  # of every window
+        most = budget(size, edits)
+        first = np.append(np.arange(0, n - size, STRIDE), n - size)
+        first = first[np.searchsorted(pos, first + size - Q, "right") - np.searchsorted(pos, first) >= size - Q + 1 - Q * most]
+        begin = edge[r] + low + first - most
+        start, end = np.maximum(begin, edge[r]), np.minimum(begin + size + 2 * bands + 2 * most, edge[r + 1] - 1)
+        first, start, end = (x[end > start] for x in (first, start, end))
+        same = lambda x: np.full(len(first), x, np.int64)  # noqa: E731, B023
+        tasks.append((same(r), same(i), first, same(size), start, end, same(most)))
+    row_of, item_of, first, size, start, end, most = (np.concatenate(x) for x in zip(*tasks, strict=True))
+    items_at = np.cumsum([0] + [len(t) for t in index.text])
+    flat = np.concatenate(index.text)
+    cost = np.zeros(len(first), np.int64)
+    for a in range(0, len(first), PAIRS):
+        some = slice(a, a + PAIRS)
+        n, width = int(size[some].max()), 2 * bands + 2 * int(most[some].max()) + 1
+        reach = np.arange(n)[:, None]
+        pattern = np.where(reach < size[some], flat[np.minimum((items_at[item_of[some]] + first[some]) + reach, len(flat) - 1)], 0).astype(np.int16)
+        reach = start[some] + np.arange(n + width + 1)[:, None]
+        region = np.where(reach < end[some], text[np.minimum(reach, len(text) - 1)], -1).astype(np.int16)
+        cost[some] = align(pattern, region, size[some], width)
     out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for a in range(0, len(tasks), 512):
-        some = tasks[a: a + 512]
-        cost = align([index.text[i][x:y] for _, i, x, y, _, _, _ in some], [text[s:e] for *_, s, e, _ in some], 2 * bands + 2 * max(t[-1] for t in some) + 1)
-        windows_of: set = set()
-        for (r, i, x, y, s, e, most), c in zip(some, cost.tolist(), strict=True):
-            if c <= most:
-                old = out.get((r, i), (1 << 60, 0, 1 << 30, 0))
-                new = 0 if (r, i, x) in windows_of else 1
-                windows_of.add((r, i, x))
-                out[r, i] = (min(old[0], s - int(edge[r])), max(old[1], e - int(edge[r])), min(old[2], c), old[3] + new)
+    good = np.flatnonzero(cost <= most)
+    if not len(good):
+        return out
+    good = good[np.lexsort((first[good], item_of[good], row_of[good]))]
+    new = np.append(True, (np.diff(row_of[good]) != 0) | (np.diff(item_of[good]) != 0))
+    other = new | np.append(True, np.diff(first[good]) != 0)
+    at_ = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(start[good], at_), np.maximum.reduceat(end[good], at_)
+    least, many = np.minimum.reduceat(cost[good], at_), np.add.reduceat(other.astype(np.int64), at_)
+    for j, g in enumerate(good[at_].tolist()):
+        r = int(row_of[g])
+        out[r, int(item_of[g])] = (int(low[j] - edge[r]), int(high[j] - edge[r]), int(least[j]), int(many[j]))
     return out
 
 
