@@ -107,3 +107,9 @@ def test_stage_keeps_columns(spark):
     out = lines.stage(spark, df, cases.SF)
     assert out.columns == df.columns and out.count() == df.count()
     assert out.filter("n_chars <> length(text)").count() == 0
+
+
+def test_short_lines(spark):
+    rows = [(1, "Home\n\nAbout us\n}\n\t \nContact page now"), (2, "Home\n\nabout us\n}\n\t \nContact page new\nHome"), (3, "}\nHomes\n ")]
+    got = {r.doc_id: tuple(r)[1:] for r in lines.dedup(cases.frame(spark, rows)).select("row.doc_id", "text", "n_lines", "n_exact", "n_near").collect()}
+    assert got == {1: (rows[0][1], 6, 0, 0), 2: ("\nabout us\n\t ", 7, 3, 1), 3: ("Homes\n ", 3, 1, 0)}

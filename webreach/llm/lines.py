@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from webreach.llm.common import table, written
 from webreach.llm.registry import register
 
-#: Shorter lines are left alone: short phrases recur in any text.
-LEAST_CHARS = 24
+#: Shorter lines go only if they equal an earlier one: two edits make another word of them.
+LEAST_CHARS = 12
 EDITS = 2
 #: Lines to verify whose numbers are sent to every task, at 8 bytes each; with more, the texts are shuffled instead.
 BROADCAST_IDS = 1_000_000
@@ -93,11 +93,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return let(F.split(a, ""), lambda x: let(F.split(b, ""), lambda y: compare(x, y)))
 
 
+def judged(line: Column, least_chars: int) -> Column:
+    """Whether a line can go: blank lines separate others and stay."""
+    return (F.length(line) >= least_chars) | line.rlike(r"\S")
+
+
 def distinct_lines(documents: DataFrame, least_chars: int) -> DataFrame:
-    """(id, line, size, pos): the lines of ``least_chars`` and more, once each, at
-    their first place (doc_id, hash of the text, line number)."""
+    """(id, line, size, pos): the lines that can go, once each, at their first
+    place (doc_id, hash of the text, line number)."""
     at = documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    first = (at.filter(F.length("line") >= least_chars).groupBy("line").agg(F.min(F.struct("doc_id", "h", "n")).alias("pos")))
+    first = (at.filter(judged(F.col("line"), least_chars)).groupBy("line").agg(F.min(F.struct("doc_id", "h", "n")).alias("pos")))
     return written(first.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("size"), "pos"), "lines")
 
 
@@ -145,8 +150,8 @@ def dedup(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     """documents -> (row, text, n_lines, n_exact, n_near): ``row`` has all columns
     of the document, ``text`` its lines that stay.
 
-    A line ends with a newline. Lines of ``least_chars`` characters and more
-    are judged, others stay. Lines are ordered by doc_id (null first), a hash of
+    A line ends with a newline. Blank lines under ``least_chars`` characters
+    stay, and other lines under it are only held against equal ones. Lines are ordered by doc_id (null first), a hash of
     their text, and number; a line goes if an earlier one equals it (n_exact) or
     differs by at most ``edits`` (n_near, counted at its first place). An earlier
     line counts whether it stays itself or not. Null text counts as empty and
@@ -155,7 +160,7 @@ def dedup(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     """
     docs = documents.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = distinct_lines(docs, least_chars)
-    gone = written(near_earlier(lines, edits).select("id", F.lit(True).alias("near")), "near")
+    gone = written(near_earlier(lines.filter(F.col("size") >= least_chars), edits).select("id", F.lit(True).alias("near")), "near")
     first = lines.select("id", "pos").join(gone, "id", "left").select("pos.doc_id", "pos.h", F.struct("pos.n", F.coalesce("near", F.lit(False)).alias("near")).alias("first"))
     firsts = written(first.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("first")).alias("firsts")), "firsts")
     rows = documents.select(F.struct("*").alias("row")).withColumn("body", F.coalesce("row.text", F.lit("")))
@@ -166,7 +171,7 @@ def dedup(documents: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
     def rebuild(parts: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(parts) - 1)
         kept = F.transform(F.filter(F.coalesce("firsts", none), lambda x: ~x["near"]), lambda x: x["n"])
-        short = F.filter(every, lambda i: F.length(F.get(parts, i)) < least_chars)
+        short = F.filter(every, lambda i: ~judged(F.get(parts, i), least_chars))
         near = F.size(F.coalesce("firsts", none)) - F.size(kept)
         text = F.array_join(F.transform(F.array_sort(F.concat(kept, short)), lambda i: F.get(parts, i)), "\n")
         return F.struct(text.alias("text"), F.size(parts).cast("long").alias("n_lines"),
