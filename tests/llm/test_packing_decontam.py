@@ -140,3 +140,15 @@ def test_decontam_short_quotes_at_every_offset():
             found = decontam.leaks(index, np.frombuffer(b"".join(texts), np.uint8), at, decontam.EDITS)
             assert {r for r, i in found if i == 0} == set(range(len(texts))), (n, edits)
             assert not [i for _, i in found if i == 1]
+
+
+def test_special_tokens_as_the_tokenizer_alone(spark):
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    end = "<|endoftext|>"
+    rows = [(i, x) for i, x in enumerate([f"{end} z", f"a {end}", f"don't  {end}\n\nß{end}{end}", f"x{end}y", "<|endof", "text|> w", "<|endoftext |>", f" {end}s  b", f"{end}<|endoftext", "|>", "", end])]
+    want = [[*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for _, x in rows]
+    raw = "".join(x for _, x in rows).encode()
+    ids, offsets = packing.Words(packing.tokenizer_path(), special=True).encode(np.frombuffer(raw, np.uint8), np.cumsum([0] + [len(x.encode()) for _, x in rows]))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+    got = {r.doc_id: (r.length, r.doc_tokens, r.ids_crc32) for r in packing.stage(spark, cases.frame(spark, rows), cases.SF).collect()}
+    assert got == {i: (len(w), len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for (i, _), w in zip(rows, want)}

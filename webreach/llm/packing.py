@@ -39,15 +39,18 @@ class Words:
     The tokenizer's pattern always cuts before a single space or newline between
     two characters that aren't white space, after such a newline, and between a
     letter and a mark other than an apostrophe. So the parts between these
-    places can be encoded on their own, and equal parts once.
+    places can be encoded on their own, and equal parts once. The tokenizer's
+    special tokens are parts of their own if ``special``, else plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        marks = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if special), key=len, reverse=True)
+        self.special, self.find_special = set(marks), re.compile(b"|".join(map(re.escape, marks))).search if marks else None
         # a word of letters is one part for the byte-pair merges, which see each byte as a character
         self.bpe = self.tokenizer.model.tokenize
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,7 +64,7 @@ class Words:
 
     def learn(self, keys: list[int], texts: list[bytes]) -> None:
         found: list = [None] * len(texts)
-        plain = [i for i, text in enumerate(texts) if _LETTERS(text)]
+        plain = [i for i, text in enumerate(texts) if _LETTERS(text) and text not in self.special]
         shown = b"\n".join([texts[i] for i in plain]).decode("latin-1").translate(self.shown).split("\n")
         for i, word in zip(plain, shown, strict=False):  # without words there is still one empty string
             found[i] = [t.id for t in self.bpe(word)]
@@ -101,6 +104,18 @@ class Words:
         self.keys[at], self.words[at] = some, number
         return word
 
+    def specials(self, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Places of special tokens, leftmost first, the longest of those that start together."""
+        if not self.find_special:
+            return []
+        data, found, place = raw.tobytes(), [], 0
+        while m := self.find_special(data, place):
+            inside = np.searchsorted(at, m.start(), "right") == np.searchsorted(at, m.end() - 1, "right")
+            place = m.end() if inside else m.start() + 1
+            if inside:
+                found.append(m.span())
+        return found
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row offsets); each row's ids end with END_ID."""
         n = len(at) - 1
@@ -114,6 +129,9 @@ class Words:
         cut = np.zeros(len(raw) + 1, bool)
         for places in (blank, line + 1, mark, at[:-1][np.diff(at) > 0]):
             cut[places] = True
+        for a, b in self.specials(raw, at):
+            cut[a + 1: b] = False
+            cut[[a, b]] = True
         start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(raw))[: len(start)]
         word = self.look_up(span_hashes(prefix_hashes(raw), start, end), raw, start, end)
@@ -130,10 +148,11 @@ class Words:
         return ids, offsets
 
 
-def _tokenize(path: str, capacity: int):
+def _tokenize(path: str, capacity: int, special: bool):
     def run(batches):
         kept = per_process()
-        words = kept.get(path) or kept.setdefault(path, Words(path))
+        name = f"{path} {special}"
+        words = kept.get(name) or kept.setdefault(name, Words(path, special))
         for batch in batches:
             for part, raw, at in chunks(batch):
                 ids, offsets = words.encode(raw, at)
@@ -190,7 +209,7 @@ def _pack(capacity: int, linear: float, quadratic: float):
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048, special: bool = False) -> DataFrame:
     """documents(doc_id, text) -> pieces (doc_id, start, length, doc_tokens,
     sequence_id, offset, ids): ``ids`` as unsigned little-endian 32-bit numbers.
 
@@ -200,12 +219,14 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, linear: flo
     to groups of bounded size by a hash of their row, so that copies, repeated
     rows and null ids spread; less than one sequence a group is padding.
     ``documents`` must come from files, as its rows are told apart by their
-    order. Other columns are ignored; an empty table gives no piece.
+    order. Other columns are ignored; an empty table gives no piece. With
+    ``special``, a special token's text gives its own id, as the tokenizer does
+    by default; else it is text like any other.
     """
     size = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     groups = max(1, -(-max(size.n, 1) // GROUP_ROWS), -(-(size.b or 0) // GROUP_BYTES))
     pieces = (documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
-              .mapInArrow(_tokenize(tokenizer, capacity), "doc_id long, row_no long, start long, length long, doc_tokens long, ids binary"))
+              .mapInArrow(_tokenize(tokenizer, capacity, special), "doc_id long, row_no long, start long, length long, doc_tokens long, ids binary"))
     keyed = pieces.withColumn("group", F.pmod(F.xxhash64("row_no", "start"), F.lit(groups)))
     return keyed.groupBy("group").applyInArrow(
         _pack(capacity, linear, quadratic),
@@ -220,7 +241,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 @register("op4_cost_packing")
 def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return digest(pack(table(spark, sf_dir, "documents"), tokenizer_path(), special=True))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -228,4 +249,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digest(pack(docs, tokenizer_path()))
+    return digest(pack(docs, tokenizer_path(), special=True))
