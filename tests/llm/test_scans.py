@@ -173,3 +173,11 @@ def test_pii_held_out():
 def test_measure_small(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     assert quality.measure(raw, np.array([0, len(raw)]))["n_words"].tolist() == [len(text.split())]
+
+
+def test_license_in_every_row(spark):
+    for label, text, _ in license.TEMPLATES:
+        for n in (1, 3):
+            rows = [(i, f"/* {text} */") for i in range(n)]
+            for r in license.scan(cases.frame(spark, rows)).collect():
+                assert label in r.labels.split(",") and r.score == 1

@@ -109,11 +109,12 @@ def _frequencies(index: Index):
 
 
 def idf(documents: DataFrame, index: Index) -> np.ndarray:
-    """Inverse document frequency of each licence word over all rows. What
-    comes to the driver is one number per word of the vocabulary."""
+    """Inverse document frequency of each licence word over all rows, above 0
+    for a word of every row too. What comes to the driver is one number per word
+    of the vocabulary."""
     counts = {r.word: r.df for r in documents.select("text").mapInArrow(_frequencies(index), "word long, df long")
               .groupBy("word").agg(F.sum("df").alias("df")).collect()}
-    return np.log((counts.get(-1, 0) + 1) / (np.array([counts.get(i, 0) for i in range(index.size)]) + 1))
+    return np.log1p((counts.get(-1, 0) + 1) / (np.array([counts.get(i, 0) for i in range(index.size)]) + 1))
 
 
 def _aligned(index: Index, number: np.ndarray, weight: np.ndarray, rarest: int, drift: int):
@@ -139,7 +140,7 @@ def _aligned(index: Index, number: np.ndarray, weight: np.ndarray, rarest: int,
                 pos = d + off + np.arange(len(template))
                 ok = (pos >= 0) & (pos < len(number))
                 hit[ok] |= number[pos[ok]] == template[ok]
-            found[label] = max(found.get(label, 0.0), float(weight[template[hit]].sum() / max(1e-9, weight[template].sum())))
+            found[label] = max(found.get(label, 0.0), float(weight[template[hit]].sum() / weight[template].sum()))
     return found
 
 
