@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with banded MinHash and exact verification.
 
 A document is the set of its five-word shingles. Every set has ``TREES``
-signatures of ``DEPTH`` minhashes; sorted, a tree's signatures are a prefix
-trie. The prefixes that must agree are shortened from ``DEPTH`` on until a pair
-at the threshold meets in some tree with the target recall. Sets that meet are
+signatures of ``DEPTH`` minhashes. No trie is kept: one length of the prefixes
+that must agree, the longest one at which a pair at the threshold meets in some
+tree with the target recall, is worked out before any data is read, and sets are
+grouped by equal prefixes, as in banding. Sets that meet are
 first compared by their signatures, then exactly; a pair counts in the first
 tree where it meets. Groups of any size are taken in pairs of blocks, inside
 tasks: pairs themselves are never rows, only counts and spanning links are.
