@@ -268,6 +268,42 @@ def gram_costs(counts: DataFrame) -> DataFrame:
 
 # ---- scores -----------------------------------------------------------------------------------
 
+class Lookup:
+    """Values by key in a table of 4 slots a key, dealt by a product's top bits; a key stands in one of
+    the ``PROBES`` slots from its own on. One that finds them all taken counts as unknown."""
+
+    PROBES = 12
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full((1 << bits) + self.PROBES, -1, np.int64), np.zeros((1 << bits) + self.PROBES)
+        slot = self.slot(keys)
+        for _ in range(self.PROBES):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[free]  # of several, the last one stays
+            own = self.keys[slot] == keys
+            self.values[slot[own]] = values[own]
+            keys, values, slot = keys[~own], values[~own], slot[~own] + 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a key is known, and its value (else 0)."""
+        slot = self.slot(keys)
+        hit = self.keys[slot] == keys
+        out = np.where(hit, self.values[slot], 0.0)
+        left = np.flatnonzero(~hit)
+        for step in range(1, self.PROBES):
+            if not len(left):
+                break
+            at = slot[left] + step
+            own = self.keys[at] == keys[left]
+            out[left[own]], hit[left[own]] = self.values[at[own]], True
+            left = left[~own & (self.keys[at] >= 0)]
+        return hit, out
+
 def frequent(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent rows, ``most`` at most: cut between two classes of their ``total``."""
     size = F.floor(F.log2("total") * 8)
@@ -304,16 +340,16 @@ def score(documents: DataFrame, fold: int = 5, held_out: int = 1) -> DataFrame:
     n_train, n_words = sums.n or 0, sums.v or 0
     log_all = math.log10(n_train + 0.5 * (n_words + 1))
     hot = frequent(costs, HOT_GRAMS).select("gram", "cost").toArrow()
-    order = np.argsort(hot["gram"].to_numpy())
-    hot_grams = spark.sparkContext.broadcast((hot["gram"].to_numpy()[order], hot["cost"].to_numpy()[order]))
+    hot_grams = spark.sparkContext.broadcast((hot["gram"].to_numpy(), hot["cost"].to_numpy()))
     hot = frequent(tokens, HOT_TOKENS).select("token", "train").toArrow()
     hot_tokens = spark.sparkContext.broadcast((hot["token"].to_pylist(), hot["train"].to_numpy()))
 
     def lists(key, first, values, n):
-        return pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), values), pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(n))
+        edge = pa.array(np.append(first, len(key)).astype(np.int32))
+        return pa.ListArray.from_arrays(edge, values), pa.ListArray.from_arrays(edge, pa.array(n))
 
     def run(batches):
-        known, cost = hot_grams.value
+        known = Lookup(*hot_grams.value)
         names, train = hot_tokens.value
         number = dict(zip(names, range(len(names)), strict=True))
         value = np.append(np.log10(train + 0.5), 0.0) - np.append(np.full(len(train), log_all), 0.0)
@@ -324,12 +360,11 @@ def score(documents: DataFrame, fold: int = 5, held_out: int = 1) -> DataFrame:
                 # strings
                 total, cold = np.zeros(n), []
                 for row, gram in coded(*framed(raw, at)):
-                    to = np.minimum(np.searchsorted(known, gram), len(known) - 1) if len(known) else np.zeros(len(gram), np.int64)
-                    hit = known[to] == gram if len(known) else np.zeros(len(gram), bool)
-                    total += np.bincount(row[hit], cost[to[hit]], n)
-                    cold.append(np.stack((row[~hit], gram[~hit]), 1))
-                pair, times = np.unique(np.concatenate(cold), axis=0, return_counts=True) if sum(map(len, cold)) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                gram_lists = lists(pair, np.searchsorted(pair[:, 0], np.arange(n)), pa.array(pair[:, 1]), times)
+                    hit, cost = known.find(gram)
+                    total += np.bincount(row, cost, n)
+                    cold.append(row[~hit] << 8 * (DEPTH + 1) | gram[~hit])  # a batch has far fewer than 2 ** 23 rows
+                pair, times = np.unique(np.concatenate([*cold, np.zeros(0, np.int64)]), return_counts=True)
+                gram_lists = lists(pair, np.searchsorted(pair >> 8 * (DEPTH + 1), np.arange(n)), pa.array(pair & ((1 << 8 * (DEPTH + 1)) - 1)), times)
                 # tokens
                 text = _LOWER[raw].tobytes()
                 words = [[*text[a:b].split(), b""] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -339,8 +374,9 @@ def score(documents: DataFrame, fold: int = 5, held_out: int = 1) -> DataFrame:
                 place = np.fromiter(map(number.get, flat, itertools.repeat(-1)), np.int64, len(flat))
                 base = np.bincount(row, value[place], n)
                 left = np.flatnonzero(place < 0)
-                rare = sorted(Counter(zip(row[left].tolist(), map(flat.__getitem__, left.tolist()), strict=True)).items())
-                token_lists = lists(rare, np.searchsorted([k[0] for k, _ in rare], np.arange(n)) if rare else np.zeros(n), pa.array([k[1] for k, _ in rare], pa.binary()), np.array([c for _, c in rare], np.int64))
+                rare = Counter(zip(row[left].tolist(), map(flat.__getitem__, left.tolist()), strict=True))  # row by row, as first met
+                first = np.searchsorted(np.fromiter((r for r, _ in rare), np.int64, len(rare)), np.arange(n))
+                token_lists = lists(rare, first, pa.array([w for _, w in rare], pa.binary()), np.fromiter(rare.values(), np.int64, len(rare)))
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), column(part, "learn"), pa.array(size), pa.array(np.bincount(row, seen[place], n).astype(np.int64)), pa.array(base), pa.array(total), *gram_lists, *token_lists],
                     ["doc_id", "learn", "n_tokens", "n_known", "base", "total", "grams", "gram_n", "tokens", "token_n"])
