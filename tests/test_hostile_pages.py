@@ -33,7 +33,7 @@ class Links(HTMLParser):
         self.found = []
 
     def handle_starttag(self, tag, attrs):
-        href = dict(attrs).get("href")
+        href = next((v for k, v in attrs if k == "href"), None)  # of equal names the first counts
         if tag == "a" and href is not None:
             href = href.strip()
             if href and not href.startswith(("mailto:", "#")):
@@ -47,7 +47,68 @@ def parsed(page):
     return p.found
 
 
-HOSTILE = ['<a href="/1">one <a href="/2">two</a>', '<a title="x > y" href="/3">z</a>', "<A HREF='/4'\n class=x>q</A >", '<abbr><a\nhref=/5>r</a></abbr>',
+class Text(HTMLParser):
+    """Stripped text nodes outside scripts, styles and templates; '</>' is no text to the newer standard."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.skip, self.open = [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        self.open = False
+        self.skip += tag in ("script", "style", "template")
+
+    def handle_endtag(self, tag):
+        self.open = False
+        self.skip -= tag in ("script", "style", "template") and self.skip > 0
+
+    def handle_comment(self, data):
+        self.open = False
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data):
+        if not self.skip:  # the parser hands one node over in several parts
+            if self.open:
+                self.found[-1] += data
+            else:
+                self.found.append(data)
+            self.open = True
+
+
+def parsed_text(page):
+    p = Text()
+    p.feed(page.replace("\r\n", "\n").replace("\r", "\n"))
+    p.close()
+    return " ".join(x for x in map(str.strip, p.found) if x), "".join(p.found)
+
+
+HOSTILE_TEXT = ["a\ue000b<b>\ue001c</b> \ue000", "1 < 2 and 3 > 2 <p>x<y</p>", "<p title='a > b'>one</p><img alt=\"x > y > z\" src=q>two<input value='>'>",
+                "a<!-- x > y --><!DOCTYPE html><br/>b<?pi x?>c", "<p data-x=a>b > c</p>", "<div title=\"<b>no</b>\">t</div>", "<>< ><3", "&#xE000;&#xE001;|<i>&#57344;</i>",
+                "<p a='1' b=\"2\" c = '>' d>e</p>", "x<script data-a='>'>no > no</script>y<style>p > a {}</style>z<template><p>no</p></template>w",
+                "<p " + " ".join(f"a{i}='{i} > 1'" for i in range(5000)) + ">many</p>", "\u00a0\u2003 padded \x1c<b> </b>\u3000", "a\r\nb<br>\rc", "\x00<p>\x00z</p>"]
+
+
+def test_text_against_the_standard_parser(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + HOSTILE_TEXT
+    got = column(spark, pages, lambda c: F.struct(H.page_text(c), H.page_text_nosep(c)))
+    assert [tuple(g) for g in got] == [parsed_text(p) for p in pages]
+
+
+def test_icon_fonts_keep_the_anchor(spark):
+    pages = ['<a href="/reach"><i>\ue001</i> Contact us</a>', '<a href="/reach">\ue000Contact<i>\ue001</i></a>']
+    assert column(spark, pages, lambda c: PG.anchors(c)[0]["text"]) == ["\ue001 Contact us", "\ue000Contact \ue001"]
+
+
+def test_long_markup_costs_its_length(spark):
+    parts = ["<p " + "x=y " * 300_000, "<a x=\"" * 200_000, "<" * 1_000_000, "<b>" * 300_000, "<script x" * 100_000, " " * 1_000_000 + "x" + "\t" * 1_000_000, "&" * 500_000, "<!-- " * 200_000]
+    t = time.time()
+    column(spark, parts, lambda c: F.struct(F.length(H.page_text(c)), F.size(PG.anchors(c)), F.size(PG.jsonld_blocks(c))))
+    assert time.time() - t < 120
+
+
+HOSTILE = ['<a title="go href=/no" href="/yes">y</a>', "<img alt='<a href=/no>'><a data-href=/no href=/10>t</a>", '<a href = "/11" href="/12">u</a><a/href=/13>v</a>', '<a href="/14"title="x">w</a>',
+           '<a href="/1">one <a href="/2">two</a>', '<a title="x > y" href="/3">z</a>', "<A HREF='/4'\n class=x>q</A >", '<abbr><a\nhref=/5>r</a></abbr>',
            '<!-- <a href="/no"> --><a href="/6">s', '<script>"<a href=/no>"</script><a href="/7">', '<a href="/8" data-x=\'>\'>t</a><a href="/9">',
            "<a>no</a><a href>none</a><a href=''>x</a>", '<script>var a = 1; <a href="/no">']
 

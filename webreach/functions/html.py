@@ -1,10 +1,12 @@
 """HTML -> text column functions (O-C1..O-C3), without a parser.
 
-The page is cut into text nodes with one split on tags after removing the
-blocks whose text is not page text (script, style, template, comments).
-Known gaps against a real HTML parser, all rare in crawled pages: a '>'
-inside an attribute value of a tag other than an anchor, a raw '<' in text,
-CDATA sections, named references outside ``patterns.HTML_ENTITIES``.
+A page is cut at its tags, after the blocks whose text is not page text
+(script, style, template, comments) have given way to an empty tag: n tags and
+n + 1 text nodes, as two arrays. Nothing is marked inside the text, so any
+character may stand there. A tag begins with '<' and a letter, '/', '!' or '?'
+(any other '<' is text) and holds quoted attribute values, '>' included.
+Known gaps against a real HTML parser, all rare in crawled pages: CDATA
+sections, named references outside ``patterns.HTML_ENTITIES``.
 """
 
 from __future__ import annotations
@@ -15,12 +17,18 @@ from pyspark.sql import functions as F
 from webreach.functions import patterns as P
 from webreach.functions.urls import col, let, nstruct, py_strip
 
+# What may follow a tag's name. Quotes bind behind a '=' only. All repeats are
+# possessive: a character is read once, and no tag is too long for the stack.
+# A tag that is never closed ends with the page.
+ATTRS = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+"
+TAG_END = r"(?:>|\z)"
+TAG = r"<[A-Za-z/!?]" + ATTRS + TAG_END
 # Blocks whose content is not text. Replaced by an empty tag so the text on
 # either side stays two separate nodes.
 # A block that is never closed ends with the page, so each page is read once.
-INVISIBLE = (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-             r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!--.*?(?:-->|\z)")
-TAG = r"<[^>]*>"
+INVISIBLE = ("(?is)" + "|".join(rf"<{name}\b{ATTRS}{TAG_END}.*?(?:</{name}\s*+>|\z)" for name in ("script", "style", "template"))
+             + r"|<!--.*?(?:-->|\z)")
+EMPTY_TAG = "</>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 
@@ -79,59 +87,41 @@ def decode_entities(c, bind: bool = True) -> Column:
 
 def visible_html(c) -> Column:
     """HTML with line breaks normalised and non-text blocks removed."""
-    return F.regexp_replace(F.regexp_replace(col(c), r"\r\n?", "\n"), INVISIBLE, "<>")
+    return F.regexp_replace(F.regexp_replace(col(c), r"\r\n?", "\n"), INVISIBLE, EMPTY_TAG)
 
 
-# Text nodes are kept in one string separated by a private-use character, so
-# entity decoding, stripping and joining run once per page as plain
-# (code-generated) string functions instead of once per node.
-SEP = "\uE000"
+def raw_nodes(vis: Column) -> Column:
+    """array<string>: the visible page between its tags, undecoded."""
+    return F.split(vis, TAG)
 
 
-def raw_node_string(c, visible: bool = False) -> Column:
-    """Undecoded text nodes joined by SEP (every tag becomes a separator)."""
-    vis = col(c) if visible else visible_html(c)
-    return F.regexp_replace(vis, TAG, SEP)
+def tags(vis: Column) -> Column:
+    """array<string>: the tags; tag i stands between nodes i and i + 1."""
+    return F.regexp_extract_all(vis, F.lit(TAG), F.lit(0))
 
 
-def node_string(c, visible: bool = False) -> Column:
-    """Decoded text nodes of a page joined by SEP (tags become separators).
-
-    Not bound through a lambda: the guard and both branches share the same
-    input, which code generation evaluates once (subexpression elimination).
-    """
-    return decode_entities(raw_node_string(c, visible), bind=False)
+def decoded(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n: decode_entities(n, bind=False))
 
 
 def text_nodes(c) -> Column:
     """array<string>: decoded text nodes in document order (unstripped)."""
-    return F.split(node_string(c), SEP)
+    return decoded(raw_nodes(visible_html(c)))
 
 
-def text_from_nodes(nodes: Column) -> Column:
-    """Separator form from a SEP-joined node string: every node stripped,
-    empty nodes dropped, the rest joined by one space.
-
-    Each regex starts with the SEP literal (a regex starting with the
-    whitespace class is tried at every character); whitespace before a
-    separator is removed on the reversed string.
-    """
-    after = "[" + SEP + "][" + P.WS + "]+"
-    edge = "^[" + SEP + P.WS + "]+"
-    s = F.regexp_replace(nodes, after, SEP)                         # strip node starts
-    s = F.reverse(F.regexp_replace(F.regexp_replace(F.reverse(s), after, SEP), edge, ""))  # node ends, text end
-    s = F.regexp_replace(s, edge, "")                                # text start
-    return F.regexp_replace(s, "[" + SEP + "]+", " ")               # drop empty nodes, join by ' '
+def text_of(nodes: Column) -> Column:
+    """Separator form: every node stripped, empty nodes dropped, the rest joined by one space."""
+    return F.array_join(F.filter(F.transform(nodes, py_strip), lambda n: n != ""), " ")
 
 
 def page_text(c) -> Column:
     """O-C1: text nodes stripped, blanks dropped, joined by one space."""
-    return text_from_nodes(node_string(c))
+    return text_of(text_nodes(c))
 
 
 def page_text_nosep(c) -> Column:
     """O-C2: text nodes concatenated as they are."""
-    return F.replace(node_string(c), F.lit(SEP), F.lit(""))
+    return F.array_join(text_nodes(c), "")
 
 
 def page_title(c) -> Column:

@@ -23,8 +23,13 @@ from html.entities import html5 as _html5
 WS = (r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 
+# The same set as characters.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # E-mail address (ASCII only, case-sensitive).
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL_LOCAL = r"[A-Za-z0-9._%+-]+"
+EMAIL_DOMAIN = r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = EMAIL_LOCAL + "@" + EMAIL_DOMAIN
 
 # Phone patterns. Of the five original patterns only three yield whole
 # matches; the other two return a <= 3 digit capture group that the 7-digit

@@ -36,7 +36,7 @@ def let(value, fn) -> Column:
 
 def py_strip(c) -> Column:
     """str.strip(): remove Unicode whitespace at both ends (Spark trim is ASCII-space only)."""
-    return F.regexp_replace(col(c), r"^[" + P.WS + r"]+|[" + P.WS + r"]+\z", "")
+    return F.btrim(col(c), F.lit(P.WS_CHARS))
 
 
 def normalize_url(c) -> Column:

@@ -16,122 +16,105 @@ from webreach.functions import html as H
 from webreach.functions import patterns as P
 from webreach.functions import urls as U
 
-# <a ...> open tags. A page is cut at them once, so an anchor that is never
-# closed ends with the next one and costs no more than its own length.
-A_OPEN, A_CLOSE, MARK = r"(?i)<a([\s>])", r"(?i)</a\s*>", "\uE001"
-# Attributes of a tag whose quoted values may hold '>'; else up to the first '>'.
-A_ATTRS = r"^([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*){0,100})>"
-A_ATTRS_PLAIN = r"^([^>]*)>"
+# Open and close tags of anchors.
+A_TAG, A_OPEN = r"(?i)\A</?a[\s/>]", r"(?i)\A<a"
+# A tag's attributes, one after the other, so nothing inside a quoted value is taken for one.
+ATTRIBUTE = r"[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+"
+ATTRIBUTE_VALUE = r"(?s)\A[^=]*=\s*(.*)\z"
 # Comments and scripts in the order in which they begin: a comment inside a
 # script is its text, a script inside a comment is none.
-SCRIPT_ATTRS = r"(?is)<!--.*?(?:-->|\z)|<script\b([^>]*)>.*?(?:</script\s*>|\z)"
-SCRIPT_BODY = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>(.*?)(?:</script\s*>|\z)"
+SCRIPT = rf"(?is)<!--.*?(?:-->|\z)|<script\b{H.ATTRS}{H.TAG_END}.*?(?:</script\s*+>|\z)"
+SCRIPT_PARTS = rf"(?is)\A<script\b({H.ATTRS}){H.TAG_END}(.*?)(?:</script\s*+>|\z)"
 
 
-def attr_re(name: str) -> str:
-    return (r"(?is)(?:^|\s|<a)" + name
-            + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
+def attribute_re(name: str) -> str:
+    return rf"(?i)\A{name}\s*="
 
 
-def _quoted_attr_re(name: str) -> str:
-    # same grammar as attr_re, value captured with its quotes in one group
-    return (r"(?is)(?:^|\s|<a)" + name
-            + r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)")
+def attributes(tag: Column) -> Column:
+    """array<string>: a tag's attributes as written (without the tag's name in front)."""
+    return F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
 
 
-def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(attr_re(name))
+def attr(attrs: Column, name: str) -> Column:
+    """Value of the first attribute ``name``, entities decoded; null if there is none."""
+    def value(s):
+        raw = F.regexp_extract(s, ATTRIBUTE_VALUE, 1)
+        quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
+        return U.let(F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw), lambda v: H.decode_entities(v, bind=False))
 
-
-def attr(tag: Column, name: str) -> Column:
-    """First value of attribute ``name`` in a tag text, entities decoded."""
-    raw = F.regexp_extract(tag, _quoted_attr_re(name), 1)
-    quoted = F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'"))
-    value = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return H.decode_entities(value, bind=False)
-
-
-def _attr_pair(tag: Column, name: str) -> Column:
-    """(present, value) of attribute ``name`` from one regex evaluation."""
-    return U.let(F.regexp_extract(tag, _quoted_attr_re(name), 1), lambda raw: U.nstruct(
-        present=raw != "",
-        value=H.decode_entities(F.when(F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'")),
-                                       F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw), bind=False)))
+    first = F.get(F.filter(attrs, lambda s: s.rlike(attribute_re(name))), F.lit(0))
+    return U.let(first, lambda s: F.when(s.isNotNull(), value(s)))
 
 
 def _channel(name: str, values: Column) -> Column:
     return F.transform(values, lambda v: U.nstruct(channel=F.lit(name), value=v))
 
 
-def anchors(html: Column, visible: bool = False) -> Column:
-    """O-C4: array<struct<pos, href, text>> of usable <a href> anchors.
+def anchor_tags(nodes: Column, tags: Column) -> Column:
+    """array<struct<pos, href, cf, text>>: every <a> with its decoded href and
+    data-cfemail (null if absent) and its text, which ends with the next anchor
+    tag; that of an anchor without a usable href is null."""
+    at = F.filter(F.transform(tags, lambda t, i: U.nstruct(i=i, t=t)), lambda z: z["t"].rlike(A_TAG))
 
-    href stripped; empty, 'mailto:' and '#...' hrefs skipped; anchor text in
-    separator form. ``pos`` is the document position among all anchors.
-    ``visible=True`` when ``html`` is already ``visible_html``.
-    """
-    pieces = _a_pieces(html if visible else H.visible_html(html))
-    inner = lambda z: F.get(F.split(F.substr(z["p"], F.length(z["a"]) + 2), A_CLOSE), F.lit(0))
+    def opened(z):
+        spans = F.transform(z, lambda x, k: U.nstruct(
+            i=x["i"], t=x["t"], end=F.coalesce(F.get(z, k + 1)["i"], F.size(tags))))
+        return F.filter(spans, lambda x: x["t"].rlike(A_OPEN))
 
-    def anchor_text(t):
-        # without tags or entities the anchor is one text node: strip it
-        plain = (F.instr(t, "<") == 0) & (F.instr(t, "&") == 0)
-        return F.when(plain, U.py_strip(t)).otherwise(
-            H.text_from_nodes(H.decode_entities(H.raw_node_string(t, visible=True), bind=False)))
+    def row(x, pos):
+        attrs = U.let(attributes(F.substr(x["t"], F.lit(3))), lambda a: U.nstruct(href=attr(a, "href"), cf=attr(a, "data-cfemail")))
+        text = H.text_of(F.slice(nodes, x["i"] + 2, x["end"] - x["i"]))
+        return U.let(attrs, lambda a: U.nstruct(
+            pos=pos, href=a["href"], cf=a["cf"], text=F.when(_usable(a["href"]), text)))
 
-    rows = F.transform(pieces, lambda z, i: U.let(_attr_pair(z["a"], "href"), lambda h: U.nstruct(
-        pos=i, has_href=h["present"], href=U.py_strip(h["value"]), text=U.let(inner(z), anchor_text))))
-    usable = F.filter(rows, lambda r: r["has_href"] & (r["href"] != "")
-                      & ~F.startswith(r["href"], F.lit("mailto:"))
-                      & ~F.startswith(r["href"], F.lit("#")))
-    return F.transform(usable, lambda r: U.nstruct(pos=r["pos"], href=r["href"], text=r["text"]))
+    return F.transform(U.let(at, opened), row)
 
 
-def _a_pieces(vis: Column) -> Column:
-    """array<struct<p, a>>: the page from each <a on (without the '<a'), and the tag's attributes."""
-    cut = F.split(F.regexp_replace(vis, A_OPEN, MARK + "$1"), MARK)
-    pieces = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
+def _usable(href: Column) -> Column:
+    return U.let(U.py_strip(href), lambda h: h.isNotNull() & (h != "") & ~F.startswith(h, F.lit("mailto:")) & ~F.startswith(h, F.lit("#")))
 
-    def tag(p):
-        quoted = F.regexp_extract(p, A_ATTRS, 1)
-        return U.nstruct(p=p, a=F.when(p.rlike(A_ATTRS), quoted).otherwise(F.regexp_extract(p, A_ATTRS_PLAIN, 1)))
 
-    return F.transform(F.filter(pieces, lambda p: F.instr(p, ">") > 0), tag)
+def links(anchors_: Column) -> Column:
+    """O-C4: array<struct<pos, href, text>> of usable <a href> anchors.
+
+    href stripped; empty, 'mailto:' and '#...' hrefs skipped; anchor text in
+    separator form. ``pos`` is the document position among all anchors.
+    """
+    return F.transform(F.filter(anchors_, lambda a: a["text"].isNotNull()), lambda a: U.nstruct(
+        pos=a["pos"], href=U.py_strip(a["href"]), text=a["text"]))
 
 
-def open_tags(html: Column, visible: bool = False) -> Column:
-    """The attributes of every <a> tag, '<a' in front."""
-    return F.transform(_a_pieces(html if visible else H.visible_html(html)), lambda z: F.concat(F.lit("<a"), z["a"]))
+def anchors(html: Column) -> Column:
+    """O-C4 of a page; see ``links``."""
+    cut = U.let(H.visible_html(html), lambda vis: U.nstruct(nodes=H.decoded(H.raw_nodes(vis)), tags=H.tags(vis)))
+    return U.let(cut, lambda z: links(anchor_tags(z["nodes"], z["tags"])))
 
 
-def cf_emails(tags: Column) -> Column:
+def cf_emails(anchors_: Column) -> Column:
     """O-C6 + O-D4 + O-D5: decoded data-cfemail values on <a> tags containing '@'."""
-    with_attr = F.filter(tags, lambda t: has_attr(t, "data-cfemail"))
-    decoded = F.transform(with_attr, lambda t: X.cf_decode(attr(t, "data-cfemail")))
+    decoded = F.transform(F.filter(anchors_, lambda a: a["cf"].isNotNull()), lambda a: X.cf_decode(a["cf"]))
     return F.array_distinct(F.filter(decoded, lambda d: F.instr(d, "@") > 0))
 
 
-def mailto_emails(tags: Column) -> Column:
+def mailto_emails(anchors_: Column) -> Column:
     """O-C7 + O-D6: mailto: hrefs (case-sensitive prefix) with an '@'."""
-    hrefs = F.transform(F.filter(tags, lambda t: has_attr(t, "href")), lambda t: attr(t, "href"))
-    mail = F.filter(hrefs, lambda h: F.startswith(h, F.lit("mailto:")))
-    addr = F.transform(mail, X.mailto_address)
+    mail = F.filter(anchors_, lambda a: F.coalesce(F.startswith(a["href"], F.lit("mailto:")), F.lit(False)))
+    addr = F.transform(mail, lambda a: X.mailto_address(a["href"]))
     return F.array_distinct(F.filter(addr, lambda a: (a != "") & (F.instr(a, "@") > 0)))
 
 
-def facebook_href(tags: Column) -> Column:
+def facebook_href(anchors_: Column) -> Column:
     """O-C8 + O-H1: first <a> href (unresolved, unstripped) matching facebook.com."""
-    hrefs = F.transform(F.filter(tags, lambda t: has_attr(t, "href")), lambda t: attr(t, "href"))
-    return F.try_element_at(F.filter(hrefs, lambda h: h.rlike(P.FACEBOOK)), F.lit(1))
+    return F.get(F.filter(anchors_, lambda a: F.coalesce(a["href"].rlike(P.FACEBOOK), F.lit(False))), F.lit(0))["href"]
 
 
 def jsonld_blocks(html: Column) -> Column:
     """O-C5: raw bodies of <script type="application/ld+json"> blocks."""
-    attrs = F.regexp_extract_all(html, F.lit(SCRIPT_ATTRS), F.lit(1))
-    bodies = F.regexp_extract_all(html, F.lit(SCRIPT_BODY), F.lit(1))
-    z = F.arrays_zip(attrs.alias("a"), bodies.alias("b"))
-    ld = F.filter(z, lambda s: has_attr(s["a"], "type") & (attr(s["a"], "type") == "application/ld+json"))
-    return F.transform(ld, lambda s: s["b"])
+    blocks = F.filter(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0)), lambda s: s.rlike(r"(?i)\A<script"))
+    parts = F.transform(blocks, lambda s: U.nstruct(
+        kind=attr(attributes(F.regexp_extract(s, SCRIPT_PARTS, 1)), "type"), body=F.regexp_extract(s, SCRIPT_PARTS, 2)))
+    return F.transform(F.filter(parts, lambda s: s["kind"] == "application/ld+json"), lambda s: s["body"])
 
 
 def fetchable(pages: DataFrame) -> DataFrame:
@@ -160,25 +143,21 @@ def page_facts(pages: DataFrame) -> DataFrame:
         (F.instr(html, "data-cfemail") > 0).alias("has_cf"),
         (F.instr(html, "mailto:") > 0).alias("has_mailto"),
     )
-    # stage 2: text nodes once, links and tags from the visible form
+    # stage 2: the page is cut at its tags once; texts and anchors are made of the pieces
     vis = F.col("vis")
-    s2 = s1.select(
+    s2 = s1.select("*", H.decoded(H.raw_nodes(vis)).alias("nodes"), H.tags(vis).alias("tags")).drop("vis")
+    df = s2.select(
         "page_id", "url", "page_key", "canonical_url", "title",
-        H.raw_node_string(vis, visible=True).alias("raw_nodes"),
-        anchors(vis, visible=True).alias("links"),
-        open_tags(vis, visible=True).alias("tags"),
+        H.text_of(F.col("nodes")).alias("text"),
+        F.array_join("nodes", "").alias("text_nosep"),
+        anchor_tags(F.col("nodes"), F.col("tags")).alias("anchors"),
         "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
-    s3 = s2.select("*", H.decode_entities("raw_nodes", bind=False).alias("nodes")).drop("raw_nodes")
-    df = s3.select(
-        "page_id", "url", "page_key", "canonical_url", "title",
-        H.text_from_nodes(F.col("nodes")).alias("text"),
-        F.replace(F.col("nodes"), F.lit(H.SEP), F.lit("")).alias("text_nosep"),
-        "links", "tags", "ld_blocks", "raw_emails", "raw_phones", "has_cf", "has_mailto")
+    found = F.col("anchors")
     cands = F.concat(
         _channel("text_email", X.emails("text")),
         _channel("text_phone", X.phones("text")),
-        _channel("cf_email", F.when(F.col("has_cf"), cf_emails(F.col("tags"))).otherwise(empty_arr)),
-        _channel("mailto_email", F.when(F.col("has_mailto"), mailto_emails(F.col("tags"))).otherwise(empty_arr)),
+        _channel("cf_email", F.when(F.col("has_cf"), cf_emails(found)).otherwise(empty_arr)),
+        _channel("mailto_email", F.when(F.col("has_mailto"), mailto_emails(found)).otherwise(empty_arr)),
         _channel("nosep_phone", X.phones("text_nosep")),
         _channel("raw_email", F.col("raw_emails")),
         _channel("raw_phone", F.col("raw_phones")),
@@ -187,8 +166,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "page_id", "url", "page_key", "canonical_url", "title",
         F.substring("text", 1, P.EXTRACTION_TEXT_CHARS).alias("text5000"),
         cands.alias("cands"),
-        "links",
-        facebook_href(F.col("tags")).alias("fb_href"),
+        links(found).alias("links"),
+        facebook_href(found).alias("fb_href"),
         "ld_blocks",
     )
 

@@ -170,20 +170,29 @@ def decode_entities(e: str) -> str:
             f" array_to_string(list_transform((string_split(s, '&'))[2:], lambda p: {one}), '') ELSE s END))[1]")
 
 
+def re2(pattern: str) -> str:
+    """The pattern without possessive marks, which RE2 lacks (it never goes back anyway)."""
+    return pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")
+
+
 def visible_html(e: str) -> str:
-    return f"regexp_replace(regexp_replace({e}, '\\r\\n?', '\n', 'g'), {lit(H.INVISIBLE)}, '<>', 'g')"
+    return f"regexp_replace(regexp_replace({e}, '\\r\\n?', '\n', 'g'), {lit(re2(H.INVISIBLE))}, '{H.EMPTY_TAG}', 'g')"
+
 
+def nodes_of(vis: str) -> str:
+    return f"list_transform(string_split_regex({vis}, {lit(re2(H.TAG))}), lambda n: {decode_entities('n')})"
 
-def text_nodes(e: str) -> str:
-    return f"list_transform(string_split_regex({visible_html(e)}, {lit(H.TAG)}), lambda n: {decode_entities('n')})"
+
+def text_of(nodes: str) -> str:
+    return f"array_to_string(list_filter(list_transform({nodes}, lambda t: {strip('t')}), lambda t: t <> ''), ' ')"
 
 
 def page_text(e: str) -> str:
-    return f"array_to_string(list_filter(list_transform({text_nodes(e)}, lambda t: {strip('t')}), lambda t: t <> ''), ' ')"
+    return text_of(nodes_of(visible_html(e)))
 
 
 def page_text_nosep(e: str) -> str:
-    return f"array_to_string({text_nodes(e)}, '')"
+    return f"array_to_string({nodes_of(visible_html(e))}, '')"
 
 
 def page_title(e: str) -> str:
@@ -240,62 +249,61 @@ def normalize_phone(e: str) -> str:
 
 # ---------------------------------------------------------------- tags
 
-def attr_re(name: str) -> str:
-    return PG.attr_re(name)
-
-
-def has_attr(tag: str, name: str) -> str:
-    return rlike(tag, attr_re(name))
+def attr(attrs: str, name: str) -> str:
+    first = f"(list_filter({attrs}, lambda s: {rlike('s', PG.attribute_re(name))}))[1]"
+    raw = f"regexp_extract(f, {lit(PG.ATTRIBUTE_VALUE)}, 1)"
+    value = f"CASE WHEN regexp_matches(r, '^[\"'']') THEN substr(r, 2, length(r) - 2) ELSE r END"
+    return (f"(list_transform([{first}], lambda f: CASE WHEN f IS NOT NULL THEN"
+            f" (list_transform([{raw}], lambda r: {decode_entities(value)}))[1] END))[1]")
 
 
-def attr(tag: str, name: str) -> str:
-    r = lit(attr_re(name))
-    raw = f"regexp_extract({tag}, {r}, 1) || regexp_extract({tag}, {r}, 2) || regexp_extract({tag}, {r}, 3)"
-    return decode_entities(raw)
+def attributes(tag: str) -> str:
+    return find_all(tag, re2(PG.ATTRIBUTE))
 
 
-def _a_pieces(vis: str) -> str:
-    cut = f"string_split(regexp_replace({vis}, {lit(PG.A_OPEN)}, '{PG.MARK}\\1', 'g'), '{PG.MARK}')"
-    tag = (f"{{'p': p, 'a': CASE WHEN {rlike('p', PG.A_ATTRS)} THEN regexp_extract(p, {lit(PG.A_ATTRS)}, 1)"
-           f" ELSE regexp_extract(p, {lit(PG.A_ATTRS_PLAIN)}, 1) END}}")
-    return f"list_transform(list_filter(({cut})[2:], lambda p: instr(p, '>') > 0), lambda p: {tag})"
+def anchor_tags(html: str) -> str:
+    """list of {pos, href, cf, text} of every <a> (pos 0-based, as in Spark)."""
+    tags = f"regexp_extract_all(v, {lit(re2(H.TAG))})"
+    at = f"list_filter(list_transform(x.tags, lambda t, i: {{'i': i, 't': t}}), lambda z: {rlike('z.t', PG.A_TAG)})"
+    spans = "list_transform(y, lambda z, k: {'i': z.i, 't': z.t, 'e': coalesce(y[k + 1].i, len(x.tags) + 1)})"
+    opened = f"list_filter((list_transform([{at}], lambda y: {spans}))[1], lambda z: {rlike('z.t', PG.A_OPEN)})"
+    href = strip("a.href")
+    usable = f"a.href IS NOT NULL AND {href} <> '' AND NOT starts_with({href}, 'mailto:') AND NOT starts_with({href}, '#')"
+    text = text_of("x.nodes[z.i + 1 : z.e]")
+    row = (f"(list_transform([(list_transform([{attributes('substr(z.t, 3)')}], lambda l: {{'href': {attr('l', 'href')}, 'cf': {attr('l', 'data-cfemail')}}}))[1]],"
+           f" lambda a: {{'pos': p - 1, 'href': a.href, 'cf': a.cf, 'text': CASE WHEN {usable} THEN {text} END}}))[1]")
+    return (f"(list_transform([{visible_html(html)}], lambda v: (list_transform([{{'nodes': {nodes_of('v')}, 'tags': {tags}}}],"
+            f" lambda x: list_transform({opened}, lambda z, p: {row})))[1]))[1]")
 
 
-def open_tags(html: str) -> str:
-    return f"list_transform({_a_pieces(visible_html(html))}, lambda z: '<a' || z.a)"
+def links(anchors_: str) -> str:
+    return (f"list_transform(list_filter({anchors_}, lambda a: a.text IS NOT NULL),"
+            f" lambda a: {{'pos': a.pos, 'href': {strip('a.href')}, 'text': a.text}})")
 
 
 def anchors(html: str) -> str:
-    """list of {pos, href, text} (pos 0-based, as in Spark)."""
-    inner = f"(string_split_regex(substr(z.p, length(z.a) + 2), {lit(PG.A_CLOSE)}))[1]"
-    rows = (f"list_transform({_a_pieces('v')}, lambda z, i: {{'pos': i - 1, 'has_href': {has_attr('z.a', 'href')},"
-            f" 'href': {strip(attr('z.a', 'href'))}, 'text': {page_text(inner)}}})")
-    usable = (f"list_filter({rows}, lambda r: r.has_href AND r.href <> '' AND NOT starts_with(r.href, 'mailto:')"
-              f" AND NOT starts_with(r.href, '#'))")
-    return f"(list_transform([{visible_html(html)}], lambda v: list_transform({usable}, lambda r: {{'pos': r.pos, 'href': r.href, 'text': r.text}})))[1]"
+    return links(anchor_tags(html))
 
 
-def cf_emails(tags: str) -> str:
-    dec = f"list_transform(list_filter({tags}, lambda t: {has_attr('t', 'data-cfemail')}), lambda t: {cf_decode(attr('t', 'data-cfemail'))})"
+def cf_emails(anchors_: str) -> str:
+    dec = f"list_transform(list_filter({anchors_}, lambda a: a.cf IS NOT NULL), lambda a: {cf_decode('a.cf')})"
     return f"list_distinct(list_filter({dec}, lambda d: instr(d, '@') > 0))"
 
 
-def mailto_emails(tags: str) -> str:
-    hrefs = f"list_transform(list_filter({tags}, lambda t: {has_attr('t', 'href')}), lambda t: {attr('t', 'href')})"
-    addr = f"list_transform(list_filter({hrefs}, lambda h: starts_with(h, 'mailto:')), lambda h: {mailto_address('h')})"
+def mailto_emails(anchors_: str) -> str:
+    addr = f"list_transform(list_filter({anchors_}, lambda a: a.href IS NOT NULL AND starts_with(a.href, 'mailto:')), lambda a: {mailto_address('a.href')})"
     return f"list_distinct(list_filter({addr}, lambda a: a <> '' AND instr(a, '@') > 0))"
 
 
-def facebook_href(tags: str) -> str:
-    hrefs = f"list_transform(list_filter({tags}, lambda t: {has_attr('t', 'href')}), lambda t: {attr('t', 'href')})"
-    return f"(list_filter({hrefs}, lambda h: {rlike('h', P.FACEBOOK)}))[1]"
+def facebook_href(anchors_: str) -> str:
+    return f"(list_filter({anchors_}, lambda a: a.href IS NOT NULL AND {rlike('a.href', P.FACEBOOK)}))[1].href"
 
 
 def jsonld_blocks(html: str) -> str:
-    a = f"regexp_extract_all(nc, {lit(PG.SCRIPT_ATTRS)}, 1)"
-    b = f"regexp_extract_all(nc, {lit(PG.SCRIPT_BODY)}, 1)"
-    ok = f"{has_attr('s[1]', 'type')} AND {attr('s[1]', 'type')} = 'application/ld+json'"
-    return f"(list_transform([{html}], lambda nc: list_transform(list_filter(list_zip({a}, {b}), lambda s: {ok}), lambda s: s[2])))[1]"
+    blocks = f"list_filter(regexp_extract_all({html}, {lit(re2(PG.SCRIPT))}), lambda s: {rlike('s', '(?i)^<script')})"
+    part = lambda n: f"regexp_extract(s, {lit(re2(PG.SCRIPT_PARTS))}, {n})"
+    return (f"list_transform(list_filter(list_transform({blocks}, lambda s: {{'k': {attr(attributes(part(1)), 'type')}, 'b': {part(2)}}}),"
+            f" lambda s: s.k = 'application/ld+json'), lambda s: s.b)")
 
 
 def reply_span(e: str) -> str:

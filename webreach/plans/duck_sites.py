@@ -21,8 +21,7 @@ def facts_ctes(src: str, dedup: bool = True) -> list[tuple[str, str]]:
     facts0 = f"""
 SELECT page_id, url, {D.page_key('url')} AS page_key, {D.clean_url('coalesce(final_url, url)')} AS canonical_url,
   {D.page_text('html')} AS text, {D.page_text_nosep('html')} AS text_nosep, {D.page_title('html')} AS title,
-  {D.anchors('html')} AS links,
-  CASE WHEN instr(html, '<') > 0 THEN {D.open_tags('html')} ELSE {_EMPTY} END AS tags,
+  {D.anchor_tags('html')} AS tags,
   CASE WHEN instr(html, 'ld+json') > 0 THEN {D.jsonld_blocks('html')} ELSE {_EMPTY} END AS ld_blocks,
   {D.emails('html')} AS raw_emails, {D.phones('html')} AS raw_phones,
   instr(html, 'data-cfemail') > 0 AS has_cf, instr(html, 'mailto:') > 0 AS has_mailto
@@ -34,7 +33,7 @@ SELECT * EXCLUDE (rn) FROM (
         facts = "SELECT * FROM facts0"
     facts_out = f"""
 SELECT page_id, url, page_key, canonical_url, title, substr(text, 1, {P.EXTRACTION_TEXT_CHARS}) AS text5000,
-  links, {D.facebook_href('tags')} AS fb_href, ld_blocks, text, text_nosep, tags, raw_emails, raw_phones,
+  {D.links('tags')} AS links, {D.facebook_href('tags')} AS fb_href, ld_blocks, text, text_nosep, tags, raw_emails, raw_phones,
   has_cf, has_mailto
 FROM facts1"""
     fixed = f"regexp_replace(regexp_replace(body, {D.lit(BARE_NUMBER)}, '\\1null\\2', 'g'), {D.lit(BARE_NUMBER)}, '\\1null\\2', 'g')"
