@@ -80,8 +80,9 @@ def enrich_csv(in_path: str, out_path: str, pages: DataFrame, quote_all: bool =
     input order with the three extra columns."""
     spark = pages.sparkSession
     df, url_col = IO.read_url_csv(spark, in_path)
-    out = enrich_table(df.drop("input_pos"), pages, url_col, None, **tables)
-    IO.write_csv(out, out_path, order_col="_row_pos", quote_all=quote_all)
+    # rows are read for the targets and again for the output: both take the place in the file as the row's identity
+    out = enrich_table(df, pages, url_col, "input_pos", **tables)
+    IO.write_csv(out, out_path, order_col="input_pos", quote_all=quote_all)
     return out
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from webreach import api
@@ -104,6 +105,43 @@ def input_order_restored(spark, sf):
     return back.select("line_no", "raw")
 
 
+@register("folder_order_restored", pipeline_sql("""
+SELECT row_number() OVER (ORDER BY input_pos) - 1 AS line_no, raw FROM syn_targets"""))
+def folder_order_restored(spark, sf):
+    """O-H6 / O-A2: rows in input order over four files of very unequal size
+    (a twentieth, then nearly half, a tenth, the rest); the line each row stands
+    on in the files taken by name."""
+    t = stages(spark, sf).tables["syn_targets"].select("raw", "input_pos")
+    cuts = t.approxQuantile("input_pos", [0.05, 0.5, 0.6], 0.001)
+    path = os.path.join(_scratch(spark, "folder"), "in")
+    for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = t.filter((F.lit(a).isNull() | (F.col("input_pos") > a)) & (F.lit(b).isNull() | (F.col("input_pos") <= b)))
+        IO.write_csv(part, os.path.join(path, f"part={k}"), quote_all=True)
+    back = spark.read.schema("raw string").option("header", True).option("escape", '"').csv(os.path.join(path, "part=*"))
+    return materialize(IO.numbered(back)).select("line_no", "raw")
+
+
+@register("csv_records_in_splits", pipeline_sql("""
+SELECT CAST(input_pos AS VARCHAR) AS id, raw AS website, 'say "hi",' || chr(10) || raw || chr(10) || CAST(input_pos AS VARCHAR) AS notes,
+  row_number() OVER (ORDER BY input_pos) - 1 AS place FROM syn_targets"""))
+def csv_records_in_splits(spark, sf):
+    """O-A2: a CSV whose last field holds quotes, commas and line breaks, read
+    in blocks; every record whole and in its place."""
+    t = stages(spark, sf).tables["syn_targets"]
+    path = os.path.join(_scratch(spark, "broken-lines"), "in")
+    pos = F.col("input_pos").cast("string")
+    notes = F.concat(F.lit('say "hi",\n'), "raw", F.lit("\n"), pos)
+    IO.write_csv(t.select(pos.alias("id"), F.col("raw").alias("website"), notes.alias("notes"), "input_pos"), path)
+    df, _ = IO.read_url_csv(spark, path)
+    df = materialize(df)
+    # places become numbers as in numbered(): by the rows of the blocks before, then by place in the block
+    block = [F.col("input_pos.file").alias("f"), F.col("input_pos.block").alias("b")]
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = df.groupBy(*block).agg(F.count("*").alias("n")).select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("f", "b").orderBy("input_pos"))
+    return df.select("*", *block).join(starts, ["f", "b"]).select("id", "website", "notes", (F.col("start") + own - 1).alias("place"))
+
+
 @register("ui_rows", f"""
 SELECT {D.display_url('website')} AS website, CASE WHEN email = '' THEN '—' ELSE email END AS email,
   CASE WHEN phone = '' THEN '—' ELSE phone END AS phone, CASE WHEN summary = '' THEN '—' ELSE summary END AS summary
