@@ -4,6 +4,7 @@ tables, and zero-copy views of Arrow text columns."""
 from __future__ import annotations
 
 import functools
+import secrets
 import sys
 import types
 import uuid
@@ -92,24 +93,38 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_MIX = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Strings are polynomials over their bytes modulo a prime, at a base that no text
+#: can know: drawn once by the driver, it goes to the workers with the functions.
+_PRIME = (1 << 61) - 1
+_BASE = 2 + secrets.randbelow(_PRIME - 3)
+_P, _LOW, _HALF, _TOP = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(61)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x < 2 ** 64."""
+    x = (x & _P) + (x >> _TOP)
+    return np.where(x >= _P, x - _P, x)
 
 
-_POWERS: dict[str, np.ndarray] = {"up": powers(_BASE, 1 << 10), "down": powers(_INVERSE, 1 << 10)}
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of arrays below it."""
+    a1, a0, b1, b0 = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle = a1 * b0 + a0 * b1  # times 2 ** 31; 2 ** 61 is 1
+    low = a0 * b0
+    return _fold((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << _HALF) + (low & _P) + (low >> _TOP))
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    if len(_POWERS[which]) <= n:
-        _POWERS[which] = powers(_BASE if which == "up" else _INVERSE, max(n, 2 * len(_POWERS[which])))
-    return _POWERS[which]
+    """Powers 0 to n and more of the base (up) or its inverse (down); a worker keeps them."""
+    kept = per_process().setdefault(("powers", _BASE), {})
+    have = kept.get(which)
+    if have is None or len(have) <= n:
+        base = _BASE if which == "up" else pow(_BASE, -1, _PRIME)
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) <= n:
+            have = np.append(have, times(have, np.full(1, pow(base, len(have), _PRIME), np.uint64)))
+        kept[which] = have
+    return have
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -120,15 +135,20 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over scrambled bytes, modulo 2**64."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_MIX[raw] * _power("up", len(raw))[: len(raw)], out=out[1:])
+    """Prefix sums of the bytes times the base's powers, for the upper and lower
+    bits of a power apart; differences are exact for spans under 32 MB (2 ** 25 bytes)."""
+    power = _power("up", len(raw))[: len(raw)]
+    out = np.zeros((2, len(raw) + 1), np.uint64)
+    np.cumsum(raw * (power >> _HALF), out=out[0, 1:])
+    np.cumsum(raw * (power & _LOW), out=out[1, 1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end]; equal strings have equal hashes wherever they stand."""
-    return scramble((prefix[end] - prefix[start]) * _power("down", len(prefix))[start] + (end - start).astype(np.uint64))
+    high, low = prefix[0][end] - prefix[0][start], prefix[1][end] - prefix[1][start]
+    own = _fold(times(_fold(high), np.full(1, 1 << 31, np.uint64)) + _fold(low))
+    return scramble(times(own, _power("down", prefix.shape[1])[start]) + (end - start).astype(np.uint64))
 
 
 def whole_groups(batches, columns: list[str], least: int) -> Iterator[pa.Table]:
