@@ -76,6 +76,14 @@ def least(pattern, text):
     return int(prev.min())
 
 
+def says(window):
+    """The docstring's rule for windows that count, by plain sets."""
+    n, q = len(window), decontam.Q
+    grams = {bytes(window[i: i + q]) for i in range(n - q + 1)}
+    words = sum(chr(c).isalnum() if c < 128 else True for c in window)
+    return sum(len(set(g)) > 2 for g in grams) >= q * decontam.budget(n, decontam.EDITS) + min(decontam.SPARE, n - q + 1) and 2 * words >= n
+
+
 def test_decontam_against_full_distances(spark):
     r = random.Random(5)
     items = [(i, cases.words(9000 + i, n)) for i, n in enumerate((12, 20, 40, 60, 9, 30))] + [(6, ""), (7, None), (8, "short")]
@@ -102,7 +110,7 @@ def test_decontam_against_full_distances(spark):
             continue
         for i, item in items:
             p = fold(item or "")
-            if len(p) >= 16 and any(least(p[a:b], body) <= decontam.budget(b - a, decontam.EDITS) for a, b in decontam.windows(len(p))):
+            if len(p) >= 16 and any(says(p[a:b]) and least(p[a:b], body) <= decontam.budget(b - a, decontam.EDITS) for a, b in decontam.windows(len(p))):
                 want.add((d, i))
     found = decontam.find(df, bench).collect()
     assert {(x.doc_id, x.item_id) for x in found} == want and len(want) > 12
@@ -128,7 +136,7 @@ def test_decontam_in_blocks(spark, monkeypatch):
 def test_decontam_short_quotes_at_every_offset():
     item, noise = cases.words(77, 60), [cases.words(800 + i, 20).upper() + " 0 " for i in range(2)]
     raw = item.encode()
-    index = decontam.build([(1, item), (2, cases.words(78, 60))], decontam.EDITS)
+    index = decontam.build([(1, item, 1), (2, cases.words(78, 60), 1)], decontam.EDITS)
     for n in (50, 60, 75, 88, 100):
         for edits in (0, 2) if n < 75 else (0,):
             pieces = [bytearray(raw[a: a + n]) for a in range(len(raw) - n + 1)]
@@ -142,6 +150,34 @@ def test_decontam_short_quotes_at_every_offset():
             assert not [i for _, i in found if i == 1]
 
 
+def test_rules_and_blanks_are_no_leaks(spark):
+    """Lines of marks, indentation, tables and repeats that an item and a text share say nothing."""
+    for shared in ("-" * 70, " " * 80, "=-" * 40, "| --- " * 15, "." * 90, "0" * 70, "ab" * 50, "x\t\t" + "\n" * 80, "la " * 40):
+        item = cases.words(1, 12) + "\n" + shared + "\n" + cases.words(2, 12)
+        rows = [(1, cases.words(3, 30) + shared + cases.words(4, 30)), (2, item)]
+        bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+        assert {r.doc_id for r in decontam.find(cases.frame(spark, rows), bench).collect()} == {2}, shared
+
+
+def test_short_items_whole(spark):
+    items = [(1, "Sum of 3 plus"), (2, "tiny"), (3, "-- -- --"), (4, " ninebytes "), (4, " ninebytes "), (5, "né")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "what is the SUM\nof 3 plus 4"), (2, "sum of 3 pluses"), (3, "tiny"), (4, "a tiny text"), (5, "x\n  TINY \ny"), (6, "-- -- --"), (7, "(ninebytes)"), (8, "xninebytes"), (9, "né\n"), (10, "née"), (11, None)]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.find(cases.frame(spark, rows), bench).collect())
+    assert got == [(1, 1), (3, 2), (5, 2), (7, 4), (7, 4), (9, 5)]
+
+
+def test_long_uniform_texts_in_bounded_memory():
+    import resource
+    import time
+    item = cases.words(1, 30) + " " * 200 + "-" * 100 + "abcabcabcabc" + cases.words(2, 30)
+    index = decontam.build([(1, item, 1)], decontam.EDITS)
+    before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    for text in (b" " * 10_000_000, b"-" * 10_000_000, b"abc" * 1_000_000):
+        assert decontam.leaks(index, np.frombuffer(text, np.uint8), np.array([0, len(text)]), decontam.EDITS) == {}
+    assert time.time() - t < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def test_special_tokens_as_the_tokenizer_alone(spark):
     t = Tokenizer.from_file(packing.tokenizer_path())
     end = "<|endoftext|>"
