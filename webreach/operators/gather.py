@@ -71,9 +71,11 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
           reuse: str = "table", search_hits: int = P.SEARCH_HITS, snippet_hits: int = P.SNIPPET_HITS,
           add_listed: bool = False, prune: bool = False) -> Stages:
     """``prune``: pages are first cut down, by URL alone, to those that are asked
-    for, so ``html`` is read behind a semi-join. It pays when targets ask for
-    few of the pages; when they ask for most, one parse of all of them without
-    dealing ``html`` is less work."""
+    for, so ``html`` is read behind a semi-join: first the targets' pages, then
+    the contact pages that they link to, and last, for the sites that have no
+    phone by then and for no others, the Facebook and hit pages of the fallback
+    chain. It pays when targets ask for few of the pages; when they ask for
+    most, one parse of all of them without dealing ``html`` is less work."""
     spark = pages.sparkSession
     search = search_results if search_results is not None else _empty(spark, SEARCH_SCHEMA)
     ai_c = ai_contacts if ai_contacts is not None else _empty(spark, AI_CONTACTS_SCHEMA)
@@ -82,19 +84,13 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     targets = S.prepare_targets(targets_raw)
     site_df = S.sites(targets)
     if prune:
-        # only pages that targets, their links or search hits ask for are parsed
-        site_keys = site_df.select(F.col("site_key").alias("page_key")).distinct()
+        site_keys = materialize(site_df.select(F.col("site_key").alias("page_key")).distinct(), reuse)
         facts = _facts(pages, site_keys, reuse)
         land = materialize(S.landing(site_df, facts), reuse)
         links = S.contact_links(land)
-        queries = land.filter("landing_id is not null").select(F.explode(F.array(*[
-            U.search_key(F.col("title"), suffix) for _, suffix, _, _ in FB.STAGES])).alias("query")).distinct()
-        hits = FB.top_hits(search.select("query", "rank", "href").join(queries, "query", "left_semi"), search_hits)
-        asked = (links.select(U.page_key("link_key").alias("page_key"))
-                 .unionByName(land.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key")))
-                 .unionByName(hits.select(U.page_key("href").alias("page_key"))))
-        others = materialize(asked.distinct().join(site_keys, "page_key", "left_anti"), reuse)
-        facts = facts.unionByName(_facts(pages, others, reuse))
+        linked = links.select(U.page_key("link_key").alias("page_key")).distinct()
+        linked = materialize(linked.join(site_keys, "page_key", "left_anti"), reuse)
+        facts = facts.unionByName(_facts(pages, linked, reuse))
     else:
         # one scan of html; several joins read the narrow result
         facts = _facts(pages, None, reuse)
@@ -126,6 +122,17 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     has_phone = kept.filter(F.col("kind") == "phone").select("url").distinct()
     need = (websites.join(has_phone, "url", "left_anti")
             .select("url", F.col("title").alias("company"), "fb_href"))
+    if prune:
+        need = materialize(need, reuse)
+        queries = need.select(F.explode(F.array(*[
+            U.search_key(F.col("company"), suffix) for _, suffix, _, _ in FB.STAGES])).alias("query")).distinct()
+        hits = FB.top_hits(search.select("query", "rank", "href").join(queries, "query", "left_semi"), search_hits)
+        asked = (need.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key"))
+                 .unionByName(hits.select(U.page_key("href").alias("page_key")))).distinct()
+        asked = asked.join(site_keys, "page_key", "left_anti").join(linked, "page_key", "left_anti")
+        more = _facts(pages, materialize(asked, reuse), reuse)
+        facts = facts.unionByName(more)
+        cands = cands.unionByName(materialize(S.page_candidates(more), reuse))
     chain = FB.run_chain(need, search, cands, search_hits)
     chain["all"] = materialize(chain["all"], reuse)
     for n in FB.STAGE_ORDER:
