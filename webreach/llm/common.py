@@ -103,7 +103,8 @@ _P, _LOW, _HALF, _TOP = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64(3
 def _fold(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, for x < 2 ** 64."""
     x = (x & _P) + (x >> _TOP)
-    return np.where(x >= _P, x - _P, x)
+    x -= _P * (x >= _P)
+    return x
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,6 +115,15 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _fold((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << _HALF) + (low & _P) + (low >> _TOP))
 
 
+def _halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower bits of the base's powers 0 to n and more."""
+    power = _power("up", n)
+    kept = per_process()["powers", _BASE]
+    if len(kept.get("halves", ((),))[0]) < len(power):
+        kept["halves"] = power >> _HALF, power & _LOW
+    return kept["halves"]
+
+
 def _power(which: str, n: int) -> np.ndarray:
     """Powers 0 to n and more of the base (up) or its inverse (down); a worker keeps them."""
     kept = per_process().setdefault(("powers", _BASE), {})
@@ -137,20 +147,37 @@ def scramble(x: np.ndarray) -> np.ndarray:
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """Prefix sums of the bytes times the base's powers, for the upper and lower
     bits of a power apart; differences are exact for spans under 32 MB (2 ** 25 bytes)."""
-    power = _power("up", len(raw))[: len(raw)]
     out = np.zeros((2, len(raw) + 1), np.uint64)
-    np.cumsum(raw * (power >> _HALF), out=out[0, 1:])
-    np.cumsum(raw * (power & _LOW), out=out[1, 1:])
+    for half, to in zip(_halves(len(raw)), out, strict=True):
+        np.cumsum(raw * half[: len(raw)], out=to[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end]; equal strings have equal hashes wherever they stand."""
     high, low = prefix[0][end] - prefix[0][start], prefix[1][end] - prefix[1][start]
-    own = _fold(times(_fold(high), np.full(1, 1 << 31, np.uint64)) + _fold(low))
+    high = _fold(high)
+    own = _fold(((high << _HALF) & _P) + (high >> np.uint64(30)) + (low & _P) + (low >> _TOP))  # 2 ** 31 turns 61 bits round
     return scramble(times(own, _power("down", prefix.shape[1])[start]) + (end - start).astype(np.uint64))
 
 
+_ROUGH = 0x9E3779B97F4A7C15
+
+
+def window_hashes(raw: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all windows of n bytes, modulo 2 ** 64: quick, and good
+    for choosing and grouping places, but long texts can be made to collide."""
+    kept = per_process().setdefault("rough powers", {})
+    if len(kept.get("up", ())) < len(raw):
+        for name, base in (("up", _ROUGH), ("down", pow(_ROUGH, -1, 1 << 64))):
+            power = np.full(2 * len(raw) + 1, np.uint64(base), np.uint64)
+            power[0] = 1
+            kept[name] = np.multiply.accumulate(power)
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * kept["up"][: len(raw)], out=prefix[1:])
+    return scramble((prefix[n:] - prefix[:-n]) * kept["down"][: max(0, len(raw) - n + 1)])
+
+
 def whole_groups(batches, columns: list[str], least: int) -> Iterator[pa.Table]:
     """Tables of ``least`` rows and more out of rows sorted by ``columns``; the
     rows of a group stay together."""

@@ -61,11 +61,11 @@ def build(phrases=PHRASES, templates=TEMPLATES) -> Index:
     for w, i in number.items():
         raw = np.frombuffer(w.encode(), np.uint8)
         hashes[i] = span_hashes(prefix_hashes(raw), np.array([0]), np.array([len(raw)]))[0]
-    slot = np.zeros(1 << TABLE_BITS, np.int32)
-    top = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    if len(set(top.tolist())) < len(words):
-        raise ValueError("two licence words share a table slot: raise TABLE_BITS")
-    slot[top] = np.arange(1, len(words) + 1)
+    bits = TABLE_BITS
+    while len(np.unique(hashes >> np.uint64(64 - bits))) < len(words):  # every word gets a slot of its own
+        bits += 1
+    slot = np.zeros(1 << bits, np.int32)
+    slot[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = np.arange(1, len(words) + 1)
     ids = lambda text: np.array([number[w] for w in WORD.findall(text)], np.int32)
     return Index(hashes, slot, tuple((ids(p), label) for p, label in phrases), tuple((ids(t), label, ids(key)) for label, t, key in templates))
 
@@ -78,7 +78,7 @@ def words(index: Index, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     found = span_hashes(prefix_hashes(low), start, end)
-    number = index.slot[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] - 1
+    number = index.slot[(found >> np.uint64(65 - len(index.slot).bit_length())).astype(np.int64)] - 1
     number[index.hashes[number] != found] = -1
     return number, np.searchsorted(start, shift)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webreach.llm.common import chunks, column, prefix_hashes, scramble, span_hashes, table, text_key, utf8, whole_groups, written
+from webreach.llm.common import chunks, column, prefix_hashes, scramble, span_hashes, table, text_key, utf8, whole_groups, window_hashes, written
 from webreach.llm.registry import register
 
 LENGTH = 200
@@ -59,7 +59,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int) -> dict[str, np.ndarra
     prefix = prefix_hashes(raw)
     place = np.arange(n - g + 1)
     bits = np.uint64(max(1, n.bit_length()))
-    found = span_hashes(prefix, place, place + g)
+    found = window_hashes(raw, g)
     best = sliding_min((found >> bits << bits) | place.astype(np.uint64), w)
     anchor = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row_of = lambda x: np.searchsorted(at, x, "right") - 1
