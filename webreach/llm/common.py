@@ -161,6 +161,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return scramble(times(own, _power("down", prefix.shape[1])[start]) + (end - start).astype(np.uint64))
 
 
+_MIX = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUGH = 0x9E3779B97F4A7C15
 
 
@@ -174,8 +175,8 @@ def window_hashes(raw: np.ndarray, n: int) -> np.ndarray:
             power[0] = 1
             kept[name] = np.multiply.accumulate(power)
     prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw + np.uint64(1)) * kept["up"][: len(raw)], out=prefix[1:])
-    return scramble((prefix[n:] - prefix[:-n]) * kept["down"][: max(0, len(raw) - n + 1)])
+    np.cumsum(_MIX[raw] * kept["up"][: len(raw)], out=prefix[1:])
+    return scramble((prefix[n:] - prefix[:-n]) * kept["down"][: max(0, len(raw) - n + 1)] + np.uint64(n))
 
 
 def whole_groups(batches, columns: list[str], least: int) -> Iterator[pa.Table]:
