@@ -181,3 +181,77 @@ def test_license_in_every_row(spark):
             rows = [(i, f"/* {text} */") for i in range(n)]
             for r in license.scan(cases.frame(spark, rows)).collect():
                 assert label in r.labels.split(",") and r.score == 1
+
+
+def by_trying(text, templates, weight, drift, least):
+    """(labels, score) of one text: every template at every place."""
+    w, labels, score = cases.LICENSE_WORD.findall(lower(text)), set(), 0.0
+    for label, t, key in templates:
+        t, key = cases.LICENSE_WORD.findall(lower(t)), cases.LICENSE_WORD.findall(lower(key))
+        total = sum(weight[x] for x in t)
+        for d in range(-len(t) - drift, len(w) + drift + 1):
+            window = w[max(0, d - drift): max(0, d + len(t) + drift)]
+            if key and not any(window[i: i + len(key)] == key for i in range(len(window))):
+                continue
+            share = sum(weight[x] for q, x in enumerate(t) if any(0 <= d + q + o < len(w) and w[d + q + o] == x for o in range(-drift, drift + 1))) / total
+            if share >= least - 1e-12:
+                labels.add(label)
+                score = max(score, share)
+    return labels, score
+
+
+def license_rows(templates, seed=5):
+    """Templates with words dropped, doubled, changed or moved, alone and in a row, among words of the templates."""
+    import random
+    r = random.Random(seed)
+    pool = [w for _, t, _ in templates for w in t.split()]
+    rows = []
+    for i in range(160):
+        words = [r.choice(pool) for _ in range(r.randint(0, 30))]
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            rate = r.choice((0, 0.05, 0.2, 0.35))
+            for w in r.choice(templates)[1].split():
+                x = r.random()
+                words += [] if x < rate / 3 else [w, w] if x < rate / 2 else [r.choice(pool)] if x < rate else [w]
+            words += [r.choice(pool) for _ in range(r.randint(0, 12))]
+        rows.append((i, r.choice((" ", ", ", "\n * ")).join(words)))
+    return rows + [(900, None), (901, ""), (902, "software " * 3000), (903, " ".join(pool) + " software" * 3000), (903, " ".join(pool) + " software" * 3000)]
+
+
+TABLE = [("mit", license.TEMPLATES[0][1], license.TEMPLATES[0][2]),
+         ("mit", "the Software is provided as is without Warranty of any kind express or implied including but not limited to the warranties of merchantability", "without warranty of any kind"),
+         ("no-key", "may be used freely by the the the public for any purpose", None), ("foreign-key", "a notice that names nothing", "lizenz é"),
+         ("empty", "", "x"), ("none", None, "x"), (None, "a nameless template", "a")]
+
+
+@pytest.mark.parametrize("drift,least,own", [(3, 0.6, False), (0, 0.5, True), (3, 0.6, True), (2, 1.0, True)])
+def test_license_labels_are_those_of_every_place(spark, monkeypatch, drift, least, own):
+    monkeypatch.setattr(license, "BLOCK_WORDS", 50)
+    templates = [t for t in TABLE if t[0] and t[1]] if own else list(license.TEMPLATES)
+    rows = license_rows([(label, text, key) for label, text, key in templates])
+    rows += [(904, "a notice that names nothing lizenz é"), (905, "MAY be used freely, by the the the public: for any purpose")]
+    docs = cases.frame(spark, rows)
+    table = spark.createDataFrame([(*t, 1) for t in TABLE], "label string, text string, key string, doc_id int") if own else None
+    got = license.scan(docs, table, drift=drift, least=least).collect()
+    check_license(got, rows)
+    n = len(rows)
+    df = Counter(w for _, t in rows for w in set(cases.LICENSE_WORD.findall(lower(t))))
+    weight = {w: float(np.log1p((n + 1) / (df[w] + 1))) for _, t, _ in templates for w in cases.LICENSE_WORD.findall(lower(t))}
+    texts = dict(rows)
+    seen = Counter()
+    for r in got:
+        labels, score = by_trying(texts[r.doc_id], templates, weight, drift, least)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base, r.doc_id
+        assert abs(r.score - (1.0 if base else score)) < 1e-9
+        seen[len(labels)] += 1
+    assert seen[1] > 10 and seen[0] > 10
+
+
+def test_license_table_over_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(license, "TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        license.scan(cases.frame(spark, [(1, "a")]), spark.createDataFrame([("x", "some words of a template", None)], "label string, text string, key string"))
+    monkeypatch.undo()
+    none = license.scan(cases.frame(spark, [(1, "a cc by")]), spark.createDataFrame([], "label string, text string, key string")).first()
+    assert (none.labels, none.score) == ("cc-by", 1.0)
