@@ -39,3 +39,18 @@ def test_pages_with_one_key_keep_their_own_candidates(spark, tmp_path):
         feeds.write_epoch(df, 0, str(tmp_path / "out"))
     feeds.write_epoch(df.limit(0), 1, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("channel = 'text_email'").count() == 3
+
+
+def test_urls_of_later_epochs_and_replays(spark, tmp_path):
+    src, base = tmp_path / "in", str(tmp_path / "run")
+    src.mkdir()
+    for n, text in enumerate(("a.com\nb.com\n", "b.com\nc.com\n\n", "a.com\n")):
+        (src / f"{n}.txt").write_text(text)
+        got = feeds.run_url_stream(spark, str(src), base)
+    assert sorted((r.epoch, r.url) for r in got.collect()) == [(0, "https://a.com"), (0, "https://b.com"), (1, "https://c.com")]
+    batch = spark.createDataFrame([("https://b.com",), ("https://c.com",), ("https://c.com",)], "url string")
+    for _ in range(2):  # a replayed epoch replaces itself
+        feeds.write_new_urls(spark, batch, 1, os.path.join(base, "out"))
+    assert spark.read.parquet(os.path.join(base, "out")).count() == 3
+    feeds.write_new_urls(spark, batch.limit(0), 0, str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0

@@ -42,6 +42,14 @@ STAGES = (("maps", P.MAPS_QUERY_SUFFIX, "nosep_phone", None),
 STAGE_ORDER = ("facebook", "maps", "yelp", "web")
 
 
+def asked_hits(need: DataFrame, search: DataFrame, k: int = P.SEARCH_HITS) -> DataFrame:
+    """need(url, company, ..) -> (url, page_key): the pages that the search stages
+    look up for each site, whether they exist or not."""
+    wanted = need.select("url", F.explode(F.array(*[U.search_key(F.col("company"), suffix) for _, suffix, _, _ in STAGES])).alias("query"))
+    hits = top_hits(search.select("query", "rank", "href").join(wanted.select("query").distinct(), "query", "left_semi"), k)
+    return wanted.join(hits.select("query", U.page_key("href").alias("page_key")), "query").select("url", "page_key")
+
+
 def stage_answers(need: DataFrame, search: DataFrame, cands: DataFrame, k: int = P.SEARCH_HITS) -> DataFrame:
     """Every stage's answer for every site that needs a phone, side by side.
 

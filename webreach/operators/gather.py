@@ -58,19 +58,20 @@ def _empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _facts(pages: DataFrame, keys: DataFrame | None, reuse: str) -> DataFrame:
+def _facts(pages: DataFrame, keys: DataFrame | None, reuse: str, parsed: bool) -> DataFrame:
     """Parsed pages, one a key; of those keys only, if given."""
     if keys is not None:
-        pages = (pages.withColumn("_asked", U.page_key("url"))
+        pages = (pages.withColumn("_asked", F.col("page_key") if parsed else U.page_key("url"))
                  .join(keys.select(F.col("page_key").alias("_asked")), "_asked", "left_semi").drop("_asked"))
-    return PG.dedup_pages(materialize(PG.page_facts(pages), reuse))
+    return PG.dedup_pages(materialize(pages if parsed else PG.page_facts(pages), reuse))
 
 
 def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
           ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
           reuse: str = "table", search_hits: int = P.SEARCH_HITS, snippet_hits: int = P.SNIPPET_HITS,
-          add_listed: bool = False, prune: bool = False) -> Stages:
-    """``prune``: pages are first cut down, by URL alone, to those that are asked
+          add_listed: bool = False, prune: bool = False, parsed: bool = False) -> Stages:
+    """``parsed``: ``pages`` holds the rows of ``page_facts`` already.
+    ``prune``: pages are first cut down, by URL alone, to those that are asked
     for, so ``html`` is read behind a semi-join: first the targets' pages, then
     the contact pages that they link to, and last, for the sites that have no
     phone by then and for no others, the Facebook and hit pages of the fallback
@@ -85,15 +86,15 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     site_df = S.sites(targets)
     if prune:
         site_keys = materialize(site_df.select(F.col("site_key").alias("page_key")).distinct(), reuse)
-        facts = _facts(pages, site_keys, reuse)
+        facts = _facts(pages, site_keys, reuse, parsed)
         land = materialize(S.landing(site_df, facts), reuse)
         links = S.contact_links(land)
         linked = links.select(U.page_key("link_key").alias("page_key")).distinct()
         linked = materialize(linked.join(site_keys, "page_key", "left_anti"), reuse)
-        facts = facts.unionByName(_facts(pages, linked, reuse))
+        facts = facts.unionByName(_facts(pages, linked, reuse, parsed))
     else:
         # one scan of html; several joins read the narrow result
-        facts = _facts(pages, None, reuse)
+        facts = _facts(pages, None, reuse, parsed)
         land = materialize(S.landing(site_df, facts), reuse)
         links = S.contact_links(land)
     cands = materialize(S.page_candidates(facts), reuse)
@@ -130,7 +131,7 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
         asked = (need.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key"))
                  .unionByName(hits.select(U.page_key("href").alias("page_key")))).distinct()
         asked = asked.join(site_keys, "page_key", "left_anti").join(linked, "page_key", "left_anti")
-        more = _facts(pages, materialize(asked, reuse), reuse)
+        more = _facts(pages, materialize(asked, reuse), reuse, parsed)
         facts = facts.unionByName(more)
         cands = cands.unionByName(materialize(S.page_candidates(more), reuse))
     chain = FB.run_chain(need, search, cands, search_hits)

@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from webreach.plans import duck as D
-from webreach.plans.duck_sites import pages_facts_sql
+from webreach.plans.duck_sites import pages_facts_sql, pipeline_sql
 from webreach.plans.registry import register
 from webreach.session import checkpoint_dir
-from webreach.sources.tables import table
-from webreach.streaming import feeds
+from webreach.sources.tables import synthetic, table
+from webreach.streaming import contacts, feeds
 
 
 @register("stream_url_list", f"""
@@ -40,3 +40,17 @@ def stream_page_candidates(spark, sf):
     with its own page_id, equal the batch result."""
     out = feeds.run_page_stream(spark, sf, pathGlobFilter="pages.parquet", maxFilesPerTrigger="1")
     return out.select("page_id", "page_key", "channel", "value")
+
+
+@register("late_page_contacts", pipeline_sql("""
+SELECT url, website, array_to_string(list_sort(emails), ', ') AS email, array_to_string(list_sort(phones), ', ') AS phone, summary FROM contacts"""))
+def late_page_contacts(spark, sf):
+    """O-L2 + O-K1: the synthetic pages arrive in two epochs; contacts after the
+    second, which recomputes the touched sites only, equal the batch over all."""
+    base = os.path.join(checkpoint_dir(spark), f"late-pages-{uuid.uuid4().hex}")
+    T = synthetic(spark, sf)
+    is_late = F.pmod(F.xxhash64("url"), F.lit(16)) == 0
+    for epoch, arrived in enumerate((T["syn_pages"].filter(~is_late), T["syn_pages"].filter(is_late))):
+        contacts.refresh(spark, base, epoch, arrived, T["syn_targets"], T["search_results"], T["ai_contacts"], T["ai_decisions"])
+    out = contacts.contact_table(spark, base)
+    return out.select("url", "website", *[F.array_join(F.array_sort(c), ", ").alias(n) for c, n in (("emails", "email"), ("phones", "phone"))], "summary")

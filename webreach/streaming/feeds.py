@@ -1,12 +1,12 @@
 """Structured Streaming feeds (O-L1, O-L2).
 
 O-L1: a growing folder of URL-list files -> normalized, valid URLs, each URL
-emitted once (``dropDuplicates`` keeps one state key per URL).
+emitted once: an epoch's URLs are anti-joined with the table of those written by
+earlier epochs, so the stream itself holds no state.
 O-L2: a folder of crawled-page parquet files -> page candidates, stateless
 (page facts + the JSON-LD walk per micro-batch). ``foreachBatch`` writes each
 epoch to a folder of its own and replaces it when the epoch is replayed.
-Contacts are recomputed from the candidate table in batch, so a page that
-arrives late simply adds candidates.
+``streaming/contacts.py`` keeps contacts up to date with such a feed.
 """
 
 from __future__ import annotations
@@ -21,17 +21,22 @@ from webreach.functions import urls as U
 from webreach.operators import pages as PG
 from webreach.operators import sites as S
 from webreach.session import checkpoint_dir, materialize
+from webreach.streaming import epochs
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+URL_SCHEMA = "url string"
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 
-def url_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """O-L1 as a streaming DataFrame of distinct valid URLs."""
-    lines = spark.readStream.format("text").load(folder)
-    urls = lines.select(U.normalize_url("value").alias("url")).filter((F.col("url") != "") & U.is_valid_url("url"))
-    return urls.dropDuplicates(["url"])
+def url_feed(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """O-L1 input: normalized valid URLs of a growing folder, repeats included."""
+    lines = spark.readStream.format("text").options(**options).load(folder)
+    return lines.select(U.normalize_url("value").alias("url")).filter((F.col("url") != "") & U.is_valid_url("url"))
+
+
+def write_new_urls(spark: SparkSession, batch: DataFrame, epoch_id: int, target: str) -> None:
+    """URLs of one micro-batch that no earlier epoch has written, in the epoch's own folder."""
+    seen = epochs.read(spark, target, URL_SCHEMA, epoch_id).select("url")
+    epochs.write(batch.select("url").distinct().join(seen, "url", "left_anti"), target, epoch_id)
 
 
 def page_feed(spark: SparkSession, folder: str, schema: str = PAGES_SCHEMA, **options) -> DataFrame:
@@ -48,25 +53,20 @@ def candidates_of(pages: DataFrame) -> DataFrame:
 
 def write_epoch(batch: DataFrame, epoch_id: int, target: str) -> None:
     """Candidates of one micro-batch, in the epoch's own folder."""
-    candidates_of(batch).write.mode("overwrite").parquet(os.path.join(target, f"epoch={epoch_id}"))
+    epochs.write(candidates_of(batch), target, epoch_id)
 
 
-def run_url_stream(spark: SparkSession, folder: str, out_dir: str | None = None) -> DataFrame:
-    """Run O-L1 to completion over what is in ``folder`` (availableNow) and
-    return the emitted URLs as a batch DataFrame. The URLs seen are kept in
-    RocksDB, on disk, as they grow with the feed."""
+def run_url_stream(spark: SparkSession, folder: str, out_dir: str | None = None, **options) -> DataFrame:
+    """Run O-L1 over what is new in ``folder`` (availableNow) and return all URLs
+    emitted so far as a batch DataFrame (url, epoch)."""
     base = out_dir or os.path.join(checkpoint_dir(spark), f"url-stream-{uuid.uuid4().hex}")
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        q = (url_stream(spark, folder).writeStream.format("parquet")
-             .option("checkpointLocation", os.path.join(base, "_state"))
-             .option("path", os.path.join(base, "out")).outputMode("append")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, before)
-    return spark.read.parquet(os.path.join(base, "out"))
+    target = os.path.join(base, "out")
+    q = (url_feed(spark, folder, **options).writeStream
+         .foreachBatch(lambda batch, epoch_id: write_new_urls(spark, batch, epoch_id, target))
+         .option("checkpointLocation", os.path.join(base, "_state"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return epochs.read(spark, target, URL_SCHEMA)
 
 
 def run_page_stream(spark: SparkSession, folder: str, out_dir: str | None = None, **options) -> DataFrame:
