@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webreach.plans import duck as D
 from webreach.plans.duck_sites import pages_facts_sql, pipeline_sql
 from webreach.plans.registry import register
-from webreach.session import checkpoint_dir
+from webreach.session import checkpoint_dir, materialize
 from webreach.sources.tables import synthetic, table
 from webreach.streaming import contacts, feeds
 
@@ -48,7 +48,7 @@ def late_page_contacts(spark, sf):
     """O-L2 + O-K1: the synthetic pages arrive in two epochs; contacts after the
     second, which recomputes the touched sites only, equal the batch over all."""
     base = os.path.join(checkpoint_dir(spark), f"late-pages-{uuid.uuid4().hex}")
-    T = synthetic(spark, sf)
+    T = {name: materialize(df) for name, df in synthetic(spark, sf).items()}  # a feed's tables are files
     is_late = F.pmod(F.xxhash64("url"), F.lit(16)) == 0
     for epoch, arrived in enumerate((T["syn_pages"].filter(~is_late), T["syn_pages"].filter(is_late))):
         contacts.refresh(spark, base, epoch, arrived, T["syn_targets"], T["search_results"], T["ai_contacts"], T["ai_decisions"])
