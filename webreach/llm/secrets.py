@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webreach.llm.common import scratch, table, written
@@ -45,25 +45,30 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 SEEN = "blob string, rules array<string>"
-FOUND = "blob string, rule string, kind string, at int, start long, end long"
-
-
-def spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<at, kind, rule, start, end>>: the rule's matches, in code points."""
-    pattern = F.lit(rule.pattern)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    step = lambda acc, x: F.struct(
-        (acc["end"] + x["gap"] + F.length(x["hit"])).alias("end"),
-        F.concat(acc["out"], F.array(F.struct(
-            F.lit(order).alias("at"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"),
-            (acc["end"] + x["gap"]).cast("long").alias("start"), (acc["end"] + x["gap"] + F.length(x["hit"])).cast("long").alias("end"), x["hit"].alias("hit")))).alias("out"))
-    none = F.array().cast("array<struct<at:int,kind:string,rule:string,start:bigint,end:bigint,hit:string>>")
-    found = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit")),
-                        F.struct(F.lit(0).alias("end"), none.alias("out")), step)["out"]
-    if rule.least:
-        found = F.filter(found, lambda s: F.length(F.regexp_extract(s["hit"], rule.pattern, rule.group)) >= rule.least)
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+FOUND = "blob string, kind string, at int, start long, end long, rule string"  # one folder a rule
+MATCH = "rule:string,kind:string,at:int,n:int,gap:int,size:int,holds:boolean"
+
+
+def matches(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<rule, kind, at, n, gap, size, holds>>: every match of the rule's
+    pattern with the characters between it and the match before, in code points.
+    Where it stands is a running sum over ``n``, left to a window: an array that
+    grows hit by hit would be copied at each."""
+    none = F.array().cast(f"array<struct<{MATCH}>>")
+    hit = lambda x, n: F.struct(
+        F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(order).alias("at"), n.alias("n"), F.length(x["gap"]).alias("gap"),
+        F.length(x["hit"]).alias("size"),
+        (F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)).alias("holds"))
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    found = F.filter(F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
+    return F.when(text.rlike(rule.pattern), F.transform(found, hit)).otherwise(none)
+
+
+def spans(run: DataFrame) -> DataFrame:
+    """(blob, hits) -> (blob, kind, at, start, end, rule) of the matches that hold."""
+    so_far = Window.partitionBy("blob", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = run.select("blob", F.inline("hits")).withColumn("end", F.sum((F.col("gap") + F.col("size")).cast("long")).over(so_far))
+    return placed.filter("holds").select("blob", "kind", "at", (F.col("end") - F.col("size")).alias("start"), "end", "rule")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,7 +83,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def scan(history: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """history(path columns, blob, text) -> findings(blob, found) for every blob
     of it that holds a secret: ``found`` is an array of (start, at, kind, end),
-    sorted. Reads and extends the ledger, a folder that all executors share.
+    sorted. Reads and extends the ledger, a folder that all executors share, in
+    which findings have a folder a rule: those of other rules aren't read.
 
     Null text counts as empty. A rule whose version has changed scans all
     blobs anew, the other rules only blobs that they have not seen. Findings
@@ -87,21 +93,31 @@ def scan(history: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE + MORE)
     """
     spark = history.sparkSession
     keys = [r.key for r in rules]
-    seen = _read(spark, f"{ledger}/seen", SEEN).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
     todo = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("known", F.array().cast("array<string>")))
     blobs = history.select("blob", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    unseen = blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).filter(F.size("todo") > 0)
-    each = F.flatten(F.array(*[F.when(F.array_contains("todo", r.key), spans(F.col("text"), r, i)).otherwise(
-        F.array().cast("array<struct<at:int,kind:string,rule:string,start:bigint,end:bigint,hit:string>>")) for i, r in enumerate(rules)]))
-    run = written(unseen.select("blob", "todo", F.transform(each, lambda s: F.struct(
-        s["rule"].alias("rule"), s["kind"].alias("kind"), s["at"].alias("at"), s["start"].alias("start"), s["end"].alias("end"))).alias("s")), "scan")
-    run.select("blob", F.inline("s")).write.mode("append").parquet(f"{ledger}/found")
-    run.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
-    found = _read(spark, f"{ledger}/found", FOUND).filter(F.col("rule").isin(keys))
+    given = blobs.join(_seen(spark, ledger), "blob", "left").select("blob", "text", todo.alias("todo"))
+    hits = F.flatten(F.array(*[F.when(F.array_contains("todo", r.key), matches(F.col("text"), r, i)).otherwise(
+        F.array().cast(f"array<struct<{MATCH}>>")) for i, r in enumerate(rules)]))
+    run = written(given.select("blob", "todo", hits.alias("hits")), "scan")
+    spans(run).write.mode("append").partitionBy("rule").parquet(f"{ledger}/found")
+    run.filter(F.size("todo") > 0).select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
+    found = _read(spark, f"{ledger}/found", FOUND).filter(F.col("rule").isin(keys)).join(run.select("blob"), "blob", "left_semi")
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     return found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", order[F.col("rule")].alias("at"), "kind", "end"))).alias("found"))
 
 
+def _seen(spark: SparkSession, ledger: str) -> DataFrame:
+    rows = _read(spark, f"{ledger}/seen", SEEN)
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
+
+
+def compact(spark: SparkSession, ledger: str, into: str) -> None:
+    """The ledger's small files as a new ledger in the empty folder ``into``: a row
+    a blob in ``seen``, each finding once. The old one is left as it is."""
+    _read(spark, f"{ledger}/found", FOUND).distinct().write.partitionBy("rule").parquet(f"{into}/found")
+    _seen(spark, ledger).select("blob", F.col("known").alias("rules")).write.parquet(f"{into}/seen")
+
+
 def address(documents: DataFrame) -> DataFrame:
     """documents -> (doc_id, blob, text): a document is the one version of its path."""
     text = F.coalesce("text", F.lit(""))
@@ -148,5 +164,6 @@ def _oracle() -> str:
 
 @register("op9_secret_scan", _oracle())
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new ledger each time, as the query's tables are all the history there is."""
+    """Counts, base digest and spans of the secrets of every document. A new ledger
+    each time, as the query's tables are all the history there is."""
     return by_path(table(spark, sf_dir, "documents"), scratch(spark, "ledger"))
