@@ -21,28 +21,31 @@ from webreach.sources import io as IO
 from webreach.session import configure, materialize
 
 
-def _build(targets: DataFrame, pages: DataFrame, search_results=None, ai_contacts=None, ai_decisions=None):
+def _build(targets: DataFrame, pages: DataFrame, search_results=None, ai_contacts=None, ai_decisions=None,
+           deny_rules=None):
     configure(pages.sparkSession)
-    return G.build(targets, pages, search_results, ai_contacts, ai_decisions, prune=True)
+    return G.build(targets, pages, search_results, ai_contacts, ai_decisions, prune=True, deny_rules=deny_rules)
 
 
 def gather_contacts(targets: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
-                    ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None) -> DataFrame:
+                    ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
+                    deny_rules: DataFrame | None = None) -> DataFrame:
     """targets(input_pos, raw) -> (input_pos, Website, Email, Phone, AI Summary), one row per
-    input row whose site produced a record (duplicates kept)."""
-    st = _build(targets, pages, search_results, ai_contacts, ai_decisions)
+    input row whose site produced a record (duplicates kept). ``deny_rules``, here and
+    below: a table (kind, text) of operators/deny.py whose e-mails are left out."""
+    st = _build(targets, pages, search_results, ai_contacts, ai_decisions, deny_rules)
     return (st.targets.join(st.contacts, "url")
             .select("input_pos", F.col("website").alias("Website"), F.col("emails").alias("Email"),
                     F.col("phones").alias("Phone"), F.col("summary").alias("AI Summary")))
 
 
 def batch_export(url_file: str, pages: DataFrame, out_json: str | None = None, out_csv: str | None = None,
-                 search_results=None, ai_contacts=None, ai_decisions=None) -> DataFrame:
+                 search_results=None, ai_contacts=None, ai_decisions=None, deny_rules=None) -> DataFrame:
     """O-K5: URL-list file -> records with phones normalised and deduplicated,
     written as JSON lines and/or a CSV table, in input order."""
     spark = pages.sparkSession
     targets = IO.read_url_list(spark, url_file).select("input_pos", "raw")
-    st = _build(targets, pages, search_results, ai_contacts, ai_decisions)
+    st = _build(targets, pages, search_results, ai_contacts, ai_decisions, deny_rules)
     recs = (st.targets.join(st.contacts, "url")
             .select("input_pos", "website", "emails", G.dedup_phones(F.col("phones")).alias("phones"), "summary"))
     if out_json:
@@ -55,7 +58,7 @@ def batch_export(url_file: str, pages: DataFrame, out_json: str | None = None, o
 
 
 def enrich_table(df: DataFrame, pages: DataFrame, url_col: str | None = None, pos_col: str | None = None,
-                 search_results=None, ai_contacts=None, ai_decisions=None) -> DataFrame:
+                 search_results=None, ai_contacts=None, ai_decisions=None, deny_rules=None) -> DataFrame:
     """O-K3: every row of ``df`` plus Email, Phone, AI Summary (empty strings
     when the row's URL is invalid or produced no record). The URL column is
     detected from the header when not given (O-B8)."""
@@ -68,7 +71,7 @@ def enrich_table(df: DataFrame, pages: DataFrame, url_col: str | None = None, po
         df = materialize(df.withColumn(pos_col, F.monotonically_increasing_id()))
     targets = (df.select(F.col(pos_col).alias("input_pos"), F.col(f"`{url_col}`").alias("raw"))
                .filter(F.col("raw").isNotNull()))
-    st = _build(targets, pages, search_results, ai_contacts, ai_decisions)
+    st = _build(targets, pages, search_results, ai_contacts, ai_decisions, deny_rules)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     out = EN.with_contacts(rows, F.col(f"row.`{url_col}`"), st.targets, st.contacts)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("email").alias("Email"),
@@ -91,7 +94,7 @@ def enrich_url_list(request_path: str, pages: DataFrame, **tables) -> DataFrame:
     one row per distinct valid URL in first-seen order."""
     spark = pages.sparkSession
     targets = IO.read_url_json(spark, request_path).select("input_pos", "raw")
-    st = _build(targets, pages, tables.get("search_results"), tables.get("ai_contacts"), tables.get("ai_decisions"))
+    st = _build(targets, pages, tables.get("search_results"), tables.get("ai_contacts"), tables.get("ai_decisions"), tables.get("deny_rules"))
     return EN.enrich_urls(st.targets, st.contacts).orderBy("input_pos")
 
 

@@ -120,3 +120,4 @@ DENY_EMAIL_DOMAINS = ("example.com", "example.org", "example.net", "domain.com",
                       "email.com", "yourdomain.com", "sentry.io", "w3.org",
                       "schema.org")
 DENY_EMAIL_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".css", ".js")
+DENY_EMAIL_MAILBOXES = ("your", "yourname", "youremail", "name", "username", "email", "example")

@@ -4,9 +4,9 @@ The original leaves these decisions to a language model guided by prose
 rules; here they are deterministic column predicates, with a DuckDB twin
 each. Rules:
 
-e-mail: the domain is not a placeholder/example/schema domain (exact match,
-so sub-domains such as mail1.example.com pass), the address is not a file
-name, not an escaped-HTML fragment and not a placeholder mailbox.
+e-mail: the domain is not a placeholder/example/schema domain nor below one,
+the address is not a file name, not an escaped-HTML fragment and not a
+placeholder mailbox (operators/deny.py takes such rules as a table).
 phone: at least 6 digits, and not a version string, a year, a date or a
 zip code.
 """
@@ -21,7 +21,8 @@ from webreach.functions.extract import digits_only
 from webreach.functions.urls import col, py_strip
 
 # fixed rule text shared by both engines
-PLACEHOLDER_LOCAL = r"^(your|yourname|youremail|name|username|email|example)$"
+PLACEHOLDER_LOCAL = "^(" + "|".join(P.DENY_EMAIL_MAILBOXES) + ")$"
+DENIED_DOMAIN = r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in P.DENY_EMAIL_DOMAINS) + ")$"
 ESCAPED_LOCAL = r"^(u00[0-9a-f]{2}|x[0-9a-f]{2})"
 FILE_SUFFIX = r"\.(" + "|".join(s.lstrip(".") for s in P.DENY_EMAIL_SUFFIXES) + r")$"
 VERSION = r"^v?[0-9]+(\.[0-9]+){2,}$"
@@ -35,8 +36,7 @@ def plausible_email(c) -> Column:
     v = F.lower(py_strip(col(c)))
     local = F.substring_index(v, "@", 1)
     domain = F.substring_index(v, "@", -1)
-    deny = F.array(*[F.lit(d) for d in P.DENY_EMAIL_DOMAINS])
-    return ~(F.array_contains(deny, domain) | v.rlike(FILE_SUFFIX) | local.rlike(ESCAPED_LOCAL)
+    return ~(domain.rlike(DENIED_DOMAIN) | v.rlike(FILE_SUFFIX) | local.rlike(ESCAPED_LOCAL)
              | local.rlike(PLACEHOLDER_LOCAL))
 
 
@@ -51,7 +51,7 @@ def duck_plausible_email(e: str) -> str:
     v = f"lower({D.strip(e)})"
     local = f"split_part({v}, '@', 1)"
     domain = f"reverse(split_part(reverse({v}), '@', 1))"
-    return (f"NOT (list_contains({D.str_list(P.DENY_EMAIL_DOMAINS)}, {domain}) OR {D.rlike(v, FILE_SUFFIX)}"
+    return (f"NOT ({D.rlike(domain, DENIED_DOMAIN)} OR {D.rlike(v, FILE_SUFFIX)}"
             f" OR {D.rlike(local, ESCAPED_LOCAL)} OR {D.rlike(local, PLACEHOLDER_LOCAL)})")
 
 

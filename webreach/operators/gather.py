@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
 from webreach.functions import urls as U
+from webreach.operators import deny as DN
+from webreach.operators import enrich as EN
 from webreach.operators import external as E
 from webreach.operators import fallback as FB
 from webreach.operators import pages as PG
@@ -52,6 +54,7 @@ class Stages:
     chain: dict = field(default_factory=dict)
     snippets: DataFrame | None = None
     contacts: DataFrame | None = None
+    counts: dict | None = None  # O-G6, observed while the contacts are written
 
 
 def _empty(spark, schema: str) -> DataFrame:
@@ -69,8 +72,10 @@ def _facts(pages: DataFrame, keys: DataFrame | None, reuse: str, parsed: bool) -
 def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame | None = None,
           ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None,
           reuse: str = "table", search_hits: int = P.SEARCH_HITS, snippet_hits: int = P.SNIPPET_HITS,
-          add_listed: bool = False, prune: bool = False, parsed: bool = False) -> Stages:
-    """``parsed``: ``pages`` holds the rows of ``page_facts`` already.
+          add_listed: bool = False, prune: bool = False, parsed: bool = False,
+          deny_rules: DataFrame | None = None) -> Stages:
+    """``deny_rules``: a table (kind, text) of operators/deny.py; no contact has an
+    e-mail that it denies. ``parsed``: ``pages`` holds the rows of ``page_facts`` already.
     ``prune``: pages are first cut down, by URL alone, to those that are asked
     for, so ``html`` is read behind a semi-join: first the targets' pages, then
     the contact pages that they link to, and last, for the sites that have no
@@ -160,11 +165,19 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
                              F.coalesce("summary", F.lit("")).alias("summary")))
 
     unreachable = land.filter(F.col("landing_id").isNull()).select("url")
-    snippets = materialize(FB.snippet_contacts(unreachable, search, snippet_hits), reuse)
-    contacts = materialize(page_contacts.unionByName(snippets), reuse)
+    snippets = FB.snippet_contacts(unreachable, search, snippet_hits)
+    if deny_rules is not None:
+        page_contacts, snippets = DN.without_denied(page_contacts, deny_rules), DN.without_denied(snippets, deny_rules)
+        snippets = snippets.filter((F.size("emails") > 0) | (F.size("phones") > 0))
+    snippets = materialize(snippets, reuse)
+    contacts, counts = page_contacts.unionByName(snippets), None
+    if reuse == "table":  # the write counts, so that no second pass has to
+        seen = Observation()
+        contacts = materialize(contacts.observe(seen, *EN.count_columns()), reuse)
+        counts = seen.get
     return Stages(facts=facts, cands=cands, targets=targets, sites=site_df, landing=land, links=links,
                   subpages=subs, primary=primary, site_cands=site_cands, ai=ai, kept=kept, need=need,
-                  chain=chain, snippets=snippets, contacts=contacts)
+                  chain=chain, snippets=snippets, contacts=contacts, counts=counts)
 
 
 def dedup_phones(phones) -> F.Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webreach.functions import extract as X
 from webreach.functions import patterns as P
 from webreach.functions import quality as Q
+from webreach.operators import deny as DN
 from webreach.operators import enrich as EN
 from webreach.operators import fallback as FB
 from webreach.operators import gather as G
@@ -141,6 +142,21 @@ def plausible_emails(spark, sf):
     return c.select("url", "value", Q.plausible_email("value").alias("plausible"))
 
 
+@register("email_deny_rules", pipeline_sql(f"""
+, rules AS (SELECT 'domain' AS kind, ltrim(unnest({D.str_list(P.DENY_EMAIL_DOMAINS + P.DENY_EMAIL_SUFFIXES)}), '.') AS text
+  UNION ALL SELECT 'mailbox', unnest({D.str_list(P.DENY_EMAIL_MAILBOXES)})),
+given AS (SELECT DISTINCT url, value, {D.strip('value')} AS v FROM site_cands WHERE kind = 'email'),
+parts AS (SELECT *, reverse(split_part(reverse(lower(v)), '@', 1)) AS domain, split_part(lower(v), '@', 1) AS mailbox FROM given),
+nearest AS (SELECT p.domain, arg_max(r.text, length(r.text)) AS above FROM (SELECT DISTINCT domain FROM parts) p
+  JOIN rules r ON r.kind = 'domain' AND ends_with('.' || p.domain, '.' || r.text) GROUP BY p.domain)
+SELECT p.url, p.value, coalesce('domain:' || n.above, 'mailbox:' || m.text) AS rule
+FROM parts p LEFT JOIN nearest n ON n.domain = p.domain LEFT JOIN rules m ON m.kind = 'mailbox' AND m.text = p.mailbox"""))
+def email_deny_rules(spark, sf):
+    """O-E1: every e-mail candidate with the rule of the rule table that denies it."""
+    c = stages(spark, sf).site_cands.filter(F.col("kind") == "email").select("url", "value").distinct()
+    return DN.judged(c, DN.default_rules(spark)).select("url", "value", "rule")
+
+
 @register("plausible_phones", pipeline_sql(
     f"SELECT url, value, {Q.duck_plausible_phone('value')} AS plausible FROM (SELECT DISTINCT url, value FROM site_cands WHERE kind = 'phone')"))
 def plausible_phones(spark, sf):
