@@ -81,6 +81,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, mode: str = "table") -> DataFrame:
@@ -89,13 +90,19 @@ def materialize(df: DataFrame, mode: str = "table") -> DataFrame:
     ``table``: written once as parquet into the shared checkpoint folder and
     read back (lineage cut, column pruning and filter pushdown on reuse, and
     it survives lost executors); ``drop_tables`` removes it when its results
-    are no longer read. ``none``: leave it to Catalyst.
+    are no longer read. The shuffle files of the write go as soon as it ends.
+    ``none``: leave it to Catalyst.
     """
     if mode == "none":
         return df
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"webreach-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
