@@ -15,7 +15,8 @@ Plan shape (all set-at-a-time):
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -39,22 +40,194 @@ AI_DECISIONS_SCHEMA = "site string, raw string"
 
 @dataclass
 class Stages:
-    facts: DataFrame
-    cands: DataFrame
-    targets: DataFrame
-    sites: DataFrame
-    landing: DataFrame
-    links: DataFrame
-    subpages: DataFrame
-    primary: DataFrame
-    site_cands: DataFrame
-    ai: DataFrame
-    kept: DataFrame
-    need: DataFrame
-    chain: dict = field(default_factory=dict)
-    snippets: DataFrame | None = None
-    contacts: DataFrame | None = None
-    counts: dict | None = None  # O-G6, observed while the contacts are written
+    """The relations of a build. Each is made, and written if several others read
+    it, when it is first asked for: who wants the contact links of the sites
+    doesn't pay for the fallback chain."""
+    targets_raw: DataFrame
+    pages: DataFrame
+    search: DataFrame
+    ai_contacts: DataFrame
+    ai_decisions: DataFrame
+    reuse: str = "table"
+    search_hits: int = P.SEARCH_HITS
+    snippet_hits: int = P.SNIPPET_HITS
+    add_listed: bool = False
+    prune: bool = False
+    parsed: bool = False
+    deny_rules: DataFrame | None = None
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return materialize(df, self.reuse)
+
+    def _parse(self, keys: DataFrame | None) -> DataFrame:
+        return _facts(self.pages, keys, self.reuse, self.parsed)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return S.prepare_targets(self.targets_raw)
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return S.sites(self.targets)
+
+    # ---- pages: one scan of html, or up to three over those that are asked for
+
+    @cached_property
+    def _site_keys(self) -> DataFrame:
+        return self._kept(self.sites.select(F.col("site_key").alias("page_key")).distinct())
+
+    @cached_property
+    def _landing_facts(self) -> DataFrame:
+        return self._parse(self._site_keys if self.prune else None)
+
+    @cached_property
+    def _linked_keys(self) -> DataFrame:
+        linked = self.links.select(U.page_key("link_key").alias("page_key")).distinct()
+        return self._kept(linked.join(self._site_keys, "page_key", "left_anti"))
+
+    @cached_property
+    def _site_facts(self) -> DataFrame:
+        """Landing and contact pages (all pages without ``prune``)."""
+        return self._landing_facts.unionByName(self._parse(self._linked_keys)) if self.prune else self._landing_facts
+
+    @cached_property
+    def _site_page_cands(self) -> DataFrame:
+        return self._kept(S.page_candidates(self._site_facts))
+
+    @cached_property
+    def _fallback_facts(self) -> DataFrame:
+        """Facebook and hit pages of the sites without a phone (``prune`` only)."""
+        queries = self.need.select(F.explode(F.array(*[
+            U.search_key(F.col("company"), suffix) for _, suffix, _, _ in FB.STAGES])).alias("query")).distinct()
+        hits = FB.top_hits(self.search.select("query", "rank", "href").join(queries, "query", "left_semi"), self.search_hits)
+        asked = (self.need.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key"))
+                 .unionByName(hits.select(U.page_key("href").alias("page_key")))).distinct()
+        asked = asked.join(self._site_keys, "page_key", "left_anti").join(self._linked_keys, "page_key", "left_anti")
+        return self._parse(self._kept(asked))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._site_facts.unionByName(self._fallback_facts) if self.prune else self._site_facts
+
+    @cached_property
+    def cands(self) -> DataFrame:
+        if not self.prune:
+            return self._site_page_cands
+        return self._site_page_cands.unionByName(self._kept(S.page_candidates(self._fallback_facts)))
+
+    # ---- sites
+
+    @cached_property
+    def landing(self) -> DataFrame:
+        return self._kept(S.landing(self.sites, self._landing_facts))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return S.contact_links(self.landing)
+
+    @cached_property
+    def subpages(self) -> DataFrame:
+        return self._kept(S.contact_subpages(self.links, self._site_facts))
+
+    @cached_property
+    def primary(self) -> DataFrame:
+        return self._kept(S.primary_page(self.landing, self.subpages))
+
+    @cached_property
+    def site_cands(self) -> DataFrame:
+        return self._kept(S.site_candidates(S.site_pages(self.landing, self.subpages), self._site_page_cands))
+
+    @cached_property
+    def _websites(self) -> DataFrame:
+        return self.landing.filter(F.col("landing_id").isNotNull()).select("url", "website", "title", "fb_href")
+
+    # ---- external extraction on the primary page (O-F9), keep-list
+
+    @cached_property
+    def ai(self) -> DataFrame:
+        return E.parse_ai_contacts(self.ai_contacts)
+
+    @cached_property
+    def _ai_site(self) -> DataFrame:
+        return self.primary.join(self.ai.withColumnRenamed("url", "primary_url"), "primary_url", "left")
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        ai_vals = (self._ai_site.select("url", F.explode(F.concat(
+            F.transform(F.coalesce("ai_emails", F.array().cast("array<string>")),
+                        lambda v: nstruct(kind=F.lit("email"), value=v)),
+            F.transform(F.coalesce("ai_phones", F.array().cast("array<string>")),
+                        lambda v: nstruct(kind=F.lit("phone"), value=v)))).alias("a"))
+            .select("url", F.lit("ai").alias("role"), "a.kind", F.lit("ai").alias("channel"), "a.value"))
+        keyed = (self.site_cands.unionByName(ai_vals).join(self._websites.select("url", "website"), "url")
+                 .withColumn("is_landing_ld", (F.col("role") == "landing") & F.col("channel").isin("ld_email", "ld_phone")))
+        return self._kept(E.apply_keep_list(keyed, E.parse_decisions(self.ai_decisions), self.add_listed))
+
+    # ---- fallback chain for sites whose kept phone list is empty
+
+    @cached_property
+    def need(self) -> DataFrame:
+        has_phone = self.kept.filter(F.col("kind") == "phone").select("url").distinct()
+        need = (self._websites.join(has_phone, "url", "left_anti")
+                .select("url", F.col("title").alias("company"), "fb_href"))
+        return self._kept(need) if self.prune else need
+
+    @cached_property
+    def chain(self) -> dict[str, DataFrame]:
+        solved = self._kept(FB.run_chain(self.need, self.search, self.cands, self.search_hits)["all"])
+        return {"all": solved, **{n: solved.filter(F.col("stage") == n) for n in FB.STAGE_ORDER},
+                "unsolved": self.need.select("url").join(solved.select("url"), "url", "left_anti")}
+
+    # ---- contacts
+
+    @cached_property
+    def _page_contacts(self) -> DataFrame:
+        extra = self.chain["all"].select("url", F.explode(F.concat(
+            F.transform("phones", lambda v: nstruct(kind=F.lit("phone"), value=v)),
+            F.transform("emails", lambda v: nstruct(kind=F.lit("email"), value=v)))).alias("a"))\
+            .select("url", "a.kind", "a.value")
+        final_vals = self.kept.unionByName(extra).withColumn("value", py_strip("value"))
+        final_vals = final_vals.filter(F.col("value") != "").filter(
+            (F.col("kind") == "email") | X.has_min_digits("value")).distinct()
+        agg = final_vals.groupBy("url").agg(
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "email", F.col("value")))).alias("emails"),
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "phone", F.col("value")))).alias("phones"))
+        return (self._websites.select("url", "website")
+                .join(agg, "url", "left")
+                .join(self._ai_site.select("url", F.coalesce("ai_summary", F.lit("")).alias("summary")), "url", "left")
+                .select("url", "website",
+                        F.coalesce("emails", F.array().cast("array<string>")).alias("emails"),
+                        F.coalesce("phones", F.array().cast("array<string>")).alias("phones"),
+                        F.coalesce("summary", F.lit("")).alias("summary")))
+
+    @cached_property
+    def snippets(self) -> DataFrame:
+        unreachable = self.landing.filter(F.col("landing_id").isNull()).select("url")
+        snippets = FB.snippet_contacts(unreachable, self.search, self.snippet_hits)
+        if self.deny_rules is not None:
+            snippets = DN.without_denied(snippets, self.deny_rules).filter((F.size("emails") > 0) | (F.size("phones") > 0))
+        return self._kept(snippets)
+
+    @cached_property
+    def _counted(self) -> tuple[DataFrame, dict | None]:
+        """Contacts, and their counts (O-G6) if they are written: the write counts,
+        so that no second pass has to."""
+        contacts = self._page_contacts
+        if self.deny_rules is not None:
+            contacts = DN.without_denied(contacts, self.deny_rules)
+        contacts = contacts.unionByName(self.snippets)
+        if self.reuse != "table":
+            return contacts, None
+        seen = Observation()
+        return self._kept(contacts.observe(seen, *EN.count_columns())), seen.get
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        return self._counted[0]
+
+    @cached_property
+    def counts(self) -> dict | None:
+        return self._counted[1]
 
 
 def _empty(spark, schema: str) -> DataFrame:
@@ -87,97 +260,7 @@ def build(targets_raw: DataFrame, pages: DataFrame, search_results: DataFrame |
     ai_c = ai_contacts if ai_contacts is not None else _empty(spark, AI_CONTACTS_SCHEMA)
     ai_d = ai_decisions if ai_decisions is not None else _empty(spark, AI_DECISIONS_SCHEMA)
 
-    targets = S.prepare_targets(targets_raw)
-    site_df = S.sites(targets)
-    if prune:
-        site_keys = materialize(site_df.select(F.col("site_key").alias("page_key")).distinct(), reuse)
-        facts = _facts(pages, site_keys, reuse, parsed)
-        land = materialize(S.landing(site_df, facts), reuse)
-        links = S.contact_links(land)
-        linked = links.select(U.page_key("link_key").alias("page_key")).distinct()
-        linked = materialize(linked.join(site_keys, "page_key", "left_anti"), reuse)
-        facts = facts.unionByName(_facts(pages, linked, reuse, parsed))
-    else:
-        # one scan of html; several joins read the narrow result
-        facts = _facts(pages, None, reuse, parsed)
-        land = materialize(S.landing(site_df, facts), reuse)
-        links = S.contact_links(land)
-    cands = materialize(S.page_candidates(facts), reuse)
-    # the relations that several later ones (and the audit) read are written once
-    subs = materialize(S.contact_subpages(links, facts), reuse)
-    primary = materialize(S.primary_page(land, subs), reuse)
-    spages = S.site_pages(land, subs)
-    site_cands = materialize(S.site_candidates(spages, cands), reuse)
-
-    # external extraction on the primary page (O-F9) and its values
-    ai = E.parse_ai_contacts(ai_c)
-    ai_site = primary.join(ai.withColumnRenamed("url", "primary_url"), "primary_url", "left")
-    ai_vals = (ai_site.select("url", F.explode(F.concat(
-        F.transform(F.coalesce("ai_emails", F.array().cast("array<string>")),
-                    lambda v: nstruct(kind=F.lit("email"), value=v)),
-        F.transform(F.coalesce("ai_phones", F.array().cast("array<string>")),
-                    lambda v: nstruct(kind=F.lit("phone"), value=v)))).alias("a"))
-        .select("url", F.lit("ai").alias("role"), "a.kind", F.lit("ai").alias("channel"), "a.value"))
-    all_cands = site_cands.unionByName(ai_vals)
-    websites = land.filter(F.col("landing_id").isNotNull()).select("url", "website", "title", "fb_href")
-    keyed = (all_cands.join(websites.select("url", "website"), "url")
-             .withColumn("is_landing_ld", (F.col("role") == "landing") & F.col("channel").isin("ld_email", "ld_phone")))
-    kept = materialize(E.apply_keep_list(keyed, E.parse_decisions(ai_d), add_listed), reuse)
-
-    # fallback chain for sites whose kept phone list is empty
-    has_phone = kept.filter(F.col("kind") == "phone").select("url").distinct()
-    need = (websites.join(has_phone, "url", "left_anti")
-            .select("url", F.col("title").alias("company"), "fb_href"))
-    if prune:
-        need = materialize(need, reuse)
-        queries = need.select(F.explode(F.array(*[
-            U.search_key(F.col("company"), suffix) for _, suffix, _, _ in FB.STAGES])).alias("query")).distinct()
-        hits = FB.top_hits(search.select("query", "rank", "href").join(queries, "query", "left_semi"), search_hits)
-        asked = (need.filter("fb_href is not null").select(U.page_key("fb_href").alias("page_key"))
-                 .unionByName(hits.select(U.page_key("href").alias("page_key")))).distinct()
-        asked = asked.join(site_keys, "page_key", "left_anti").join(linked, "page_key", "left_anti")
-        more = _facts(pages, materialize(asked, reuse), reuse, parsed)
-        facts = facts.unionByName(more)
-        cands = cands.unionByName(materialize(S.page_candidates(more), reuse))
-    chain = FB.run_chain(need, search, cands, search_hits)
-    chain["all"] = materialize(chain["all"], reuse)
-    for n in FB.STAGE_ORDER:
-        chain[n] = chain["all"].filter(F.col("stage") == n)
-    chain["unsolved"] = need.select("url").join(chain["all"].select("url"), "url", "left_anti")
-    solved = chain["all"]
-    extra = solved.select("url", F.explode(F.concat(
-        F.transform("phones", lambda v: nstruct(kind=F.lit("phone"), value=v)),
-        F.transform("emails", lambda v: nstruct(kind=F.lit("email"), value=v)))).alias("a"))\
-        .select("url", "a.kind", "a.value")
-
-    final_vals = kept.unionByName(extra).withColumn("value", py_strip("value"))
-    final_vals = final_vals.filter(F.col("value") != "").filter(
-        (F.col("kind") == "email") | X.has_min_digits("value")).distinct()
-    agg = final_vals.groupBy("url").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "email", F.col("value")))).alias("emails"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "phone", F.col("value")))).alias("phones"))
-    page_contacts = (websites.select("url", "website")
-                     .join(agg, "url", "left")
-                     .join(ai_site.select("url", F.coalesce("ai_summary", F.lit("")).alias("summary")), "url", "left")
-                     .select("url", "website",
-                             F.coalesce("emails", F.array().cast("array<string>")).alias("emails"),
-                             F.coalesce("phones", F.array().cast("array<string>")).alias("phones"),
-                             F.coalesce("summary", F.lit("")).alias("summary")))
-
-    unreachable = land.filter(F.col("landing_id").isNull()).select("url")
-    snippets = FB.snippet_contacts(unreachable, search, snippet_hits)
-    if deny_rules is not None:
-        page_contacts, snippets = DN.without_denied(page_contacts, deny_rules), DN.without_denied(snippets, deny_rules)
-        snippets = snippets.filter((F.size("emails") > 0) | (F.size("phones") > 0))
-    snippets = materialize(snippets, reuse)
-    contacts, counts = page_contacts.unionByName(snippets), None
-    if reuse == "table":  # the write counts, so that no second pass has to
-        seen = Observation()
-        contacts = materialize(contacts.observe(seen, *EN.count_columns()), reuse)
-        counts = seen.get
-    return Stages(facts=facts, cands=cands, targets=targets, sites=site_df, landing=land, links=links,
-                  subpages=subs, primary=primary, site_cands=site_cands, ai=ai, kept=kept, need=need,
-                  chain=chain, snippets=snippets, contacts=contacts, counts=counts)
+    return Stages(targets_raw, pages, search, ai_c, ai_d, reuse, search_hits, snippet_hits, add_listed, prune, parsed, deny_rules)
 
 
 def dedup_phones(phones) -> F.Column:

@@ -22,8 +22,9 @@ _STAGES: dict = {}
 
 
 def stages(spark, sf) -> G.Stages:
-    """The site pipeline for ``sf``, built once for a session and state of the
-    files it reads; later queries start from its written tables."""
+    """The site pipeline for ``sf``, once for a session and state of the files it
+    reads: a query has the relations made that it asks for, and later queries
+    start from their written tables."""
     key = (spark.sparkContext.applicationId, sf, state(spark, sf, "customer", "pages"))
     if key not in _STAGES:
         T = synthetic(spark, sf)
