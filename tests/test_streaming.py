@@ -30,6 +30,17 @@ def test_page_stream_equals_batch(spark):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
+def test_page_stream_of_a_table_of_several_files(spark, tmp_path):
+    from webreach.plans.registry import QUERIES
+    import webreach.plans  # noqa: F401
+    pages = spark.createDataFrame([(i, f"https://a{i}.test/", f"<p>me{i}@a.test</p>") for i in range(6)], feeds.PAGES_SCHEMA)
+    pages.repartition(3, "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "customer.parquet"))
+    streamed = QUERIES["stream_page_candidates"](spark, str(tmp_path))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, feeds.candidates_of(pages).collect()))
+    assert {r.value for r in streamed.collect()} >= {f"me{i}@a.test" for i in range(6)}
+
+
 def test_pages_with_one_key_keep_their_own_candidates(spark, tmp_path):
     rows = [(i, "https://a.test/" + "#" * (i % 2), f"<p>me{i}@a.test</p>") for i in range(3)]
     df = spark.createDataFrame(rows, feeds.PAGES_SCHEMA)
