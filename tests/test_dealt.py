@@ -26,6 +26,24 @@ def test_keys_of_one_split_are_dealt(spark, tmp_path):
     assert tables.dealt(keys.limit(5)).rdd.getNumPartitions() == 1
 
 
+def test_rows_of_one_row_group_are_dealt_whatever_its_empty_splits(spark, tmp_path):
+    n = 2 * tables.DEALT_ROWS + 1
+    spark.range(3).select(F.col("id").alias(synth.K)).write.parquet(str(tmp_path / "customer.parquet"))
+    pages = spark.range(n).select((F.col("id") % 9000).alias("page_id"), F.lit("a.test").alias("url"), F.lit("<p>").alias("html"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        given = spark.read.parquet(str(tmp_path / "pages.parquet"))
+        assert given.rdd.getNumPartitions() > 3
+        assert max(given.groupBy(F.spark_partition_id()).count().toPandas()["count"]) == n
+        for df in (tables.dealt(given), tables.synthetic(spark, str(tmp_path))["syn_pages"].filter("page_id >= 1000000000")):
+            assert max(df.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1.1 * n / 3
+            assert df.count() == n
+        assert tables.dealt(given).exceptAll(given).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_pages_to_drop_are_written_once(spark):
     facts = spark.createDataFrame([(2, "k"), (1, "k"), (3, "l"), (4, None), (5, None)], "page_id bigint, page_key string")
     kept = PG.dedup_pages(facts)
