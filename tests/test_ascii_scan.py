@@ -1,0 +1,47 @@
+"""What the page pass reads by cheaper means gives the rows of the plain ones."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from webreach.functions import extract as X
+from webreach.functions import html as H
+from webreach.functions import patterns as P
+
+TEXTS = [
+    "", None, "Call 011 257 4321 or (03) 9563-1234", "+1 212-555-0199\x1c0112574321", "077.748.1234\t0777481234", "1234 567 890", "12 34 56 7", "123456",
+    "011\x0b257\x1f4321", "011\x852574321", "011\xa0257\xa04321", "०११ २५७ ४३२१", "٠١١٢٥٧٤٣٢١ and 0112574321", "© 011 257 4321", "a\x00b 0112574321 \x7f",
+    "x(011)2574321y(02) 8123 4567", "1.2.3.4.5.6.7", "((((011 2574321))))", "99999999999999999999999999", "tel:\r\n0112574321"]
+
+
+def test_ascii_patterns_look_up_no_category():
+    flat = [*P.PHONE_SCAN_ASCII[:3], *P.PHONE_SCAN_ASCII[3]]
+    assert len(flat) == 6 and not any(r"\p" in p or r"\s" in p for p in flat)
+
+
+def test_phones_equal_those_of_the_general_patterns(spark, monkeypatch):
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("0123456789 ().-x\t\x1d") for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*TEXTS, *odd, *(v + "\xe9" for v in odd), *(v.replace(" ", " ") for v in odd)]], "t string")
+    got = [r.p for r in df.select(X.phones("t").alias("p")).collect()]
+    monkeypatch.setattr(P, "PHONE_SCAN_ASCII", P.PHONE_SCAN)
+    assert got == [r.p for r in df.select(X.phones("t").alias("p")).collect()]
+    assert sum(bool(p) for p in got) > 100 and got[1] == []
+
+
+def test_common_references_stand_in_front():
+    assert H._NAMES.startswith("map('amp', ") and sorted(H._ORDERED) == sorted(P.HTML_ENTITIES)
+
+
+def test_references_are_read_as_before(spark):
+    cases = {"a &amp; b": "a & b", "&copy;&nbsp;x": "\xa9\xa0x", "&bogus; &amp": "&bogus; &amp", "&#65;&#x42;&#67": "ABC", "&# &#; &#x; &#xg": "&# &#; &#x; &#xg",
+             "&#0;&#128;": "�€", "&&lt;": "&<", "&#38;lt;": "&lt;", "&#99999999999;": "�", "no reference": "no reference", "&": "&", "&#1;z": "z"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in df.select("t", H.decode_entities("t").alias("d")).collect()} == cases
+
+
+def test_line_breaks_and_blank_nodes(spark):
+    df = spark.createDataFrame([("<p>a\r\nb\rc</p>\r<p> </p><p>\xa0</p><p></p><p> d </p>",), ("<p>a\nb</p>",), (None,)], "t string")
+    got = df.select(H.visible_html("t").alias("v"), H.page_text("t").alias("x")).collect()
+    assert [r.v for r in got] == ["<p>a\nb\nc</p>\n<p> </p><p>\xa0</p><p></p><p> d </p>", "<p>a\nb</p>", None]
+    assert [r.x for r in got] == ["a\nb\nc d", "a\nb", None]
