@@ -1,6 +1,7 @@
 """Unit goldens for the URL operators (FIXTURES.md section 2)."""
 
 
+from webreach.functions import sqlfns as S
 from webreach.functions import urls as U
 
 NORMALIZE = [
@@ -71,3 +72,18 @@ def test_page_key_joins_tracking_variants(spark):
     df = spark.createDataFrame([("https://s.test/?utm_source=feed",), ("https://s.test",), ("https://s.test/#x",)], "u string")
     keys = {r.k for r in df.select(U.page_key("u").alias("k")).collect()}
     assert keys == {"https://s.test"}
+
+
+def test_one_plain_field_is_cleaned_like_any_query(spark, monkeypatch):
+    """The short way for such URLs gives what the long way gives, and leaves all others to it."""
+    kept = ["https://e.com/?id=1", "http://e.com?p=a-b_c.d~e", "https://e.com/a/?refer=1", "https://e.com/x?REFS=2", "https://e.com\n/?a=b"]
+    rest = ["https://e.com/?ref=1", "https://e.com/?REF=1", "https://e.com/?Utm_Source=f", "https://e.com/?=1", "https://e.com/?a=", "https://e.com/?a",
+            "https://e.com/?a=1#f", "https://e.com/#f?a=1", "https://e.com/?a=b=c", "https://e.com/?a=%41", "https://e.com/?a=b+c", "https://e.com/?a=*",
+            "https://e.com/?a=1&a=2", "https://e.com/?a=1?", "HTTPS://e.com/?a=1", "ftp://e.com/?a=1", "//e.com/?a=1", "?a=1", "https://e.com/?a=é",
+            "https://e.com/?a=1\n", "https://e.com/??a=1", None, ""]
+    df = spark.createDataFrame([(u,) for u in kept + rest], "u string")
+    short = {r.u: (r.c, r.k) for r in df.selectExpr("u", S.clean_url_sql("u") + " AS c", f"u RLIKE {S.r(S._KEPT_FIELD)} AS k").collect()}
+    monkeypatch.setattr(S, "_KEPT_FIELD", r"\A\z.")
+    long = {r.u: r.c for r in df.selectExpr("u", S.clean_url_sql("u") + " AS c").collect()}
+    assert {u: c for u, (c, _) in short.items()} == long
+    assert [u for u in kept + rest if short[u][1]] == kept

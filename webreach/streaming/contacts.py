@@ -1,6 +1,7 @@
 """Contacts kept up to date with a page feed (O-L2 into O-K1).
 
 ``facts/epoch=n``  the pages of an epoch, parsed once; ``html`` isn't read again.
+``cands/epoch=n``  the candidates of these pages, JSON-LD included, made once.
 ``sites/epoch=n``  one row for every site that the epoch recomputed: its contact
                    (null: none) and ``asks``, the keys of all pages that were
                    looked up for it, found or not.
@@ -30,6 +31,7 @@ from webreach.streaming import epochs
 from webreach.streaming.feeds import PAGES_SCHEMA, page_feed
 
 CONTACT = ("website", "emails", "phones", "summary")
+CANDS_SCHEMA = "page_id bigint, page_key string, channel string, value string"
 SITES_SCHEMA = "url string, asks array<string>, contact struct<website:string,emails:array<string>,phones:array<string>,summary:string>"
 
 
@@ -49,7 +51,7 @@ def contact_table(spark: SparkSession, base: str) -> DataFrame:
     return site_log(spark, base).filter("contact is not null").select("url", *[F.col(f"contact.{c}").alias(c) for c in CONTACT])
 
 
-def site_rows(stages: G.Stages, search: DataFrame | None, search_hits: int = P.SEARCH_HITS) -> DataFrame:
+def site_rows(stages: G.Stages, search: DataFrame | None) -> DataFrame:
     """Every site of a build with its contact and the page keys that it asked
     for: its own, those of its contact links and, if it needed a fallback, those
     of its Facebook page and of its search hits."""
@@ -57,13 +59,29 @@ def site_rows(stages: G.Stages, search: DataFrame | None, search_hits: int = P.S
              .unionByName(stages.links.select("url", U.page_key("link_key").alias("page_key")))
              .unionByName(stages.need.filter("fb_href is not null").select("url", U.page_key("fb_href").alias("page_key"))))
     if search is not None:
-        asked = asked.unionByName(FB.asked_hits(stages.need, search, search_hits))
+        asked = asked.unionByName(FB.asked_hits(stages.need, stages.hits))
     keys = asked.filter("page_key is not null").groupBy("url").agg(F.collect_set("page_key").alias("asks"))
     contact = stages.contacts.select("url", F.struct(*CONTACT).alias("contact"))
     return (stages.sites.select("url").join(keys, "url", "left").join(contact, "url", "left")
             .select("url", F.coalesce("asks", F.array().cast("array<string>")).alias("asks"), "contact"))
 
 
+def new_facts(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts of the pages that ``known`` facts don't hold, one row for each page_id
+    and key. Repeats are looked for by page_id, so that only pages whose id comes
+    twice are dealt, and neither ``html`` nor facts of the others."""
+    pages = PG.fetchable(pages)
+    ids = pages.select("page_id")
+    twice = materialize(ids.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("page_id").alias("_id")))
+    if not twice.isEmpty():
+        same = F.col("page_id").eqNullSafe(F.col("_id"))
+        again = pages.join(twice, same, "left_semi").withColumn("_key", U.page_key("url"))
+        pages = pages.join(twice, same, "left_anti").unionByName(again.dropDuplicates(["page_id", "_key"]).drop("_key"))
+    seen = materialize(known.select("page_id", "page_key").join(ids, "page_id", "left_semi"))
+    facts = PG.page_facts(pages)
+    return facts if seen.isEmpty() else facts.join(seen, ["page_id", "page_key"], "left_anti")
+
+
 def refresh(spark: SparkSession, base: str, epoch: int, pages: DataFrame, targets: DataFrame, search: DataFrame | None = None,
             ai_contacts: DataFrame | None = None, ai_decisions: DataFrame | None = None, search_hits: int = P.SEARCH_HITS, **options) -> None:
     """One epoch: ``pages`` arrive, ``targets`` (input_pos, raw) are all targets so
@@ -71,10 +89,11 @@ def refresh(spark: SparkSession, base: str, epoch: int, pages: DataFrame, target
     come before, by page_id and key, changes nothing; without any that is asked
     for, and without new targets, nothing is recomputed. The other tables and
     ``options`` are those of ``gather.build`` and stay the same over the epochs."""
-    known = _facts(spark, base, epoch).select("page_id", "page_key")
-    arrived = PG.page_facts(pages).join(known, ["page_id", "page_key"], "left_anti").dropDuplicates(["page_id", "page_key"])
-    epochs.write(arrived, os.path.join(base, "facts"), epoch)
+    epochs.write(new_facts(pages, _facts(spark, base, epoch)), os.path.join(base, "facts"), epoch)
     facts = _facts(spark, base, epoch + 1)
+    new = S.page_candidates(facts.filter(F.col("epoch") == epoch), ("page_id", "page_key"))
+    epochs.write(new, os.path.join(base, "cands"), epoch)
+    cands = epochs.read(spark, os.path.join(base, "cands"), CANDS_SCHEMA, epoch + 1).drop("epoch")
 
     before = site_log(spark, base, epoch)
     keys = facts.filter(F.col("epoch") == epoch).select("page_key").distinct()
@@ -85,8 +104,8 @@ def refresh(spark: SparkSession, base: str, epoch: int, pages: DataFrame, target
         rows = spark.createDataFrame([], SITES_SCHEMA)
     else:
         stages = G.build(due.select(F.lit(0).alias("input_pos"), F.col("url").alias("raw")), facts.drop("epoch"), search, ai_contacts,
-                         ai_decisions, search_hits=search_hits, prune=True, parsed=True, **options)
-        rows = site_rows(stages, search, search_hits)
+                         ai_decisions, search_hits=search_hits, prune=True, parsed=True, page_cands=cands, **options)
+        rows = site_rows(stages, search)
     epochs.write(rows, os.path.join(base, "sites"), epoch)
 
 
